@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import quality_rules, sharding
+from palimpsest.llm import near_dup, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +16,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle_sql(),
+    "op2_minhash_near_dedup": near_dup.oracle_sql(),
 }
