@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe_duckdb, near_dup, quality_rules, sharding
+from palimpsest.llm import bpe_duckdb, near_dup, quality_rules, sharding, token_binary, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = token_counts.sample_edits(_table(spark, sf_dir, "documents"))
+    return token_counts.edited_counts(edited, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -33,6 +42,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_binary": op5_token_binary,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_sharding": op10_sharding,
 }
