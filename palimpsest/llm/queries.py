@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe_duckdb, near_dup, quality_rules, sharding, token_binary, token_counts
+from palimpsest.llm import bpe_duckdb, near_dup, quality_rules, sharding, suffix_lm, token_binary, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_token_binary": op5_token_binary,
+    "op6_suffix_lm": op6_suffix_lm,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_sharding": op10_sharding,
 }
