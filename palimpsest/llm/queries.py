@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe_duckdb, near_dup, quality_rules, sharding, suffix_lm, token_binary, token_counts
+from palimpsest.llm import bpe_duckdb, decontaminate, near_dup, quality_rules, sharding, suffix_lm, token_binary, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_token_binary": op5_token_binary,
     "op6_suffix_lm": op6_suffix_lm,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 

@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint64) + 1
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Blanks if punctuation parts words too: every ASCII byte but letters and digits.
+PLAIN = np.array([not (chr(i).isalnum() or i >= 0x80) for i in range(256)])
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _powers: dict[str, np.ndarray] = {}
 
@@ -61,9 +63,9 @@ def chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, off: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and last positions of the words, and n + 1 word offsets of the documents."""
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[off] = True
     begin, end = solid.copy(), solid.copy()
@@ -81,7 +83,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.
     return mix((total[last + 1] - total[starts]) * down[starts])
 
 
-def words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def words(texts: pa.Array, blank: np.ndarray = _BLANK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, word hashes, n + 1 word offsets) for runs of documents."""
     data, off = buffers(texts)
     for i, j in chunks(off):
@@ -89,8 +91,13 @@ def words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if not len(part):
             yield i, np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64)
             continue
-        starts, last, woff = word_spans(part, o)
-        yield i, span_hashes(_LOWER[part], starts, last), woff
+        starts, last, woff = word_spans(part, o, blank)
+        values = _LOWER[part]
+        if blank is PLAIN:  # the capitals of Latin-1 are lowered as well
+            lead = np.flatnonzero(part[:-1] == 0xC3)
+            tail = part[lead + 1]
+            values[lead[(tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] + 1] += np.uint64(32)
+        yield i, span_hashes(values, starts, last), woff
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
