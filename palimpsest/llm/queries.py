@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe_duckdb, decontaminate, near_dup, quality_rules, sharding, suffix_lm, token_binary, token_counts
+from palimpsest.llm import bpe_duckdb, decontaminate, near_dup, quality_model, quality_rules, sharding, suffix_lm, token_binary, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_model.digest(quality_model.score(docs, model), 0.5)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = token_counts.sample_edits(_table(spark, sf_dir, "documents"))
     return token_counts.edited_counts(edited, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -50,6 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_token_counts": op4_token_counts,
     "op5_token_binary": op5_token_binary,
     "op6_suffix_lm": op6_suffix_lm,
