@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe_duckdb, decontaminate, near_dup, quality_model, quality_rules, sharding, suffix_lm, token_binary, token_counts
+from palimpsest.llm import bpe_duckdb, decontaminate, near_dup, quality_model, quality_rules, sharding, suffix_lm, token_binary, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_model.digest(toxicity.score(docs, net), 0.7)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_token_binary": op5_token_binary,
     "op6_suffix_lm": op6_suffix_lm,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
