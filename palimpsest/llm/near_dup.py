@@ -10,8 +10,9 @@ similarity 0.8 shares a leaf of depth d in one tree with probability 0.8**d, so
 
 A node never emits all its pairs. It emits a maximum spanning forest of its
 candidate pairs; when one of those edges fails on full sets and its ends are not
-joined otherwise, the node is read again and all its pairs between different
-components are confirmed, so no candidate is dropped. Nodes of one tree with
+joined otherwise, the node is read again: its documents with candidates in other
+components are brought together with their texts, and all those pairs are
+confirmed in place, so no candidate is dropped and only links are emitted. Nodes of one tree with
 over ``HOT`` rows are branched further before they are dealt out, then salted,
 with their pivot in each salt and all rows outside the pivot's component in
 every salt at the second reading.
@@ -37,7 +38,7 @@ from palimpsest.llm.wordvec import mix, shingle_sets
 
 COORDS, TREES, LEAF, DEPTH = 64, 16, 128, 8
 HOT, STAR = 20_000, 2_000
-AGREE = 32  # of COORDS; a pair at 0.8 falls below with probability under 1e-8
+AGREE = 36  # of COORDS; a pair at 0.8 falls below with probability of about 1e-5
 BROADCAST_IDS = 2_000_000  # 8 bytes each
 
 _rng = np.random.default_rng(20)
@@ -137,29 +138,41 @@ def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _signature_rows(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
+
+
+def _across(label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of other labels that agree often enough), for the rows outside the commonest label."""
+    names, where, many = np.unique(label, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(where != np.argmax(many))
+    for i in range(0, len(few) if len(names) > 1 else 0, 256):
+        agree = agreements(sig[few[i : i + 256]], sig) >= AGREE
+        for x, row in zip(few[i : i + 256].tolist(), agree, strict=True):
+            others = np.flatnonzero(row & (label != label[x]))
+            if len(others):
+                yield x, others
+
+
 def _candidates(again: bool):
-    """Pairs of the leaves: a spanning forest of each, or all pairs between components."""
+    """Of each leaf, the pairs of a spanning forest; or its documents with candidates in other components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            g, tree, ids, skip = (t.column(c).to_numpy() for c in ("g", "tree", "id", "skip"))
-            label = t.column("label").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
+            g, tree, ids, skip, label = (t.column(c).to_numpy() for c in ("g", "tree", "id", "skip", "label"))
+            sig = _signature_rows(t)
             found: list[tuple[int, int, int, int]] = []
             for rows in _leaves(g, tree, sig, skip):
                 rows = rows[np.argsort(ids[rows], kind="stable")]
                 rows = rows[np.concatenate([[True], ids[rows][1:] != ids[rows][:-1]])]
                 if again:
-                    names, where, many = np.unique(label[rows], return_inverse=True, return_counts=True)
-                    if len(names) < 2:
-                        continue
-                    few = rows[where != np.argmax(many)]
-                    for i in range(0, len(few), 256):
-                        agree = agreements(sig[few[i : i + 256]], sig[rows])
-                        for a, b in zip(*np.nonzero(agree >= AGREE), strict=True):
-                            x, y = few[i + a], rows[b]
-                            if label[x] != label[y]:
-                                found.append((min(ids[x], ids[y]), max(ids[x], ids[y]), int(agree[a, b]), g[x]))
+                    mixed = np.zeros(len(rows), bool)
+                    for x, others in _across(label[rows], sig[rows]):
+                        mixed[x] = mixed[others] = True
+                    rows = rows[mixed]
+                    if len(rows):
+                        name = mix(g[rows[:1]].astype(np.uint64) * np.uint64(31) + ids[rows[:1]].astype(np.uint64)).astype(np.int64)[0]
+                        found += [(name, i, x, 0) for i, x in zip(ids[rows], label[rows], strict=True)]
                     continue
                 for i in range(0, len(rows), LEAF):
                     block = rows[i : i + LEAF]
@@ -167,10 +180,38 @@ def _candidates(again: bool):
                         block = np.concatenate([rows[:4], block])
                     agree = agreements(sig[block], sig[block])
                     if np.count_nonzero(agree >= AGREE) > len(block):
-                        found += [(ids[block[a]], ids[block[b]], int(agree[a, b]), g[block[a]]) for a, b in _forest(agree)]
+                        found += [(min(ids[block[a]], ids[block[b]]), max(ids[block[a]], ids[block[b]]), int(agree[a, b]), g[block[a]]) for a, b in _forest(agree)]
             if found:
-                a, b, s, k = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s), pa.array(k)], ["a", "b", "agree", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found, strict=True)], ["a", "b", "agree", "g"])
+
+    return run
+
+
+def _links(k: int, percent: int):
+    """Links between the components of each group of (group, id, label, sig, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, least=2_000):
+            group, ids, label, sig = t.column("group").to_numpy(), t.column("id").to_numpy(), t.column("label").to_numpy().copy(), _signature_rows(t)
+            out: list[tuple[int, int, bool]] = []
+            cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                sets = [*shingle_sets(t.column("text").slice(a, b - a), k)]
+                size = np.array([len(s) for s in sets])
+                for x, others in _across(label[a:b].copy(), sig[a:b]):
+                    others = others[label[a:b][others] != label[a + x]]  # joined meanwhile
+                    others = others[100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])]
+                    for i in range(0, len(others), 64):
+                        some = others[i : i + 64]
+                        each = np.concatenate([sets[y] for y in some])
+                        at = np.minimum(np.searchsorted(sets[x], each), size[x] - 1)
+                        both = np.add.reduceat(sets[x][at] == each, np.cumsum(size[some]) - size[some], dtype=np.int64)
+                        for y in some[100 * both >= percent * (size[some] + size[x] - both)].tolist():
+                            if label[a + y] != label[a + x]:
+                                out.append((min(ids[a + x], ids[a + y]), max(ids[a + x], ids[a + y]), True))
+                                label[a:b][label[a:b] == label[a + y]] = label[a + x]
+            p, q, ok = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
 
@@ -257,10 +298,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pair_type = "a long, b long, agree long, g long"
 
+    def bounded(ids: DataFrame) -> DataFrame:
+        """A saved table of single ids, broadcast if it is small enough."""
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
     def compared(labels: DataFrame | None, only: DataFrame | None) -> DataFrame:
         rows = _dealt(reps, scratch, labels)
         if only is not None:
-            rows = rows.join(only, "g", "left_semi")
+            rows = rows.join(bounded(only), "g", "left_semi")
         rows = rows.repartition(width, "g").sortWithinPartitions("g")
         return rows.select("g", "tree", "id", "sig", "skip", "label").mapInArrow(_candidates(labels is not None), pair_type)
 
@@ -277,7 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
         ids = scratch.save(ids, f"{name}-ids")
-        small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        small = bounded(ids)
         rows = slim.join(small, slim["doc_id"] == small["id"], "left_semi")
         return scratch.save(rows.dropDuplicates(["doc_id"]) if repeated else rows, name)
 
@@ -316,13 +361,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         failed = apart(checked.where("NOT ok").select("a", "b"), labels).select("a", "b")
         nodes = scratch.save(seen.join(failed, ["a", "b"], "left_semi").select("g").distinct(), "nodes")
         if not nodes.isEmpty():
-            third = compared(labels, nodes).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            third = scratch.save(third, "third")
-            if not third.isEmpty():
-                missing = scratch.save(ids_of(third).join(texts.select(F.col("doc_id").alias("id")), "id", "left_anti"), "missing")
+            mixed = compared(labels, nodes).select(F.col("a").alias("group"), F.col("b").alias("id"), F.col("agree").alias("label"))
+            mixed = scratch.save(mixed, "mixed")
+            if not mixed.isEmpty():
+                ids = mixed.select("id").distinct()
+                missing = scratch.save(ids.join(texts.select(F.col("doc_id").alias("id")), "id", "left_anti"), "missing")
                 if not missing.isEmpty():
                     texts = texts.unionByName(texts_of(missing, "texts-2"))
-                labels = joined(labels, confirmed(third, "confirmed-3"), "c3")
+                full_rows = mixed.join(texts, F.col("id") == texts["doc_id"]).join(reps.select("id", "sig"), "id")
+                full_rows = full_rows.select("group", "id", "label", "sig", "text").repartition(width, "group").sortWithinPartitions("group", "id")
+                found = scratch.save(full_rows.mapInArrow(_links(k, percent), "a long, b long, ok boolean"), "confirmed-3")
+                labels = joined(labels, found, "c3")
         scratch.drop("texts", "texts-2")
     classes = reps.select("digest", "id")
     if labels is None:
@@ -332,7 +381,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("class_id"), F.coalesce("label", "doc_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("signed", "reps", "candidates", "first", "second", "third")
+    scratch.drop("signed", "reps", "candidates", "first", "second", "mixed")
     return out
 
 
