@@ -38,7 +38,7 @@ from palimpsest.llm.wordvec import PLAIN, buffers, chunks, mix, span_hashes, wor
 
 SPAN, STEP, HIDDEN = 24, 12, 8
 WORD_DIM, CHAR_DIM, BUCKETS, GRAMS = 8, 16, 1 << 15, (3, 4, 5)
-SAMPLE, ROUNDS, EPOCHS, BATCH, RATE = 8_000, 3, 3, 256, 0.01
+SAMPLE, ROUNDS, STEPS, BATCH, RATE = 4_000, 3, 120, 256, 0.01
 KEEP_WORDS, RUN = 300_000, 4096
 
 
@@ -106,6 +106,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of the values there."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(values[order], first, axis=0)
+
+
 @dataclass
 class Network:
     """All weights. Direction d is 0 (forward) or 1 (backward)."""
@@ -178,7 +186,7 @@ class Network:
         de = dq[:, :, None] * self.p["v"] * (1 - e * e)
         g["a"] = np.einsum("tnk,tnh->kh", states, de)
         ds = ds + de @ self.p["a"].T
-        dgate = [np.zeros((len(x), 3 * h), np.float32) for _ in range(2)]
+        dgate = [np.zeros((*index.shape, 3 * h), np.float32) for _ in range(2)]
         du = [np.zeros((h, 3 * h), np.float32) for _ in range(2)]
         back = [np.zeros((len(y), h), np.float32) for _ in range(2)]
         for k, t, s, z, r, c, hc, m in reversed(saved):
@@ -188,10 +196,14 @@ class Network:
             dc = inner * (1 - z) * (1 - c * c)
             dr = dc * hc * r * (1 - r)
             dh = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(dgate[k], index[:, t], np.concatenate([dz, dr, dc], axis=1))
+            dgate[k][:, t] = np.concatenate([dz, dr, dc], axis=1)
             du[k] += s.T @ dh
             back[k] = np.where(m, inner * z + dh @ self.p[f"u{k}"].T, total)
         dx = np.zeros_like(x)
+        used, sums = summed(index.reshape(-1), np.concatenate(dgate, axis=2).reshape(index.size, 6 * h))
+        whole = np.zeros((len(x), 6 * h), np.float32)
+        whole[used] = sums
+        dgate = [whole[:, : 3 * h], whole[:, 3 * h :]]
         for k in (0, 1):
             g |= {f"u{k}": du[k], f"w{k}": x.T @ dgate[k], f"b{k}": dgate[k].sum(axis=0)}
             dx += dgate[k] @ self.p[f"w{k}"].T
@@ -315,7 +327,7 @@ def telling(corpus: _Corpus, y: np.ndarray) -> np.ndarray:
     return np.maximum(word, best)
 
 
-def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, epochs: int = EPOCHS, seed: int = 11) -> Network | None:
+def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 11) -> Network | None:
     """A network fitted to whole documents' labels; None unless both kinds occur."""
     y = np.asarray(y, dtype=np.float64)
     if not 0 < y.sum() < len(y):
@@ -342,31 +354,25 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, epochs: int = E
         clean = np.flatnonzero(learn & (y[doc] == 0))
         hard = clean[np.argsort(-view[clean], kind="stable")[: 2 * len(plus)]]
         minus = np.concatenate([hard, rng.choice(clean, min(len(clean), 3 * len(plus)), replace=False)]) if len(clean) else clean
-        rows, target = np.concatenate([plus, minus]), np.concatenate([np.ones(len(plus)), np.zeros(len(minus))])
         if not len(plus) or not len(minus):
             break
-        weight = np.where(target == 1, len(minus) / len(plus) / 2, 1.0)
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for k in range(0, len(order), BATCH):
-                some = order[k : k + BATCH]
-                index, mask = corpus.rows(first[rows[some]], doc[rows[some]])
-                used, local = np.unique(index, return_inverse=True)
-                grams, size = corpus.gather(used)
-                kept = (rng.random(len(used)) > 0.5).astype(np.float32)
-                x = net.inputs(corpus.unique[used], grams, size, kept)
-                step += 1
-                _, g, dx = net.gradients(x, local.reshape(index.shape), mask, target[some], weight[some] / len(some))
-                dense = {k2: v for k2, v in g.items()}
-                slots = (corpus.unique[used] % np.uint64(BUCKETS)).astype(np.int64)
-                dchar = np.repeat(dx[:, WORD_DIM:] / np.maximum(size, 1)[:, None], size, axis=0)
-                for name, at, grad in (("word", slots, dx[:, :WORD_DIM] * kept[:, None]), ("char", grams, dchar)):
-                    u, inv = np.unique(at, return_inverse=True)
-                    total_grad = np.zeros((len(u), grad.shape[1]), np.float32)
-                    np.add.at(total_grad, inv, grad)
-                    _adam(net.p[name], state[name], total_grad, step, u)
-                for name, grad in dense.items():
-                    _adam(net.p[name], state[name], grad, step)
+        for _ in range(steps):
+            some = np.concatenate([rng.choice(plus, BATCH // 4), rng.choice(minus, BATCH - BATCH // 4)])
+            target = (np.arange(BATCH) < BATCH // 4).astype(np.float64)
+            index, mask = corpus.rows(first[some], doc[some])
+            used, local = np.unique(index, return_inverse=True)
+            grams, size = corpus.gather(used)
+            kept = (rng.random(len(used)) > 0.5).astype(np.float32)
+            x = net.inputs(corpus.unique[used], grams, size, kept)
+            step += 1
+            _, g, dx = net.gradients(x, local.reshape(index.shape), mask, target, np.full(BATCH, 1 / BATCH))
+            slots = (corpus.unique[used] % np.uint64(BUCKETS)).astype(np.int64)
+            dchar = np.repeat(dx[:, WORD_DIM:] / np.maximum(size, 1)[:, None], size, axis=0)
+            for name, at, grad in (("word", slots, dx[:, :WORD_DIM] * kept[:, None]), ("char", grams, dchar)):
+                where, total_grad = summed(at, grad)
+                _adam(net.p[name], state[name], total_grad, step, where)
+            for name, grad in g.items():
+                _adam(net.p[name], state[name], grad, step)
         view = _all_logits(net, corpus, doc, first)
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, doc, _all_logits(net, corpus, doc, first))
