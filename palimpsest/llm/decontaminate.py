@@ -85,57 +85,80 @@ def tile(i: np.ndarray, j: np.ndarray, match: int) -> list[tuple[int, int, int]]
     return tiles
 
 
+def found(seeds: Seeds, texts: pa.Array, match: int, coverage: int) -> Iterator[tuple[int, ...]]:
+    """(row, item id, its words, words covered, tiles, longest tile, first word) of each text and item that it holds."""
+    for first, h, off in words(texts, PLAIN):
+        place, item, at = seeds.hits(shingles(h, match))
+        doc = np.searchsorted(off, place, side="right") - 1
+        inside = place + match <= off[doc + 1]
+        place, item, at, doc = place[inside], item[inside], at[inside], doc[inside]
+        if not len(doc):
+            continue
+        order = np.lexsort((item, doc))
+        place, item, at, doc = place[order], item[order], at[order], doc[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)])).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            size = seeds.size[item[a]]
+            most = len(np.unique((np.unique(at[a:b])[:, None] + np.arange(match)).reshape(-1)))
+            if 100 * most < coverage * size:  # tiles can't cover more than the seeds do
+                continue
+            tiles = tile(at[a:b], place[a:b] - off[doc[a]], match)
+            got = sum(n for _, _, n in tiles)
+            if 100 * got >= coverage * size:
+                yield first + int(doc[a]), seeds.ids[item[a]], size, got, len(tiles), max(n for _, _, n in tiles), min(b for _, b, _ in tiles)
+
+
 def _search(shared, match: int, coverage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = shared.value
         seeds = Seeds(ids, pa.array(texts, pa.string()), match)
         for batch in batches:
-            docs, out = batch.column(0).to_pylist(), []
-            for first, h, off in words(batch.column(1), PLAIN):
-                place, item, at = seeds.hits(shingles(h, match))
-                doc = np.searchsorted(off, place, side="right") - 1
-                inside = place + match <= off[doc + 1]
-                place, item, at, doc = place[inside], item[inside], at[inside], doc[inside]
-                order = np.lexsort((item, doc))
-                place, item, at, doc = place[order], item[order], at[order], doc[order]
-                cuts = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)])) if len(doc) else []
-                for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True) if len(doc) else ():
-                    size = seeds.size[item[a]]
-                    most = len(np.unique((np.unique(at[a:b])[:, None] + np.arange(match)).reshape(-1)))
-                    if 100 * most < coverage * size:  # tiles can't cover more than the seeds do
-                        continue
-                    tiles = tile(at[a:b], place[a:b] - off[doc[a]], match)
-                    got = sum(n for _, _, n in tiles)
-                    if 100 * got >= coverage * size:
-                        out.append((docs[first + doc[a]], seeds.ids[item[a]], size, got, len(tiles), max(n for _, _, n in tiles), min(b for _, b, _ in tiles)))
+            docs = batch.column(0).to_pylist()
+            out = [(docs[r[0]], *r[1:]) for r in found(seeds, batch.column(1), match, coverage)]
             cols = [*zip(*out, strict=True)] or [()] * len(NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
 
     return run
 
 
+def _without(shared, at: int, match: int, coverage: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = shared.value
+        seeds = Seeds(ids, pa.array(texts, pa.string()), match)
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            keep[[r[0] for r in found(seeds, batch.column(at), match, coverage)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 NAMES = ["doc_id", "item_id", "item_words", "matched_words", "n_tiles", "longest_tile", "first_word"]
 
 
-def leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: int = COVERAGE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document and test item that it holds, with the tiling's figures."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _blocks(items: DataFrame):
+    """The benchmark as broadcast blocks of at most about BLOCK_BYTES of text."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // (BLOCK_BYTES // 2)) or 1
-    schema = ", ".join(f"{n} long" for n in NAMES)
-    out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = part.orderBy("item_id", "text").collect()  # at most about BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = slim.mapInArrow(_search(shared, match, coverage), schema)
-        out = found if out is None else out.unionByName(found)
+        rows = part.orderBy("item_id", "text").collect()
+        yield items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: int = COVERAGE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document and test item that it holds, with the tiling's figures."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema, out = ", ".join(f"{n} long" for n in NAMES), None
+    for shared in _blocks(items):
+        some = slim.mapInArrow(_search(shared, match, coverage), schema)
+        out = some if out is None else out.unionByName(some)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no test item, with their own columns."""
-    bad = leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: int = COVERAGE, text: str = "text") -> DataFrame:
+    """The documents that hold no test item, with their own columns; whole rows pass through the search."""
+    for shared in _blocks(items):
+        docs = docs.mapInArrow(_without(shared, docs.columns.index(text), match, coverage), docs.schema)
+    return docs

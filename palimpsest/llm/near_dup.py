@@ -385,6 +385,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without the near-duplicates of a smaller id; of repeated ids one row stays, null ids all."""
+    found = near_duplicates(docs, k, percent)
+    ids = found.select(F.col("doc_id").alias("_id"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    rest = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    if ids.where("_id IS NOT NULL").count() == ids.where("_id IS NOT NULL").distinct().count():
+        return rest
+    return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id IS NULL"))
+
+
 def oracle_sql(k: int = 2, percent: int = 80) -> str:
     """Components of all pairs, by DuckDB; for small tables."""
     gram = " || ' ' || ".join(f"w[i+{j}]" if j else "w[i]" for j in range(k))
