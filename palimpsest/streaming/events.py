@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Events with an instant as their time (files may hold it without zone), and a watermark if one is given."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late) if late else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) of windows; works on streams with a watermark and on tables."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -21,7 +27,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events once each, within the watermark on streams."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+        return timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
 
