@@ -9,58 +9,163 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns, where B stands for a word boundary and S for white space.
-TEMPORAL = ["BwhenB", "BlastS+(met|meeting|call|conversation|chat|talked|spoke|seen|heard|time)B", "Brecent(ly)?B", "BhistoryB", "BtimelineB", "BmeetingS+notes?B", "Bwhat('s| is| was)S+newB", "BlatestB", "Bupdate(s)?S+(on|from|about)B", "BhowS+longS+(ago|since)B", "B[0-9]{4}[-/][0-9]{2}B", "BlastS+(week|month|quarter|year)B"]
-EVENT = ["Bannounce[ds]?(ment)?B", "Blaunch(ed|es|ing)?B", "Braised?S+[$]?[0-9]", "Bfund(ing|raise)B", "BipoB", "BacquisitionB", "Bmerge[drs]?B", "BnewsB", "Bhappened?B"]
-ENTITY = ["BwhoS+isB", "BwhatS+(is|does|are)B", "BtellS+meS+aboutB", "BdescribeB", "Bsummar(y|ize)B", "BoverviewB", "BbackgroundB", "BprofileB", "BwhatS+doS+(i|you|we)S+knowB"]
-FULL_CONTEXT = ["BeverythingB", "BallS+(about|info|information|details)B", "BfullS+(history|context|picture|story|details)B", "BcomprehensiveB", "BdeepS+diveB", "BgiveS+meS+everythingB"]
-CANONICAL = ["BwhoS+isB", "BwhatS+(is|are|does|means?)B", "Bdefin(e|ition|ing)B", "BexplainS+(what|how|why)B", "B(history|origin|background)S+ofB", "BconceptS+ofB", "BoverviewS+ofB", "BtellS+meS+aboutB", "BcompiledS+truthB", "::|->|[.][A-Za-z0-9_]+[(]", "B(function|class|method|module)S+[A-Za-z0-9_]+", "B(graph|traversal|backlinks?|inbound|outbound)B"]
-STRONG_RECENCY = ["BtodayB", "BrightS+nowB", "BthisS+morningB", "BjustS+nowB"]
-RECENCY_ON = ["Bwhat'?sS+(goingS+on|happening|new|latest|up)B", "B(latest|recent(ly)?|currently)B", "B(this|last|past)S+(week|month|fewS+days|coupleS+days)B", "BmeetingS+(prep|with|for|notes?|brief)B", "BbeforeS+(my|the|our)S+(meeting|call|sync|chat)B", "Bprep(are)?S+(for|me)B", "Bcatch(es|ing)?B[ \\t\\nA-Za-z0-9_]{0,15}BupB", "BremindS+meS+(what|about|of)B", "B(update|status|progress)S+(on|with|from)B"]
-TIME_BOUND = ["BtodayB", "BrightS+nowB", "BthisS+morningB", "BthisS+weekB", "BsinceS+(launch|last|the|[0-9])", "BlastS+[0-9]+S+(day|days|week|weeks|month|months)B"]
-CONCEPT_CUE = ["B(all|every)B.+B(that|who|which|doing|with|about|related to)B", "B(find|list|show)S+(all|every|everything)B", "BeverythingS+(about|on|matching|related)B", "BtheS+(landscape|ecosystem|space|universe)S+ofB", "B(landscape|ecosystem)S+(of|around)B", "BwhichS+[A-Za-z0-9_]+[A-Za-z0-9_ \\t\\n]*B(do|does|are|have|use|work)B"]
-CONCEPT_ASKED = ["B(notes|ideas|thinking|thoughts|writing)S+(on|about)B", "BwaysS+toB", "BhowS+toS+thinkS+aboutB", "BconceptS+ofB"]
-CONCEPT_ASKED_CASED = ["B[Ww]hatS+(is|are)S+(theS+)?[a-z][A-Za-z0-9_'’-]*S+[a-z]", "B[Ww]hatS+doS+(i|you|we)S+knowS+aboutS+[a-z][A-Za-z0-9_'’-]*S+[a-z]"]
-CONCEPT_STATUS = ["B(working on|up to|doing|saying|talking about|focused on|meeting with)B"]
-CONCEPT_NOT_CASED = ["[\"'“”][^\"'“”]+[\"'“”]", "B[a-z0-9]+(-[a-z0-9]+)+B"]
-ABSTENTION = ["B(does|do|did)S+notS+containB", "B(doesn't|don't|didn't)S+containB", "BnotS+enoughS+informationB", "BinsufficientS+(information|evidence|context)B", "BnoS+(information|evidence|mention|reference)B", "B(cannot|can't|could not|couldn't|unable to)S+(answer|determine|find|beS+determined)B", "BnotS+(stated|specified|mentioned|provided|available|present)B", "BevidenceS+(providedS+)?doesS+notB", "BisS+notS+inS+theS+(evidence|documents?|provided)B"]
-ASSERTION = ["B(but|however|although|though)B", "BbasedS+onB", "BitS+(may|might|could|would)S+beB", "B(suggests?|implies|indicates?|appearsS+toS+be|appearS+toS+be)B", "BtheS+(closest|best|mostS+likely)B"]
+# The patterns of each class, in order; (?i) marks those that ignore case.
+TEMPORAL = [
+    r"(?i)\bwhen\b",
+    r"(?i)\blast\s+(met|meeting|call|conversation|chat|talked|spoke|seen|heard|time)\b",
+    r"(?i)\brecent(ly)?\b",
+    r"(?i)\bhistory\b",
+    r"(?i)\btimeline\b",
+    r"(?i)\bmeeting\s+notes?\b",
+    r"(?i)\bwhat('s| is| was)\s+new\b",
+    r"(?i)\blatest\b",
+    r"(?i)\bupdate(s)?\s+(on|from|about)\b",
+    r"(?i)\bhow\s+long\s+(ago|since)\b",
+    r"(?i)\b\d{4}[-/]\d{2}\b",
+    r"(?i)\blast\s+(week|month|quarter|year)\b",
+]
+EVENT = [
+    r"(?i)\bannounce[ds]?(ment)?\b",
+    r"(?i)\blaunch(ed|es|ing)?\b",
+    r"(?i)\braised?\s+\$?\d",
+    r"(?i)\bfund(ing|raise)\b",
+    r"(?i)\bIPO\b",
+    r"(?i)\bacquisition\b",
+    r"(?i)\bmerge[drs]?\b",
+    r"(?i)\bnews\b",
+    r"(?i)\bhappened?\b",
+]
+ENTITY = [
+    r"(?i)\bwho\s+is\b",
+    r"(?i)\bwhat\s+(is|does|are)\b",
+    r"(?i)\btell\s+me\s+about\b",
+    r"(?i)\bdescribe\b",
+    r"(?i)\bsummar(y|ize)\b",
+    r"(?i)\boverview\b",
+    r"(?i)\bbackground\b",
+    r"(?i)\bprofile\b",
+    r"(?i)\bwhat\s+do\s+(i|you|we)\s+know\b",
+]
+FULL_CONTEXT = [
+    r"(?i)\beverything\b",
+    r"(?i)\ball\s+(about|info|information|details)\b",
+    r"(?i)\bfull\s+(history|context|picture|story|details)\b",
+    r"(?i)\bcomprehensive\b",
+    r"(?i)\bdeep\s+dive\b",
+    r"(?i)\bgive\s+me\s+everything\b",
+]
+CANONICAL = [
+    r"(?i)\bwho\s+is\b",
+    r"(?i)\bwhat\s+(is|are|does|means?)\b",
+    r"(?i)\bdefin(e|ition|ing)\b",
+    r"(?i)\bexplain\s+(what|how|why)\b",
+    r"(?i)\b(history|origin|background)\s+of\b",
+    r"(?i)\bconcept\s+of\b",
+    r"(?i)\boverview\s+of\b",
+    r"(?i)\btell\s+me\s+about\b",
+    r"(?i)\bcompiled\s+truth\b",
+    r"::|->|\.\w+\(",
+    r"(?i)\b(function|class|method|module)\s+\w+",
+    r"(?i)\b(graph|traversal|backlinks?|inbound|outbound)\b",
+]
+STRONG_RECENCY = [
+    r"(?i)\btoday\b",
+    r"(?i)\bright\s+now\b",
+    r"(?i)\bthis\s+morning\b",
+    r"(?i)\bjust\s+now\b",
+]
+RECENCY_ON = [
+    r"(?i)\bwhat'?s\s+(going\s+on|happening|new|latest|up)\b",
+    r"(?i)\b(latest|recent(ly)?|currently)\b",
+    r"(?i)\b(this|last|past)\s+(week|month|few\s+days|couple\s+days)\b",
+    r"(?i)\bmeeting\s+(prep|with|for|notes?|brief)\b",
+    r"(?i)\bbefore\s+(my|the|our)\s+(meeting|call|sync|chat)\b",
+    r"(?i)\bprep(are)?\s+(for|me)\b",
+    r"(?i)\bcatch(es|ing)?\b[\s\w]{0,15}\bup\b",
+    r"(?i)\bremind\s+me\s+(what|about|of)\b",
+    r"(?i)\b(update|status|progress)\s+(on|with|from)\b",
+]
+TIME_BOUND = [
+    r"(?i)\btoday\b",
+    r"(?i)\bright\s+now\b",
+    r"(?i)\bthis\s+morning\b",
+    r"(?i)\bthis\s+week\b",
+    r"(?i)\bsince\s+(launch|last|the|\d)",
+    r"(?i)\blast\s+\d+\s+(day|days|week|weeks|month|months)\b",
+]
+CONCEPT_CUE = [
+    r"(?i)\b(all|every)\b.+\b(that|who|which|doing|with|about|related to)\b",
+    r"(?i)\b(find|list|show)\s+(all|every|everything)\b",
+    r"(?i)\beverything\s+(about|on|matching|related)\b",
+    r"(?i)\bthe\s+(landscape|ecosystem|space|universe)\s+of\b",
+    r"(?i)\b(landscape|ecosystem)\s+(of|around)\b",
+    r"(?i)\bwhich\s+\w+[\w\s]*\b(do|does|are|have|use|work)\b",
+]
+CONCEPT_ASKED = [
+    r"\b[Ww]hat\s+(is|are)\s+(the\s+)?[a-z][\w'’-]*\s+[a-z]",
+    r"\b[Ww]hat\s+do\s+(i|you|we)\s+know\s+about\s+[a-z][\w'’-]*\s+[a-z]",
+    r"(?i)\b(notes|ideas|thinking|thoughts|writing)\s+(on|about)\b",
+    r"(?i)\bways\s+to\b",
+    r"(?i)\bhow\s+to\s+think\s+about\b",
+    r"(?i)\bconcept\s+of\b",
+]
+CONCEPT_STATUS = [
+    r"(?i)\b(working on|up to|doing|saying|talking about|focused on|meeting with)\b",
+]
+CONCEPT_NOT = [
+    r"""["'“”][^"'“”]+["'“”]""",
+    r"\b[a-z0-9]+(?:-[a-z0-9]+){1,}\b",
+]
+ABSTENTION = [
+    r"(?i)\b(does|do|did)\s+not\s+contain\b",
+    r"(?i)\b(doesn't|don't|didn't)\s+contain\b",
+    r"(?i)\bnot\s+enough\s+information\b",
+    r"(?i)\binsufficient\s+(information|evidence|context)\b",
+    r"(?i)\bno\s+(information|evidence|mention|reference)\b",
+    r"(?i)\b(cannot|can't|could not|couldn't|unable to)\s+(answer|determine|find|be\s+determined)\b",
+    r"(?i)\bnot\s+(stated|specified|mentioned|provided|available|present)\b",
+    r"(?i)\bevidence\s+(provided\s+)?does\s+not\b",
+    r"(?i)\bis\s+not\s+in\s+the\s+(evidence|documents?|provided)\b",
+]
+ASSERTION = [
+    r"(?i)\b(but|however|although|though)\b",
+    r"(?i)\bbased\s+on\b",
+    r"(?i)\bit\s+(may|might|could|would)\s+be\b",
+    r"(?i)\b(suggests?|implies|indicates?|appears?\s+to\s+be)\b",
+    r"(?i)\bthe\s+(closest|best|most\s+likely)\b",
+]
 
 #: Keyword weight, vector weight, recency hint and exact-match boost of each intent.
 INTENT_WEIGHTS = {"entity": (1.15, 1.0, None, 1.25), "temporal": (1.0, 1.0, "on", 1.0), "event": (1.2, 0.95, "on", 1.1), "concept": (0.9, 1.2, None, 1.0), "general": (1.0, 1.0, None, 1.0)}
 
 
-def _one(patterns: list[str], boundary: str) -> str:
-    """All patterns as one alternation."""
-    out = []
-    for p in patterns:
-        p = p.replace("S+", "[ \\t\\n\\r\\f]+")
-        out.append("".join(boundary if c == "B" else c for c in p))
-    return "|".join(f"(?:{p})" for p in out)
+_WORD = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
-_WORD = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+def _any(patterns: list[str]) -> str:
+    """All patterns as one alternation."""
+    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
 
 
-def java_pattern(patterns: list[str], fold: bool = True) -> str:
-    return ("(?is)" if fold else "(?s)") + _one(patterns, _WORD)
+def java_pattern(patterns: list[str]) -> str:
+    return _any(patterns).replace(r"\b", _WORD)
 
 
-def sql_pattern(patterns: list[str], fold: bool = True) -> str:
-    return (("(?is)" if fold else "(?s)") + _one(patterns, "\\b")).replace("'", "''")
+def sql_pattern(patterns: list[str]) -> str:
+    return _any(patterns).replace("'", "''")
 
 
-def matches(col: Column, patterns: list[str], fold: bool = True) -> Column:
-    return col.rlike(java_pattern(patterns, fold))
+def matches(col: Column, patterns: list[str]) -> Column:
+    return col.rlike(java_pattern(patterns))
 
 
 def concept_shaped(q: Column) -> Column:
     t = F.trim(q)
     cue = matches(t, CONCEPT_CUE)
-    asked = matches(t, CONCEPT_ASKED) | matches(t, CONCEPT_ASKED_CASED, False)
+    asked = matches(t, CONCEPT_ASKED)
     capital = t.rlike(r"[^ \t\n\r.!?:;•\-(\[\"“][ \t\n\r]+\p{Lu}")
     long_enough = F.size(F.split(t, "[ \\t\\n\\r]+")) >= 3
-    return long_enough & (cue | asked) & ~matches(t, CONCEPT_NOT_CASED, False) & ~capital & ~(asked & ~cue & matches(t, CONCEPT_STATUS))
+    return long_enough & (cue | asked) & ~matches(t, CONCEPT_NOT) & ~capital & ~(asked & ~cue & matches(t, CONCEPT_STATUS))
 
 
 def intent(q: Column) -> Column:

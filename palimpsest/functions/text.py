@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 BOOLEAN_ANSWERS = ("yes", "no", "true", "false", "consistent", "inconsistent", "agree", "disagree")
-PUBLIC_DOMAINS = ("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "proton.me", "protonmail.com", "aol.com", "gmx.com", "mail.com")
+PUBLIC_DOMAINS = (
+    "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "yahoo.com", "yahoo.co.in", "yahoo.co.uk",
+    "ymail.com", "rediffmail.com", "icloud.com", "me.com", "mac.com", "aol.com", "proton.me", "protonmail.com", "pm.me", "zoho.com",
+    "gmx.com", "mail.com", "yandex.com", "fastmail.com", "tutanota.com", "hey.com",
+)
 SLUG_MAX, SLUG_KEEP, SLUG_HASH = 200, 187, 12
 
 

@@ -238,13 +238,13 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.concat(pre, F.substring("text", 1, 40)).alias("question"))
 
 
-def _m(name: list[str], fold: bool = True, col: str = "question") -> str:
-    return f"regexp_matches({col}, '{I.sql_pattern(name, fold)}')"
+def _m(name: list[str], col: str = "question") -> str:
+    return f"regexp_matches({col}, '{I.sql_pattern(name)}')"
 
 
-_CONCEPT = rf"""(len(regexp_split_to_array(trim(question), '[ \t\n\r]+')) >= 3 AND ({_m(I.CONCEPT_CUE, True, 'trim(question)')} OR {_m(I.CONCEPT_ASKED, True, 'trim(question)')} OR {_m(I.CONCEPT_ASKED_CASED, False, 'trim(question)')})
- AND NOT {_m(I.CONCEPT_NOT_CASED, False, 'trim(question)')} AND NOT regexp_matches(trim(question), '[^ \t\n\r.!?:;•\-(\["“][ \t\n\r]+\p{{Lu}}')
- AND NOT (({_m(I.CONCEPT_ASKED, True, 'trim(question)')} OR {_m(I.CONCEPT_ASKED_CASED, False, 'trim(question)')}) AND NOT {_m(I.CONCEPT_CUE, True, 'trim(question)')} AND {_m(I.CONCEPT_STATUS, True, 'trim(question)')}))"""
+_T = "trim(question)"
+_CONCEPT = rf"""(len(regexp_split_to_array({_T}, '[ \t\n\r]+')) >= 3 AND ({_m(I.CONCEPT_CUE, _T)} OR {_m(I.CONCEPT_ASKED, _T)}) AND NOT {_m(I.CONCEPT_NOT, _T)}
+ AND NOT regexp_matches({_T}, '[^ \t\n\r.!?:;•\-(\["“][ \t\n\r]+\p{{Lu}}') AND NOT ({_m(I.CONCEPT_ASKED, _T)} AND NOT {_m(I.CONCEPT_CUE, _T)} AND {_m(I.CONCEPT_STATUS, _T)}))"""
 
 
 @query(f"{_ASKED} SELECT conv_id, turn, CASE WHEN {_m(I.FULL_CONTEXT)} OR {_m(I.TEMPORAL)} THEN 'temporal' WHEN {_m(I.EVENT)} THEN 'event' WHEN {_CONCEPT} THEN 'concept' WHEN {_m(I.ENTITY)} THEN 'entity' ELSE 'general' END AS intent FROM t")
@@ -262,7 +262,7 @@ _SAID = """WITH x(k, s) AS (VALUES (0, 'The evidence does not contain this. '),
 t AS (SELECT conv_id, turn, s || left(text, 30) AS answer, CASE WHEN turn % 3 = 0 THEN [1] ELSE [] END AS cites FROM conversations JOIN x ON (conv_id + turn) % 4 = k)"""
 
 
-@query(f"{_SAID} SELECT conv_id, turn, CASE WHEN NOT {_m(I.ABSTENTION, True, 'answer')} THEN 'answered' WHEN len(cites) > 0 OR {_m(I.ASSERTION, True, 'answer')} THEN 'partial' ELSE 'abstained' END AS verdict FROM t")
+@query(f"{_SAID} SELECT conv_id, turn, CASE WHEN NOT {_m(I.ABSTENTION, 'answer')} THEN 'answered' WHEN len(cites) > 0 OR {_m(I.ASSERTION, 'answer')} THEN 'partial' ELSE 'abstained' END AS verdict FROM t")
 def abstention_class(spark, d):
     c = table(spark, d, "conversations")
     pre = F.element_at(F.array(*[F.lit(s) for s in ("The evidence does not contain this. ", "Not specified, but it may be ", "It is ", "There is no mention of it. ")]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))

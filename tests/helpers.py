@@ -1,15 +1,15 @@
 """Comparison of a Spark result with a DuckDB result, row order left aside."""
 
-import math
+import pandas as pd
 
 
 def _cell(v):
-    if v is None or v != v:
-        return None
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
+    if not isinstance(v, list) and pd.isna(v):
+        return None
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return round(float(v), 6)
     return str(v)
 
 
