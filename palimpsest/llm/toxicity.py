@@ -39,7 +39,7 @@ from palimpsest.llm.wordvec import PLAIN, buffers, chunks, mix, span_hashes, wor
 SPAN, STEP, HIDDEN = 24, 12, 8
 WORD_DIM, CHAR_DIM, BUCKETS, GRAMS = 8, 16, 1 << 15, (3, 4, 5)
 SAMPLE, ROUNDS, STEPS, BATCH, RATE = 4_000, 3, 120, 256, 0.01
-KEEP_WORDS, RUN = 300_000, 4096
+KEEP_WORDS, RUN, SLICE = 300_000, 4096, 8192
 
 
 def _fold_case(part: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ class _Corpus:
             g, s = word_grams(part, starts[at[fresh]], last[at[fresh]])
             done[u[fresh]] = True
             where.append(u[fresh])
-            grams.append(g)
+            grams.append(g.astype(np.int32))
             sizes.append(s)
         self.id = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.off = np.concatenate(offs)
@@ -303,28 +303,28 @@ class _Corpus:
         return self.grams[np.repeat(self.start[words] - ahead, size) + np.arange(int(size.sum()))], size
 
 
-def telling(corpus: _Corpus, y: np.ndarray) -> np.ndarray:
-    """How much each distinct word, or its most telling n-gram, speaks for toxic documents (log odds, shrunk)."""
-    doc = np.repeat(np.arange(len(y)), np.diff(corpus.off))
-    pairs = np.unique(doc * len(corpus.unique) + corpus.id)
-    d, w = pairs // len(corpus.unique), pairs % len(corpus.unique)
-
-    def odds(kind: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        seen = np.unique(of * n + kind)
-        o, k = seen // n, seen % n
-        yes, no = np.bincount(k, y[o], n), np.bincount(k, 1 - y[o], n)
-        rate = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / (len(y) - y.sum() + 1))
-        return rate * (yes + no) / (yes + no + 5)
-
-    word = odds(w, d, len(corpus.unique))
-    grams, size = corpus.gather(w)
-    gram = odds(grams, np.repeat(d, size), BUCKETS)
-    g, s = corpus.gather(np.arange(len(corpus.unique)))
-    best = np.zeros(len(s))
-    full = np.flatnonzero(s)
-    if len(full):
-        best[full] = np.maximum.reduceat(gram[g], (np.cumsum(s) - s)[full])
-    return np.maximum(word, best)
+def _odds(yes: np.ndarray, no: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log odds of toxic documents from counts of documents, shrunk where they are few."""
+    rate = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / (len(y) - y.sum() + 1))
+    return rate * (yes + no) / (yes + no + 5)
+
+
+def telling(corpus: _Corpus, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How much each distinct word, or its most telling n-gram, speaks for toxic documents among those in use."""
+    n = len(corpus.unique)
+    words, grams = np.zeros((2, n)), np.zeros((2, BUCKETS))
+    for i in np.flatnonzero(use).tolist():
+        mine = np.unique(corpus.id[corpus.off[i] : corpus.off[i + 1]])
+        words[int(y[i]), mine] += 1
+        grams[int(y[i]), np.unique(corpus.gather(mine)[0])] += 1
+    word, gram = _odds(words[1], words[0], y[use]), _odds(grams[1], grams[0], y[use])
+    for k in range(0, n, SLICE):
+        g, s = corpus.gather(np.arange(k, min(n, k + SLICE)))
+        full = np.flatnonzero(s)
+        if len(full):
+            part = word[k : k + SLICE]
+            part[full] = np.maximum(part[full], np.maximum.reduceat(gram[g], (np.cumsum(s) - s)[full]))
+    return word
 
 
 def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 11) -> Network | None:
@@ -340,7 +340,7 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, steps: int = ST
         return None
     doc, first = _window_rows(corpus.off)
     learn = ~held[doc] & (np.diff(corpus.off)[doc] > 0)
-    word = telling(corpus, np.where(held, 0, y)) if not held.any() else _telling_of(corpus, y, held)
+    word = telling(corpus, y, ~held)
     total = np.concatenate([[0], np.cumsum(np.maximum(word[corpus.id], 0) ** 2)])
     end = np.minimum(first + SPAN, corpus.off[doc + 1])
     view = total[end] - total[first]  # where the telling words are, at first
@@ -381,19 +381,12 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, steps: int = ST
     return net
 
 
-def _telling_of(corpus: _Corpus, y: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """telling() over the documents that are not held back."""
-    size = np.diff(corpus.off)
-    sub = _Corpus.__new__(_Corpus)
-    keep = np.repeat(~held, size)
-    sub.unique, sub.grams, sub.size, sub.start = corpus.unique, corpus.grams, corpus.size, corpus.start
-    sub.id, sub.off = corpus.id[keep], np.concatenate([[0], np.cumsum(size[~held])])
-    return telling(sub, y[~held])
-
-
 def _all_logits(net: Network, corpus: _Corpus, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    grams, size = corpus.gather(np.arange(len(corpus.unique)))
-    gates = net.gates(net.inputs(corpus.unique, grams, size))
+    n = len(corpus.unique)
+    gates = np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32)
+    for k in range(0, n, SLICE):
+        grams, size = corpus.gather(np.arange(k, min(n, k + SLICE)))
+        gates[0][k : k + SLICE], gates[1][k : k + SLICE] = net.gates(net.inputs(corpus.unique[k : k + SLICE], grams, size))
     out = np.zeros(len(doc))
     for k in range(0, len(doc), RUN):
         index, mask = corpus.rows(first[k : k + RUN], doc[k : k + RUN])
@@ -427,8 +420,9 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, bound: int = SAMPLE) -> Network | None:
     """The network, trained on the driver on at most about bound labelled texts."""
     rows = labelled(docs, labels, label, folds, held, bound).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
-    texts = [x or "" for x in rows.column("text").to_pylist()]
-    return train(texts, rows.column("y").to_numpy())
+    texts, y = [x or "" for x in rows.column("text").to_pylist()], rows.column("y").to_numpy()
+    del rows
+    return train(texts, y)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
