@@ -58,7 +58,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.token = {r: t for t, r in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
         self._table("merges", pa.table({"a": a, "b": b, "rank": r}))
@@ -166,8 +166,9 @@ def codec_of(path: str) -> Codec:
 def _partition(path: str, make, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codec = codec_of(path)  # a worker keeps it for its next partition
+            codec = codec_of(path)
             yield pa.RecordBatch.from_arrays([batch.column(0), *make(codec, batch.column(1))], ["doc_id", *names])
+        codec_of.cache_clear()  # a worker that goes on with other work keeps nothing
 
     return run
 
