@@ -2,12 +2,12 @@
 
 Symbols are words (A-Z lowered) and one end for each text. The root's
 distribution discounts each word's training count and gives the freed mass to
-one unknown symbol. A context of one or two words is a state if its share of the
-training tokens is at least ``SHARE`` (and it occurred ``MIN`` times), and its
-divergence from the next shorter state, times its occurrences, passes a penalty
-for its number of next symbols. A state's distribution discounts the counts of
-the next symbols that themselves have that share and hands the remaining mass to
-the shorter state, so each state's distribution sums to one. A text's score walks its words by the longest state.
+one unknown symbol. A context of one or two words is a state if it occurred ``MIN``
+times, whatever the size of the corpus, and its divergence from the next shorter
+state, times its occurrences, passes a penalty for its number of next symbols. A
+state's distribution discounts the counts of the next symbols that themselves
+occurred ``MIN`` times and hands the remaining mass to the shorter state, so each
+state's distribution sums to one. A text's score walks its words by the longest state.
 
 The model is never on one machine. Each input split (chunk) sends its distinct
 keys; counts are summed by key, contexts tested by context, and each chunk gets
@@ -36,7 +36,7 @@ from palimpsest.llm.scratch import Scratch
 from palimpsest.llm.token_binary import _place
 from palimpsest.llm.wordvec import mix, words
 
-SHARE, MIN, DISCOUNT, PENALTY, DEPTH = 3e-5, 16, 0.75, 1.0, 2
+MIN, DISCOUNT, PENALTY, DEPTH = 16, 0.75, 1.0, 2
 END = mix(np.array([1], np.uint64))[0]
 _LEFT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,8 +95,8 @@ class Tokens:
 class Model:
     """What one chunk knows of the model, level by level."""
 
-    def __init__(self, folders: list[str], chunk: int, totals: tuple[int, int, float, float]):
-        self.total, self.kinds, self.spare, self.least = totals
+    def __init__(self, folders: list[str], chunk: int, totals: tuple[int, int, float]):
+        self.total, self.kinds, self.spare = totals
         self.uni = Side(folders[0], chunk, ("n",))
         self.more = [Side(f, chunk, ("n", "keep", "of")) for f in folders[1:]]
 
@@ -198,9 +198,9 @@ def _contexts(level: int, folders: list[str], totals):
                 t = Tokens(h, off)
                 n, p, shorter = model.probability(t, level - 1)
                 of = model.occurrences(t, level)
-                may = (of >= model.least) & shorter
+                may = (of >= MIN) & shorter
                 count = learn[i : i + len(off) - 1][t.doc].astype(np.int64)
-                both = may & (n >= model.least)
+                both = may & (n >= MIN)
                 c = t.context[level]
                 seen.add(np.concatenate([t.full(level)[both], c[may]]), np.concatenate([count[both], np.zeros(may.sum(), np.int64)]), np.concatenate([c[both], c[may]]), np.concatenate([of[both], of[may]]).astype(np.int64), np.concatenate([p[both], p[may]]))
         yield from _emit(now, seen, names)
@@ -261,12 +261,12 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DE
     counts = spark.read.schema("key long, n long, first boolean, chunk long").parquet(folders[0]).where("first AND n > 0")
     total, kinds, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     spare = min(max(ones / max(ones + 2 * twos, 1), 0.05), 0.95)
-    totals = (total, kinds, spare, max(MIN, SHARE * total))
+    totals = (total, kinds, spare)
     for level in range(1, depth + 1 if total else 1):
         found = rows.mapInArrow(_contexts(level, list(folders), totals), "chunk long, key long, n long, context long, of long, p double")
         found = scratch.save(found.select("chunk", "key", F.sum("n").over(by_key).alias("n"), "context", "of", "p", (F.row_number().over(by_key.orderBy("chunk")) == 1).alias("first")), f"found-{level}")
         gain = found.where("first AND key != context AND n > 0").groupBy("context").agg(F.sum("n").alias("sum"), F.count("*").alias("next"), F.first("of").alias("of"), F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("p"))).alias("gain"), F.sum("p").alias("mass"))
-        # the symbols of smaller share are one more symbol of the comparison
+        # the rarer symbols are one more symbol of the comparison
         rest = F.when(F.col("sum") < F.col("of"), (F.col("of") - F.col("sum")) * F.log((F.col("of") - F.col("sum")) / F.col("of") / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0.0)
         states = gain.where(F.col("gain") + rest > PENALTY * 0.5 * F.col("next") * F.log("of"))
         states = states.select("context", ((F.col("of") - F.col("sum") + DISCOUNT * F.col("next")) / F.col("of")).alias("keep"))

@@ -384,6 +384,19 @@ def test_context_model_learns(spark):
     assert got[x].score > got[x].base_score
 
 
+def test_rare_contexts_stay_states_in_a_large_corpus(spark):
+    """A word seen 20 times among 700,000 still predicts its follower."""
+    rng = random.Random(3)
+    learn = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:90]
+    vocab = [f"w{i}" for i in range(60)]
+    train = [(i, " ".join(rng.choices(vocab, k=10_000))) for i in learn[:70]] + [(i, "alpha beta") for i in learn[70:]]
+    ask = next(i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([*train, (ask, "alpha beta")], "doc_id long, text string")
+    got = next(r for r in suffix_lm.score_texts(docs).collect() if r.doc_id == ask)
+    assert got.held_out and got.train_tokens > 700_000
+    assert got.score > got.base_score + 3
+
+
 def test_lm_edges(edge, none):
     rows = suffix_lm.score_texts(edge).collect()
     assert len(rows) == edge.count() and all(r.score <= 0 and math.isfinite(r.score) for r in rows)
