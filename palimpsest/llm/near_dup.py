@@ -14,8 +14,9 @@ joined otherwise, the node is read again: its documents with candidates in other
 components are brought together with their texts, and all those pairs are
 confirmed in place, so no candidate is dropped and only links are emitted. Nodes of one tree with
 over ``HOT`` rows are branched further before they are dealt out, then salted,
-with their pivot in each salt and all rows outside the pivot's component in
-every salt at the second reading.
+with their pivot in each salt. A node that was salted, or a large leaf cut into
+blocks, is read again in all its salts if its rows lie in more than one component,
+with all rows outside its commonest component in every salt.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; texts with equal sets are one class (their smallest id stands for it);
@@ -155,13 +156,14 @@ def _across(label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 
 def _candidates(again: bool):
-    """Of each leaf, the pairs of a spanning forest; or its documents with candidates in other components."""
+    """Of each leaf, the pairs of a spanning forest, and a mark (agree -1) of each node not compared whole; or its documents with candidates in other components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            g, tree, ids, skip, label = (t.column(c).to_numpy() for c in ("g", "tree", "id", "skip", "label"))
+            g, node, salted, tree, ids, skip, label = (t.column(c).to_numpy() for c in ("g", "node", "salted", "tree", "id", "skip", "label"))
             sig = _signature_rows(t)
             found: list[tuple[int, int, int, int]] = []
+            partial = set() if again else set(node[salted].tolist())
             for rows in _leaves(g, tree, sig, skip):
                 rows = rows[np.argsort(ids[rows], kind="stable")]
                 rows = rows[np.concatenate([[True], ids[rows][1:] != ids[rows][:-1]])]
@@ -174,15 +176,18 @@ def _candidates(again: bool):
                         name = mix(g[rows[:1]].astype(np.uint64) * np.uint64(31) + ids[rows[:1]].astype(np.uint64)).astype(np.int64)[0]
                         found += [(name, i, x, 0) for i, x in zip(ids[rows], label[rows], strict=True)]
                     continue
+                if len(rows) > LEAF:
+                    partial.add(int(node[rows[0]]))
                 for i in range(0, len(rows), LEAF):
                     block = rows[i : i + LEAF]
                     if i:  # of a node that stays large: its first rows link the blocks
                         block = np.concatenate([rows[:4], block])
                     agree = agreements(sig[block], sig[block])
                     if np.count_nonzero(agree >= AGREE) > len(block):
-                        found += [(min(ids[block[a]], ids[block[b]]), max(ids[block[a]], ids[block[b]]), int(agree[a, b]), g[block[a]]) for a, b in _forest(agree)]
+                        found += [(min(ids[block[a]], ids[block[b]]), max(ids[block[a]], ids[block[b]]), int(agree[a, b]), node[block[a]]) for a, b in _forest(agree)]
+            found += [(x, x, -1, x) for x in partial]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found, strict=True)], ["a", "b", "agree", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found, strict=True)], ["a", "b", "agree", "node"])
 
     return run
 
@@ -262,28 +267,33 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _dealt(reps: DataFrame, scratch: Scratch, labels: DataFrame | None) -> DataFrame:
-    """Rows (g, tree, id, sig, skip, label), a node's rows under one g; hot nodes branched, then salted."""
+    """Rows (g, node, salted, tree, id, sig, skip, label), a node's rows under one g; hot nodes branched, then salted, a g for each salt."""
     rows = reps if labels is None else reps.join(labels, "id", "left")
     rows = rows.select("id", "sig", (F.coalesce("label", "id") if labels is not None else F.lit(-1).cast("long")).alias("label"), F.posexplode("keys").alias("tree", "key"))
     size = rows.groupBy("key").agg(F.count("*").alias("n"))
     hot = scratch.save(size.where(F.col("n") > HOT), "hot-again" if labels is not None else "hot")
+    plain = [F.col("key").alias("g"), F.col("key").alias("node"), F.lit(False).alias("salted"), "tree", "id", "sig", F.lit(0).alias("skip"), "label"]
     if hot.isEmpty():
-        return rows.select(F.col("key").alias("g"), "tree", "id", "sig", F.lit(0).alias("skip"), "label")
-    cold = rows.join(hot, "key", "left_anti").select(F.col("key").alias("g"), "tree", "id", "sig", F.lit(0).alias("skip"), "label")
+        return rows.select(*plain)
+    cold = rows.join(hot, "key", "left_anti").select(*plain)
     paths = F.array(*[F.array(*[F.lit(int(c) + 1) for c in PATHS[t][1:4]]) for t in range(TREES)])
     warm = rows.join(hot.select("key"), "key").withColumn("c", paths[F.col("tree")])
     warm = warm.withColumn("g", F.expr("xxhash64(key, substring(sig, c[0], 1), substring(sig, c[1], 1), substring(sig, c[2], 1))"))
     warm = warm.select("g", "tree", "id", "sig", F.lit(3).alias("skip"), "label")
     per = warm.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("id", "tree", "sig", "label")).alias("p"))
     per = per.select("g", "p", F.greatest(F.lit(1), F.ceil(F.col("n") / HOT)).alias("parts"))
+    if labels is not None:
+        common = warm.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "label")).alias("c"))
+        per = per.join(common.select("g", F.col("c.label").alias("common")), "g")
     warm = warm.join(per, "g")
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")))
+    own = F.array(F.pmod(F.xxhash64("id", "g"), F.col("parts")))  # g differs by tree
     everywhere = F.expr("sequence(0L, parts - 1)")
-    where = F.when(F.col("label") != F.col("p.label"), everywhere).otherwise(own) if labels is not None else own
+    where = F.when(F.col("label") != F.col("common"), everywhere).otherwise(own) if labels is not None else own
     warm = warm.withColumn("part", F.explode(where))
     pivots = per.where("parts > 1").withColumn("part", F.explode(everywhere)).select("g", F.col("p.tree").alias("tree"), F.col("p.id").alias("id"), F.col("p.sig").alias("sig"), F.lit(3).alias("skip"), F.col("p.label").alias("label"), "part")
-    warm = warm.select("g", "tree", "id", "sig", "skip", "label", "part").unionByName(pivots)
-    return cold.unionByName(warm.withColumn("g", F.when(F.col("part") > 0, F.xxhash64("g", "part")).otherwise(F.col("g"))).drop("part"))
+    warm = warm.select("g", "tree", "id", "sig", "skip", "label", "part", (F.col("parts") > 1).alias("salted")).unionByName(pivots.withColumn("salted", F.lit(True)))
+    warm = warm.withColumn("node", F.col("g")).withColumn("g", F.when(F.col("part") > 0, F.xxhash64("g", "part")).otherwise(F.col("g")))
+    return cold.unionByName(warm.drop("part"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,21 +306,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps = full.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("r"))
     reps = scratch.save(reps.select("digest", F.col("r.doc_id").alias("id"), "r.sig", "r.keys"), "reps")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pair_type = "a long, b long, agree long, g long"
+    pair_type = "a long, b long, agree long, node long"
 
     def bounded(ids: DataFrame) -> DataFrame:
         """A saved table of single ids, broadcast if it is small enough."""
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    def compared(labels: DataFrame | None, only: DataFrame | None) -> DataFrame:
-        rows = _dealt(reps, scratch, labels)
-        if only is not None:
-            rows = rows.join(bounded(only), "g", "left_semi")
+    def compared(rows: DataFrame, again: bool) -> DataFrame:
         rows = rows.repartition(width, "g").sortWithinPartitions("g")
-        return rows.select("g", "tree", "id", "sig", "skip", "label").mapInArrow(_candidates(labels is not None), pair_type)
+        return rows.select("g", "node", "salted", "tree", "id", "sig", "skip", "label").mapInArrow(_candidates(again), pair_type)
 
-    seen = scratch.save(compared(None, None), "candidates")
-    pairs = seen.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    seen = scratch.save(compared(_dealt(reps, scratch, None), False), "candidates")
+    partial = scratch.save(seen.where("agree < 0").select("node").distinct(), "partial")
+    pairs = seen.where("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     first = both.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("m"))
     first = first.select(F.least(F.col("a"), -F.col("m.b")).alias("a"), F.greatest(F.col("a"), -F.col("m.b")).alias("b")).distinct()
@@ -336,7 +344,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     repeated = signed.count() != signed.select("doc_id").distinct().count()
     labels = None
-    if not first.isEmpty():
+    if not seen.isEmpty():
         texts = texts_of(ids_of(pairs), "texts")
         checked = confirmed(first, "confirmed-1")
         labels = scratch.save(components(checked.where("ok"), scratch, "c1"), "labels-1")
@@ -359,9 +367,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             more = confirmed(second, "confirmed-2")
             labels, checked = joined(labels, more, "c2"), checked.unionByName(more)
         failed = apart(checked.where("NOT ok").select("a", "b"), labels).select("a", "b")
-        nodes = scratch.save(seen.join(failed, ["a", "b"], "left_semi").select("g").distinct(), "nodes")
+        nodes = seen.where("agree >= 0").join(failed, ["a", "b"], "left_semi").select("node")
+        dealt = None
+        if not partial.isEmpty():  # compared in parts: again, unless one component holds all
+            dealt = _dealt(reps, scratch, labels)
+            spread = dealt.join(bounded(partial), "node", "left_semi").groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            nodes = nodes.unionByName(spread.where("low != high").select("node"))
+        nodes = scratch.save(nodes.distinct(), "nodes")
         if not nodes.isEmpty():
-            mixed = compared(labels, nodes).select(F.col("a").alias("group"), F.col("b").alias("id"), F.col("agree").alias("label"))
+            dealt = _dealt(reps, scratch, labels) if dealt is None else dealt
+            mixed = compared(dealt.join(bounded(nodes), "node", "left_semi"), True).select(F.col("a").alias("group"), F.col("b").alias("id"), F.col("agree").alias("label"))
             mixed = scratch.save(mixed, "mixed")
             if not mixed.isEmpty():
                 ids = mixed.select("id").distinct()

@@ -124,6 +124,23 @@ def test_near_duplicates_in_hot_nodes(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 2).collect()} == want
 
 
+def test_near_duplicates_whose_only_partner_is_in_another_salt(spark, monkeypatch):
+    """In a single tree with nodes salted to single rows, a pair that shares its node is found."""
+    dealt = near_dup._dealt
+    monkeypatch.setattr(near_dup, "HOT", 1)
+    monkeypatch.setattr(near_dup, "_dealt", lambda reps, *more: dealt(reps.withColumn("keys", F.slice("keys", 1, 1)), *more))
+    core = [f"c{i}" for i in range(55)]
+    texts = {}
+    for i in range(200):
+        own = [f"x{i}y{j}" for j in range(45)]
+        texts[i], texts[500 + i] = " ".join(core + own), " ".join([*core, *own, "p"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = dict(zip(texts, (tuple(near_dup.minwise(s)[near_dup.PATHS[0, :4]]) for s in wordvec.shingle_sets(pa.array(texts.values()), 2)), strict=True))
+    want = {i: i - 500 if i >= 500 and path[i] == path[i - 500] else i for i in texts}
+    assert max(Counter(path.values()).values()) > 10
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 2).collect()} == want
+
+
 def test_near_duplicates_edges(edge, none):
     got = defaultdict(list)
     for r in near_dup.near_duplicates(edge, 2).collect():
