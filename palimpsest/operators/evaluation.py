@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -144,12 +145,28 @@ def mulberry(seed: int):
         yield (t ^ t >> 14) / 4294967296
 
 
+def mulberry_block(seed: int, start: int, count: int) -> np.ndarray:
+    """Numbers start to start + count of mulberry(seed), as an array."""
+    k = np.arange(start + 1, start + count + 1, dtype=np.uint64)
+    state = (np.uint64(seed & 0xFFFFFFFF) + k * np.uint64(0x6D2B79F5)).astype(np.uint32)
+    t = (state ^ state >> np.uint32(15)) * (state | np.uint32(1))
+    t ^= t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))
+    return (t ^ t >> np.uint32(14)) / 4294967296
+
+
 def paired_bootstrap(deltas: list[float], resamples: int = 10_000, seed: int = 42, comparisons: int = 12) -> dict:
     """Mean difference, its interval at 5 % over the comparisons, and p-values, from one seeded stream."""
     if not deltas:
         raise ValueError("no paired differences")
-    draw, n = mulberry(seed), len(deltas)
-    means = sorted(sum(deltas[int(next(draw) * n)] for _ in range(n)) / n for _ in range(resamples))
+    values, n, means = np.asarray(deltas, float), len(deltas), []
+    for i in range(resamples):
+        total = 0.0
+        for j in range(0, n, 1_000_000):
+            some = values[(mulberry_block(seed, i * n + j, min(1_000_000, n - j)) * n).astype(np.int64)]
+            some[0] += total
+            total = float(np.cumsum(some)[-1])  # added in order
+        means.append(total / n)
+    means.sort()
     at = lambda p: means[min(resamples - 1, max(0, math.floor(p * resamples)))]
     alpha = 0.05 / comparisons
     raw = min(1.0, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / resamples)

@@ -127,8 +127,8 @@ def batch_planning(spark, d):
 
 @query()
 def bootstrap_gate(spark, d):
-    """The paired bootstrap over one seeded stream, on the driver: a bounded list of differences."""
-    e = table(spark, d, "benchmark").select("item_id").orderBy("item_id").limit(2000)
+    """The paired bootstrap over one seeded stream, on the driver: one difference for each item of the benchmark."""
+    e = table(spark, d, "benchmark").select("item_id").orderBy("item_id")
     deltas = [float((r[0] % 3 == 0) - (r[0] % 7 == 0)) for r in e.collect()]
-    b = evaluation.paired_bootstrap(deltas, resamples=200)
+    b = evaluation.paired_bootstrap(deltas)
     return spark.createDataFrame([(b["mean"], b["low"], b["high"], b["p"], b["adjusted_p"], b["improves"])], "mean double, low double, high double, p double, adjusted_p double, improves boolean")

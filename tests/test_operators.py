@@ -265,6 +265,27 @@ def test_bootstrap():
         evaluation.paired_bootstrap([])
 
 
+def test_bootstrap_takes_the_stream_in_order():
+    rng = random.Random(2)
+    deltas = [rng.choice([-1.0, 0.0, 1.0]) for _ in range(70)]
+    draw = evaluation.mulberry(42)
+    means = sorted(sum(deltas[int(next(draw) * 70)] for _ in range(70)) / 70 for _ in range(300))
+    b = evaluation.paired_bootstrap(deltas, 300)
+    assert (b["low"], b["high"]) == (means[0], means[299])
+    assert b["p"] == min(1.0, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / 300)
+
+
+def test_bootstrap_gate_takes_all_items(spark, tmp_path):
+    from palimpsest.plans.queries import QUERIES
+
+    spark.range(3000).withColumnRenamed("id", "item_id").write.parquet(str(tmp_path / "benchmark.parquet"))
+    deltas = [float((i % 3 == 0) - (i % 7 == 0)) for i in range(3000)]
+    got = QUERIES["bootstrap_gate"](spark, str(tmp_path)).first()
+    assert got["mean"] == sum(deltas) / 3000
+    want = evaluation.paired_bootstrap(deltas, 10_000)
+    assert (got.low, got.high, got.p) == (want["low"], want["high"], want["p"])
+
+
 def test_sample_has_its_size(spark):
     df = spark.createDataFrame([(i, "abc"[min(i % 7, 2)]) for i in range(100)], "id long, part string")
     a = evaluation.hash_sample(df, "id", "part", 13)
