@@ -138,24 +138,23 @@ class Codec:
         return out
 
     def _columns(self, words: list[str]):
-        """Each distinct piece's ids, their decimal digits with a space before each, and what they decode to."""
+        """Each distinct piece's ids, and their decimal digits with a space before each."""
         ids, size = self.encode_pieces([w.encode("utf-8", "replace") for w in words])
         wide = self.digit_size[ids]
         digits = gather(self.digits, self.digit_start[ids], wide), np.add.reduceat(wide, np.cumsum(size) - size)
-        back = self.decode_lists(ids, size)
-        return [(ids, size), digits, (np.frombuffer(b"".join(back), np.uint8), np.array([*map(len, back)], np.int64))]
+        return [(ids, size), digits]
 
-    def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes, bytes]]:
-        """Each text's ids, their decimal digits joined by spaces, and the bytes they decode to."""
+    def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Each text's ids, and their decimal digits joined by spaces."""
         for _, text, starts, hashes, off in pieces(texts):
             slots = self.pieces(text, starts, hashes)
             cols = []
-            for k in range(3):
+            for k in range(2):
                 flat, size = self.pieces.values(k, slots)
                 cut = np.concatenate([[0], np.cumsum(size)])[off].tolist()
                 cols.append([flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            for ids, digits, back in zip(*cols, strict=True):
-                yield ids, digits[1:].tobytes(), back.tobytes()
+            for ids, digits in zip(*cols, strict=True):
+                yield ids, digits[1:].tobytes()
 
 
 @cache
@@ -181,7 +180,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "tex
     """``(doc_id, ids)`` of every row; ranks is the path of a rank file that all executors have."""
 
     def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
-        return [pa.array([ids for ids, _, _ in codec.documents(texts)], pa.list_(pa.int32()))]
+        return [pa.array([ids for ids, _ in codec.documents(texts)], pa.list_(pa.int32()))]
 
     return _slim(docs, id_col, text, "string").mapInArrow(_partition(ranks, make, ["ids"]), "doc_id long, ids array<int>")
 
@@ -204,8 +203,23 @@ def digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "te
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row."""
 
     def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
-        rows = [(len(ids), hashlib.sha256(digits).hexdigest(), hashlib.sha256(back).hexdigest()) for ids, digits, back in codec.documents(texts)]
-        n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+        n, a, b, held = [], [], [], []
+
+        def check() -> None:
+            if held:
+                b.extend(hashlib.sha256(x).hexdigest() for x in codec.decode_lists(np.concatenate(held), np.array([*map(len, held)])))
+                held.clear()
+
+        waiting = 0
+        for ids, digits in codec.documents(texts):
+            n.append(len(ids))
+            a.append(hashlib.sha256(digits).hexdigest())
+            held.append(ids)
+            waiting += len(ids)
+            if waiting > 200_000:
+                check()
+                waiting = 0
+        check()
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
     return _slim(docs, id_col, text, "string").mapInArrow(_partition(ranks, make, ["n_tokens", "ids_sha256", "decoded_sha256"]), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

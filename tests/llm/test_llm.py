@@ -286,6 +286,18 @@ def test_bpe_equals_the_library(spark, edge, none, texts):
     assert bpe_duckdb.digests(none, RANKS).count() == 0
 
 
+def test_digests_decode_the_ids_of_whole_documents(spark, monkeypatch):
+    """Ids put together wrongly show in the decoded bytes."""
+    whole = bpe_duckdb.Codec.documents
+    monkeypatch.setattr(bpe_duckdb.Codec, "documents", lambda self, texts: ((ids[::-1], *more) for ids, *more in whole(self, texts)))
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(bpe_duckdb, "_partition", lambda path, make, names: made.append(make) or (lambda batches: batches))
+    bpe_duckdb.digests(docs, RANKS)
+    got = made[0](bpe_duckdb.codec_of(RANKS), pa.array(["one two three"]))
+    assert got[2].to_pylist() == [hashlib.sha256(b" three twoone").hexdigest()]
+
+
 def test_long_pieces_take_the_same_merges():
     codec, rng = bpe_duckdb.codec_of(RANKS), random.Random(2)
     words = ["".join(rng.choice("abehnrst") for _ in range(40)).encode() for _ in range(50)]
