@@ -23,6 +23,7 @@ empty table gives no files and no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -157,27 +158,30 @@ def _place(folder: str):
 
 
 @cache
-def _tokenizer(path: str) -> PieceTable:
+def _tokenizer(path: str):
+    """(the library's tokenizer, a table of encoded pieces, the strings that it treats as special tokens)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode(words: list[str]):
         each = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
         return [(np.fromiter((x for ids in each for x in ids), np.uint32), np.array([*map(len, each)], np.int64))]
 
-    return PieceTable(encode)
+    return tok, PieceTable(encode), [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
 def token_ids(texts: pa.Array, tokenizer: str) -> Iterator[np.ndarray]:
-    """The library's ids of each whole text; a distinct pre-token is encoded once."""
-    table = _tokenizer(tokenizer)
+    """The library's ids of each whole text; a distinct pre-token is encoded once, a text with a special token's string as a whole."""
+    tok, table, special = _tokenizer(tokenizer)
     for _, text, starts, hashes, off in pieces(texts):
         flat, size = table.values(0, table(text, starts, hashes))
         cut = np.concatenate([[0], np.cumsum(size)])[off].tolist()
-        yield from (flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
+        edge = np.append(starts, len(text))[off]
+        marked = {int(np.searchsorted(edge, m.start(), side="right")) - 1 for s in special for m in re.finditer(re.escape(s), text)}
+        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            yield np.array(tok.encode(text[edge[k] : edge[k + 1]], add_special_tokens=False).ids, np.uint32) if k in marked else flat[a:b]
 
 
 def _writer(tokenizer: str, folder: str, end: int, file_ids: int):

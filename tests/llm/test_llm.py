@@ -330,15 +330,15 @@ def test_token_files(spark, edge, none, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
-    docs = spark.createDataFrame([*texts.items(), (10**6, None)], "doc_id long, text string").repartition(5)
+    texts = texts | {10**6 + k: t for k, t in enumerate([None, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y <|endoftext", "|> <|endof", "text|>", ""])}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
     got = token_binary.token_files(docs, TOKENIZER, file_ids=20_000).orderBy("doc_id").collect()
     at = 0
     for r in got:
         ids = np.array([*tok.encode(texts.get(r.doc_id) or "", add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert len(got) == len(texts) + 1
+    assert len(got) == len(texts)
     e = token_binary.token_files(edge, TOKENIZER).collect()
     assert len(e) == edge.count() and sum(r.doc_id is None for r in e) == 1
     assert {r.start + r.n_tokens for r in e} - {r.start for r in e} == {sum(r.n_tokens for r in e)}
@@ -504,6 +504,18 @@ def test_sharding_law_and_mixture(spark, edge, none, sf, texts):
     assert sharding.shard_table(none).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, edge, tmp_path):
+    """Repeated and null ids take a place each; clashing columns are kept under another name."""
+    sharding.write_shards(edge, str(tmp_path / "out"), 4)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {*out.columns} == {*edge.columns} - {"shard"} | {"shard", "shard_", "slot"}
+    rows = out.collect()
+    assert sorted(((r.doc_id, r.text, r.shard_) for r in rows), key=str) == sorted(((r.doc_id, r.text, r.shard) for r in edge.collect()), key=str)
+    per = Counter(r.shard for r in rows)
+    assert max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(per[s])) for s in per)
+
+
 def test_sharding_is_the_same_in_any_order(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (sorted(sharding.shard_table(x).select("doc_id", "shard", "slot").collect()) for x in (docs, docs.repartition(7)))
