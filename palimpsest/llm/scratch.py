@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names it; only where that is unset (tests, one machine)
-a temporary folder of this machine is taken. A table written here is complete
+``spark.checkpoint.dir`` names it; only where that is unset and the master is
+this machine alone, a temporary folder is taken; on a cluster that is an error. A table written here is complete
 on shared storage, so a lost executor costs no more than its running tasks.
 """
 
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -23,33 +23,34 @@ from pyspark.sql.window import Window as W
 DIGITS = 3  # 4,096 buckets, of each source's shuffle and of the fractional rank
 
 
-def interleave(docs: DataFrame, shards: int = 8, seed: int = 20, id_col: str = "doc_id", source: str = "source", text: str = "text", digits: int = DIGITS) -> DataFrame:
-    """``(id, source, size, text_crc32, shard, slot)`` of every row."""
+def interleave(docs: DataFrame, shards: int = 8, seed: int = 20, id_col: str = "doc_id", source: str = "source", text: str = "text", digits: int = DIGITS, row: str | None = None) -> DataFrame:
+    """``(id, src, size, text_crc32, row, shard, slot)`` of every row; row: a column that tells rows apart that are equal otherwise."""
     m = 16**digits
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("-")).alias("src"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        (F.col(row) if row else F.lit(0)).cast("long").alias("row"),
     )
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
     per = rows.groupBy("src", "bucket").agg(F.count("*").alias("n"))
     upto = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     per = per.select("src", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("src")).alias("of"))
-    inside = W.partitionBy("src", "bucket").orderBy("key", "id", "text_crc32", "size")
+    inside = W.partitionBy("src", "bucket").orderBy("key", "id", "text_crc32", "size", "row")
     ranked = rows.join(per, ["src", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
     # (2 rank + 1) / (2 of): the slice is exact in whole numbers
-    ranked = ranked.select("id", "src", "size", "text_crc32", "key", ((2 * F.col("rank") + 1) / (2 * F.col("of"))).alias("frac"), F.expr(f"(2 * rank + 1) * {m}L div (2 * of)").alias("slice"))
+    ranked = ranked.select("id", "src", "size", "text_crc32", "row", "key", ((2 * F.col("rank") + 1) / (2 * F.col("of"))).alias("frac"), F.expr(f"(2 * rank + 1) * {m}L div (2 * of)").alias("slice"))
     sizes = ranked.groupBy("slice").agg(F.count("*").alias("n"))  # at most m rows
     sizes = sizes.select("slice", F.coalesce(F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    order = W.partitionBy("slice").orderBy("frac", "src", "key", "id", "text_crc32", "size")
+    order = W.partitionBy("slice").orderBy("frac", "src", "key", "id", "text_crc32", "size", "row")
     placed = ranked.join(F.broadcast(sizes), "slice").withColumn("at", F.col("ahead") + F.row_number().over(order) - 1)
     q, r = f"(total div {shards})", f"(total % {shards})"
     shard = f"CASE WHEN at < {r} * ({q} + 1) THEN at div ({q} + 1) ELSE {r} + (at - {r} * ({q} + 1)) div greatest({q}, 1L) END"
     placed = placed.withColumn("shard", F.expr(shard).cast("int"))
     first = f"(shard * {q} + least(shard, {r}))"
-    return placed.select("id", "src", "size", "text_crc32", "shard", F.expr(f"at - {first}").cast("long").alias("slot"))
+    return placed.select("id", "src", "size", "text_crc32", "row", "shard", F.expr(f"at - {first}").cast("long").alias("slot"))
 
 
 def shard_table(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
@@ -59,8 +60,20 @@ def shard_table(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, **options) -> None:
-    """Writes whole rows as ``path/shard=k``, each shard in slot order over files of its own."""
-    id_col = options.get("id_col", "doc_id")
-    where = interleave(docs, shards, **options).select(F.col("id").alias("_id"), "shard", "slot").dropDuplicates(["_id"])
-    full = docs.join(where, docs[id_col].eqNullSafe(where["_id"])).drop("_id")
+    """Writes whole rows as ``path/shard=k``, each shard in slot order over files of its own.
+
+    Rows go through ``interleave`` with a number of their own, so rows of equal
+    ids take a place each; a column of docs named ``shard`` or ``slot`` is written
+    as ``shard_`` or ``slot_``.
+    """
+    from palimpsest.llm.scratch import Scratch
+
+    scratch = Scratch(docs.sparkSession, "shards")
+    names = {c: c + "_" if c.lower() in ("shard", "slot") else c for c in docs.columns}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    options = {k: names.get(v, v) if k in ("id_col", "source", "text") else v for k, v in options.items()}
+    rows = scratch.save(renamed.withColumn("_row", F.monotonically_increasing_id()), "rows")  # saved, so the numbers stay
+    where = interleave(rows, shards, row="_row", **options).select(F.col("row").alias("_row"), "shard", "slot")
+    full = rows.join(where, "_row").drop("_row")
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    scratch.drop("rows")
