@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.pretok import PieceTable, gather, pieces
+from palimpsest.llm.wordvec import release
 
 LONG, WORDS = 48, 65_536
 
@@ -167,7 +168,10 @@ def _partition(path: str, make, names: list[str]):
         for batch in batches:
             codec = codec_of(path)
             yield pa.RecordBatch.from_arrays([batch.column(0), *make(codec, batch.column(1))], ["doc_id", *names])
+            del codec
+            release()
         codec_of.cache_clear()  # a worker that goes on with other work keeps nothing
+        release()
 
     return run
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.wordvec import PLAIN, shingles, words
+from palimpsest.llm.wordvec import PLAIN, release, shingles, words
 
 MATCH, COVERAGE, BLOCK_BYTES = 3, 60, 32 << 20
 
@@ -129,6 +129,7 @@ def _without(shared, at: int, match: int, coverage: int):
             keep = np.ones(len(batch), bool)
             keep[[r[0] for r in found(seeds, batch.column(at), match, coverage)]] = False
             yield batch.filter(pa.array(keep))
+            release()
 
     return run
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.scratch import Scratch
-from palimpsest.llm.wordvec import mix, shingle_sets
+from palimpsest.llm.wordvec import mix, release, shingle_sets
 
 COORDS, TREES, LEAF, DEPTH = 64, 16, 128, 8
 HOT, STAR = 20_000, 2_000
@@ -71,6 +71,7 @@ def _signatures(k: int):
             sig = (mix(m) >> np.uint64(56)).astype(np.uint8)
             keys = mix(m[:, PATHS[:, 0]] + trees + np.uint64(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig", "keys"])
+            release()
 
     return run
 
@@ -188,6 +189,7 @@ def _candidates(again: bool):
             found += [(x, x, -1, x) for x in partial]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found, strict=True)], ["a", "b", "agree", "node"])
+            release()
 
     return run
 
@@ -217,6 +219,7 @@ def _links(k: int, percent: int):
                                 label[a:b][label[a:b] == label[a + y]] = label[a + x]
             p, q, ok = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            release()
 
     return run
 
@@ -238,6 +241,7 @@ def _confirm(k: int, percent: int):
                 out.append((hub[i], ids[i], 100 * both >= percent * (len(centre) + len(s) - both)))
             a, b, ok = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            release()
 
     return run
 

@@ -3,8 +3,8 @@
 A document becomes a row of statistics of its whole text (sizes, shares of kinds
 of characters, repetition, stop words). Standardised statistics go through
 ``FEATURES`` random cosines, whose products approximate a Gaussian kernel.
-Partitions sum their normal equations; the sums of ``PARTS`` partitions meet on
-the driver and are solved there. Scores of a part of the sample that the ridge
+Partitions sum their normal equations; the sums of ``PARTS`` partitions are added
+up in one task, and the driver solves them. Scores of a part of the sample that the ridge
 did not see are calibrated by isotonic regression, made strictly increasing
 between its steps.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality_rules import STOP_WORDS
-from palimpsest.llm.wordvec import buffers, shingles, words
+from palimpsest.llm.wordvec import buffers, release, shingles, words
 
 FEATURES, RIDGE, SAMPLE, PARTS, CLIP = 256, 1e-3, 20_000, 8, 4.0
 KINDS = ["A-Z", "a-z", "0-9", " ", "\n", "!", "|", "#*$%&<>", ".", ",", "@/:_", "high"]
@@ -135,7 +135,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
 
 
-def _sums(batches: Iterator[pa.RecordBatch], parts, width: int) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], parts) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of parts(x, y) over a partition's rows."""
     total = None
     for batch in batches:
         x = np.array(batch.column("x").to_pylist()).reshape(len(batch), WIDTH)
@@ -145,6 +146,17 @@ def _sums(batches: Iterator[pa.RecordBatch], parts, width: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of the partitions' sums, in their order."""
+    total = None
+    for batch in batches:
+        for x in batch.column("sum"):
+            got = np.frombuffer(x.as_buffer())
+            total = got if total is None else total + got
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, bound: int = SAMPLE) -> Model | None:
     """The model, or None without labelled rows."""
     from palimpsest.llm.scratch import Scratch
@@ -160,8 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     fitted = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) > 0
 
     def summed(df: DataFrame, parts, width: int) -> np.ndarray:
-        got = df.select("x", "y").mapInArrow(lambda it: _sums(it, parts, width), "sum binary").collect()  # PARTS rows
-        return sum((np.frombuffer(r[0]) for r in sorted(got, key=lambda r: r[0])), np.zeros(width))
+        each = df.select("x", "y").mapInArrow(lambda it: _sums(it, parts), "sum binary")  # a row for each of PARTS partitions
+        got = each.repartition(1).sortWithinPartitions("sum").mapInArrow(_added, "sum binary").first()
+        return np.frombuffer(got[0]) if got else np.zeros(width)
 
     moments = summed(sample, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]), 1 + 2 * WIDTH)
     n = moments[0]
@@ -175,11 +188,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         c = cosines(model.standard(x))
-        return np.concatenate([(c.T @ c).reshape(-1), c.T @ y])
-
-    sums = summed(sample.where(fitted), normal, d * d + d)
-    gram = sums[: d * d].reshape(d, d)
-    model.weights = np.linalg.solve(gram + RIDGE * max(gram[-1, -1], 1) * np.eye(d), sums[d * d :])
+        return np.concatenate([(c.T @ c)[upper], c.T @ y])
+
+    upper = np.triu_indices(d)
+    sums = summed(sample.where(fitted), normal, len(upper[0]) + d)
+    gram = np.zeros((d, d))
+    gram[upper] = sums[:-d]
+    gram = gram + np.triu(gram, 1).T
+    model.weights = np.linalg.solve(gram + RIDGE * max(gram[-1, -1], 1) * np.eye(d), sums[-d:])
     rest = sample.where(~fitted).select("x", "y").orderBy("doc_id").collect() or sample.select("x", "y").orderBy("doc_id").collect()  # a quarter of the sample
     scores = cosines(model.standard(np.array([r[0] for r in rest]).reshape(-1, WIDTH))) @ model.weights
     model.knots, model.values = isotonic(scores, np.array([r[1] for r in rest]))
@@ -195,6 +211,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(statistics(batch.column(1))))], ["doc_id", "score"])
+            release()
 
     return slim.mapInArrow(run, "doc_id long, score double")
 
@@ -221,5 +238,6 @@ def filtered(docs: DataFrame, model, accepts, inputs) -> DataFrame:
         for batch in batches:
             texts = batch.column(at)
             yield batch.filter(pa.array(accepts(model.score(inputs(texts)))))
+            release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,8 +12,9 @@ Labels are per document, so training is by multiple instances: the windows of
 toxic documents with the most telling words start as positives; after each
 round, each document's highest windows under the network take their place, and
 the highest windows of clean documents join the negatives. The fit takes at
-most about ``SAMPLE`` labelled rows, chosen by a hash of the id, never those of
-the held-out fold. Word inputs are dropped at random in training, so the
+most about ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of text, chosen by a hash
+of the id among those whose text has ``TEXT_BYTES`` at most, never those of the
+held-out fold. It runs in one task of an executor, which returns the weights. Word inputs are dropped at random in training, so the
 characters alone must carry the decision for words not seen before.
 
 Defined results: a null or wordless text has the score of a text without any
@@ -25,6 +26,7 @@ gives none.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality_model import labelled
-from palimpsest.llm.wordvec import PLAIN, buffers, chunks, mix, span_hashes, word_spans
+from palimpsest.llm.scratch import Scratch
+from palimpsest.llm.wordvec import PLAIN, buffers, chunks, mix, release, span_hashes, word_spans
 
 SPAN, STEP, HIDDEN = 24, 12, 8
 WORD_DIM, CHAR_DIM, BUCKETS, GRAMS = 8, 16, 1 << 15, (3, 4, 5)
 SAMPLE, ROUNDS, STEPS, BATCH, RATE = 4_000, 3, 120, 256, 0.01
-KEEP_WORDS, RUN, SLICE = 300_000, 4096, 8192
+SAMPLE_BYTES, TEXT_BYTES = 16 << 20, 1 << 18
+KEEP_WORDS, RUN, SLICE = 200_000, 4096, 8192
 
 
 def _fold_case(part: np.ndarray) -> np.ndarray:
@@ -218,8 +222,19 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.table = [np.zeros((0, 3 * HIDDEN), np.float32)] * 2
+        self.keys, self.slot, self.filled = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+        self.table = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in range(2)]
+
+    def _add(self, gates: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Slots of new rows of the table, which grows by half."""
+        end = self.filled + len(gates[0])
+        if end > len(self.table[0]):
+            for d in range(2):
+                self.table[d].resize((max(end, len(self.table[d]) * 3 // 2), 3 * HIDDEN), refcheck=False)
+        for d in range(2):
+            self.table[d][self.filled : end] = gates[d]
+        self.filled = end
+        return np.arange(end - len(gates[0]), end, dtype=np.int32)
 
     def slots(self, part: np.ndarray, starts: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -231,15 +246,16 @@ class Scorer:
         known[inside] = self.keys[where[inside]] == unique[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            grams, size = word_grams(part, starts[at[new]], last[at[new]])
-            gates = self.net.gates(self.net.inputs(unique[new], grams, size))
-            slot = len(self.table[0]) + np.arange(len(new))
-            self.table = [np.concatenate(x) for x in zip(self.table, gates, strict=True)]
+            slot = [np.zeros(0, np.int32)]
+            for k in range(0, len(new), SLICE):
+                some = new[k : k + SLICE]
+                grams, size = word_grams(part, starts[at[some]], last[at[some]])
+                slot.append(self._add(self.net.gates(self.net.inputs(unique[some], grams, size))))
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys, kind="stable")
-            self.keys, self.slot = keys[order], np.concatenate([self.slot, slot])[order]
+            self.keys, self.slot = keys[order], np.concatenate([self.slot, *slot])[order]
             where = np.searchsorted(self.keys, unique)
-        return self.slot[where][inverse] if len(unique) else np.zeros(0, np.int64)
+        return self.slot[where][inverse] if len(unique) else np.zeros(0, np.int32)
 
     def logits(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first document, window's document, window's first word, logits, word offsets) of runs of texts."""
@@ -417,12 +433,27 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled network of all rows (text, y), which are the bounded sample in one task."""
+    held = [*batches]
+    net = train([x or "" for b in held for x in b.column(0).to_pylist()], np.concatenate([b.column(1).to_numpy() for b in held])) if held else None
+    del held
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, bound: int = SAMPLE) -> Network | None:
-    """The network, trained on the driver on at most about bound labelled texts."""
-    rows = labelled(docs, labels, label, folds, held, bound).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
-    texts, y = [x or "" for x in rows.column("text").to_pylist()], rows.column("y").to_numpy()
-    del rows
-    return train(texts, y)
+    """The network, trained in one task on at most about bound labelled texts and SAMPLE_BYTES."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = labelled(docs, labels, label, folds, held, bound).select("doc_id", "text", "y").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES)
+    sample = scratch.save(sample, "sample")
+    total = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > SAMPLE_BYTES:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_BYTES / total))
+    rows = sample.repartition(1).sortWithinPartitions("doc_id", "y", "text").select("text", "y")
+    found = rows.mapInArrow(_trained, "net binary").first()  # one row of a few megabytes
+    scratch.drop("sample")
+    return pickle.loads(found[0]) if found else None
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -436,6 +467,9 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: st
         scorer = Scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(batch.column(1)))], ["doc_id", "score"])
+            release()
+        scorer.clear()
+        release()
 
     return slim.mapInArrow(run, "doc_id long, score double")
 
@@ -452,5 +486,8 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
         scorer = Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array(scorer.score(batch.column(at)) < threshold))
+            release()
+        scorer.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)

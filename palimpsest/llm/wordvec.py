@@ -7,6 +7,7 @@ batch, then mixed. Texts are never cut: a batch is split between documents.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that goes on with other work is as small as a new one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, mod 2**64."""
     if len(_powers.get("up", ())) < n:
