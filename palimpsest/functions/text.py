@@ -22,7 +22,12 @@ def ascii_tokens(text: Column) -> Column:
 
 def query_terms(text: Column, min_chars: int = 3, max_terms: int = 32) -> Column:
     """Distinct terms of a question in order, short ones left out."""
-    return F.slice(F.array_distinct(F.filter(ascii_tokens(text), lambda x: F.length(x) >= min_chars)), 1, max_terms)
+    return F.slice(all_terms(text, min_chars), 1, max_terms)
+
+
+def all_terms(text: Column, min_chars: int = 3) -> Column:
+    """Distinct terms of a question in order, short ones left out, however many."""
+    return F.array_distinct(F.filter(ascii_tokens(text), lambda x: F.length(x) >= min_chars))
 
 
 def word_count(text: Column) -> Column:

@@ -64,7 +64,7 @@ def detect_format(content: Column, name: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     text = F.decode(F.substring(content, 1, 4096), "UTF-8")
     low = F.lower(name)
-    nul = F.instr(F.hex(F.substring(content, 1, 4096)), "00") % 2 == 1
+    nul = F.hex(F.substring(content, 1, 4096)).rlike("^(?:[0-9A-F]{2})*?00")  # a whole byte
     both = F.decode(F.concat(F.substring(content, 1, 8192), F.substring(content, -8192, 8192)), "ISO-8859-1")
     lead = F.lower(F.ltrim(text))
     return (

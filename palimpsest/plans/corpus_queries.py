@@ -90,11 +90,11 @@ def chunk_blocks(spark, d):
     return chunk_page_blocks(blocks.select(F.col("page_id").alias("doc_id"), "pos", "kind", "level", "text", F.lit(None).cast("string").alias("header")))
 
 
-@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, json_keys(props)[1] AS pointer FROM events")
+@query("SELECT event_id, '/' || k AS pointer, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_pointers(spark, d):
-    e = table(spark, d, "events")
-    keys = F.json_object_keys("props")
-    return e.select("event_id", "event_type", F.element_at(F.from_json("props", "map<string,string>"), keys[0]).alias("first_value"), keys[0].alias("pointer"))
+    """Every key of each object as a pointer, with its value."""
+    e = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "value"))
+    return e.select("event_id", F.concat(F.lit("/"), "k").alias("pointer"), "value")
 
 
 # --- identity of content ----------------------------------------------------
@@ -108,16 +108,15 @@ _SLUG = "regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({0},
 _SLUGIFY = "CASE WHEN s = '' THEN left(sha256(x), 12) WHEN length(s) > 200 THEN left(s, 187) || '-' || left(sha256(x), 12) ELSE s END"
 
 
-@query(f"WITH a AS (SELECT doc_id, left(text, 15 * CAST(doc_id % 30 AS INTEGER)) AS x FROM documents), t AS (SELECT doc_id, x, {_SLUG.format('x')} AS s FROM a) SELECT doc_id, {_SLUGIFY} AS slug FROM t")
+@query(f"WITH a AS (SELECT doc_id, text AS x FROM documents), t AS (SELECT doc_id, x, {_SLUG.format('x')} AS s FROM a) SELECT doc_id, {_SLUGIFY} AS slug FROM t")
 def slugify(spark, d):
-    x = F.expr("substring(text, 1, CAST(15 * (doc_id % 30) AS INT))")
-    return table(spark, d, "documents").select("doc_id", T.slugify(x).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, left(text, 6) AS x FROM documents), t AS (SELECT doc_id, x, {_SLUG.format('x')} AS s FROM a), u AS (SELECT doc_id, {_SLUGIFY} AS slug FROM t)
+@query(f"""WITH a AS (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents), t AS (SELECT doc_id, x, {_SLUG.format('x')} AS s FROM a), u AS (SELECT doc_id, {_SLUGIFY} AS slug FROM t)
 SELECT slug, count(*) AS members, min(doc_id) AS first_id, max(doc_id) AS last_id FROM u GROUP BY slug HAVING count(*) > 1""")
 def slug_collisions(spark, d):
-    s = table(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 6)).alias("slug"))
+    s = table(spark, d, "documents").select("doc_id", T.slugify(F.substring_index("text", "\n", 1)).alias("slug"))
     return s.groupBy("slug").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("members > 1")
 
 
@@ -141,16 +140,17 @@ def dataset_fingerprint(spark, d):
 
 # --- links -------------------------------------------------------------------
 
-_NAMES = "nm AS (SELECT page_id, list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb WHERE page_id % 10 = 1), n4 AS (SELECT page_id AS to_page_id, array_to_string(w[1:4], ' ') AS name FROM nm WHERE len(w) >= 4), body AS (SELECT page_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ' AS b FROM kb)"
+_NAMES = "nm AS (SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(CASE WHEN trim(title) = '' THEN slug ELSE title END), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS name FROM kb), n4 AS (SELECT name, min(page_id) AS one, min(page_id, 2)[2] AS two FROM nm WHERE length(name) >= 6 GROUP BY name), body AS (SELECT page_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ' AS b FROM kb)"
 
 
-@query(f"WITH {PAGES}, {_NAMES} SELECT page_id AS from_page_id, to_page_id, name FROM body JOIN n4 ON contains(b, ' ' || name || ' ') WHERE page_id <> to_page_id")
+_LINKS = "l AS (SELECT page_id AS from_page_id, CASE WHEN page_id = one THEN two ELSE one END AS to_page_id, name FROM body JOIN n4 ON contains(b, ' ' || name || ' '))"
+
+
+@query(f"WITH {PAGES}, {_NAMES}, {_LINKS} SELECT * FROM l WHERE to_page_id IS NOT NULL")
 def mention_links(spark, d):
-    """Titles' first four tokens as names; found by joining token runs, not by comparing every page with every name."""
+    """Mentions of all pages' whole titles, or their slugs where they have none."""
     p = kb_pages(spark, d)
-    tokens = T.ascii_tokens(F.col("title"))
-    names = p.where("page_id % 10 = 1").select(F.col("page_id").alias("to_page_id"), tokens.alias("w")).where(F.size("w") >= 4).select("to_page_id", F.slice("w", 1, 4).alias("w"))
-    return links.mentions(p.select("page_id", "body"), names)
+    return links.mentions(p.select("page_id", "body"), links.names(p.select("page_id", "title", "slug")))
 
 
 _MD = """md AS (SELECT doc_id AS page_id, 'see [a](/page/doc-' || (doc_id + 1) || '#top) and [b](doc-' || (doc_id * 2) || '?x=1) or [c](http://x.y)' AS body FROM documents),
@@ -175,10 +175,10 @@ def backlinks(spark, d):
     return found.groupBy(F.col("to_page_id").alias("page_id")).agg(F.count("*").alias("backlinks"), F.min("from_page_id").alias("first_from"))
 
 
-@query(f"WITH {PAGES}, {_NAMES}, l AS (SELECT page_id AS from_page_id, to_page_id, name FROM body JOIN n4 ON contains(b, ' ' || name || ' ') WHERE page_id <> to_page_id) SELECT from_page_id, to_page_id, name FROM (SELECT *, row_number() OVER (PARTITION BY to_page_id ORDER BY length(name) DESC, from_page_id) AS k FROM l) WHERE k <= 3")
+@query(f"WITH {PAGES}, {_NAMES}, {_LINKS} SELECT from_page_id, to_page_id, name FROM (SELECT *, row_number() OVER (PARTITION BY from_page_id ORDER BY length(name) DESC, to_page_id) AS k FROM l WHERE to_page_id IS NOT NULL) WHERE k <= 50")
 def link_cap(spark, d):
-    """At most three links into each page, those of the longest names first."""
-    return links.cap(mention_links(spark, d), "to_page_id", [F.desc(F.length("name")), F.asc("from_page_id")], 3)
+    """At most fifty links out of each page, those of the longest names first."""
+    return links.cap(mention_links(spark, d), "from_page_id", [F.desc(F.length("name")), F.asc("to_page_id")])
 
 
 # --- tenancy ------------------------------------------------------------------
@@ -246,19 +246,19 @@ def chunk_count(spark, d):
     return lifecycle.chunk_counts(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")), c)
 
 
-_IDS = "ids AS (SELECT doc_id * 3 AS id FROM documents WHERE doc_id % 2 = 0)"
+_IDS = "ids AS (SELECT doc_id * 3 AS id FROM documents)"
 
 
 @query(f"WITH {PAGES}, {_IDS} SELECT id, CASE WHEN page_id IS NULL OR deleted OR NOT list_has_any(acl, ['self:u3', 'ws:src1', 'ws:src2', 'ws:src0']) THEN 'not_visible' WHEN owner <> 3 THEN 'not_author' ELSE 'ok' END AS outcome FROM ids LEFT JOIN kb ON page_id = id")
 def soft_delete_outcomes(spark, d):
-    ids = table(spark, d, "documents").where("doc_id % 2 = 0").select((F.col("doc_id") * 3).alias("id"))
+    ids = table(spark, d, "documents").select((F.col("doc_id") * 3).alias("id"))
     return lifecycle.delete_outcomes(kb_pages(spark, d), ids, (*GRANTS, "ws:src0"), 3)
 
 
 @query(f"WITH {PAGES}, {_IDS} SELECT id, CASE WHEN page_id IS NULL OR deleted OR NOT list_has_any(acl, ['self:u3', 'ws:src1', 'ws:src2', 'ws:src0']) THEN 'not_visible' WHEN owner <> 3 THEN 'not_author' WHEN acl = ['self:u3'] THEN 'unchanged' WHEN slug IN (SELECT slug FROM kb WHERE page_id % 28 = 0) THEN 'collision' ELSE 'ok' END AS outcome FROM ids LEFT JOIN kb ON page_id = id")
 def rescope_outcomes(spark, d):
     p = kb_pages(spark, d)
-    ids = table(spark, d, "documents").where("doc_id % 2 = 0").select((F.col("doc_id") * 3).alias("id"))
+    ids = table(spark, d, "documents").select((F.col("doc_id") * 3).alias("id"))
     return lifecycle.rescope_outcomes(p, ids, (*GRANTS, "ws:src0"), 3, F.array(F.lit("self:u3")), p.where("page_id % 28 = 0").select("slug"))
 
 

@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from palimpsest.functions import intent as I
 from palimpsest.functions.text import kebab
 from palimpsest.operators import retrieval as R
+from palimpsest.operators.access import visible
 from palimpsest.plans.policy import DEFAULT
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import chunks, questions, table
 
+#: The one who asks may read these; ``SMALL`` is a tenant of a single workspace.
+KEYRING = ("self:u3", *(f"ws:src{i}" for i in range(14)))
+SMALL = ("ws:src1",)
+
+
+def _readable(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) -> DataFrame:
+    """The chunks that a keyring may read; nothing else reaches an arm."""
+    return visible(chunks(spark, d), keyring)
+
+
 _TERMS = """list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"""
 BASE = f"""
-tok AS (SELECT doc_id AS chunk_id, doc_id // 4 AS page_id, text AS content, string_split(text, chr(10))[1] AS title, {_TERMS.format('text')} AS tokens,
-          CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS effective_date, 'Author-' || (doc_id % 7) AS author FROM documents),
+every AS (SELECT doc_id AS chunk_id, doc_id // 4 AS page_id, text AS content, string_split(text, chr(10))[1] AS title, {_TERMS.format('text')} AS tokens,
+          CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS effective_date, 'Author-' || (doc_id % 7) AS author, doc_id % 11 = 0 AS deleted, CASE WHEN doc_id % 5 = 0 THEN ['self:u' || (doc_id % 7)] ELSE ['ws:' || source] END AS acl FROM documents),
+ tok AS (SELECT * FROM every WHERE NOT deleted AND list_has_any(acl, {list(KEYRING)})),
 q0 AS (SELECT item_id AS qid, text AS question, list_filter({_TERMS.format('text')}, lambda x: length(x) >= 3) AS t FROM benchmark),
-q AS (SELECT qid, question, list_filter(t, lambda x, i: list_position(t, x) = i)[1:8] AS terms FROM q0),
-qt AS (SELECT qid, len(terms) AS n, unnest(terms) AS term FROM q),
+q AS (SELECT qid, question, list_filter(t, lambda x, i: list_position(t, x) = i) AS terms FROM q0),
+qt AS (SELECT qid, len(terms) AS n, unnest(terms) AS term, generate_subscripts(terms, 1) <= 32 AS early FROM q),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
-kw AS (SELECT qid, chunk_id, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS positions, count(*) = max(n) AS is_and FROM tf JOIN qt USING (term) GROUP BY qid, chunk_id),
+kw AS (SELECT qid, chunk_id, count(*) FILTER (WHERE early) AS matched, CAST(sum(tf) FILTER (WHERE early) AS BIGINT) AS positions, count(*) = max(n) AS is_and FROM tf JOIN qt USING (term) GROUP BY qid, chunk_id HAVING bool_or(early)),
 kwr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, is_and ORDER BY positions DESC, chunk_id) AS rk FROM kw) WHERE rk <= CASE WHEN is_and THEN 20 ELSE 10 END),
 ttf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_TERMS.format('title')}) AS term FROM tok) GROUP BY ALL),
-tw AS (SELECT qid, chunk_id, CAST(sum(tf) AS BIGINT) AS hits FROM ttf JOIN qt USING (term) GROUP BY ALL),
+tw AS (SELECT qid, chunk_id, CAST(sum(tf) AS BIGINT) AS hits FROM ttf JOIN qt USING (term) WHERE early GROUP BY ALL),
 tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, chunk_id) AS rk FROM tw) WHERE rk <= 10),
-vecs AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings SEMI JOIN documents ON vec_id = doc_id),
+vecs AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings SEMI JOIN tok ON vec_id = chunk_id),
 qv AS (SELECT item_id AS qid, CAST(embedding AS DOUBLE[]) AS qvec FROM benchmark JOIN embeddings ON vec_id = item_id),
 dist AS (SELECT qid, chunk_id, 1 - list_cosine_similarity(qvec, vec) AS dist FROM qv, vecs),
 vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 12), chunk_id) AS rk FROM dist) WHERE rk <= 20),
@@ -51,47 +63,47 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("qid").join(e, F.col("qid") == F.col("vec_id")).select("qid", F.col("embedding").alias("qvec"))
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return e.join(chunks(spark, d).select("chunk_id"), "chunk_id", "left_semi")
+    return e.join(_readable(spark, d, keyring).select("chunk_id"), "chunk_id", "left_semi")
 
 
-def _arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q, c = questions(spark, d), chunks(spark, d)
+def _arms(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, c = questions(spark, d), _readable(spark, d, keyring)
     p = DEFAULT
-    return (R.keyword_arms(R.keyword_matches(q, c), p.keyword_and, p.keyword_or), R.vector_arm(_queries(spark, d), _vectors(spark, d), p.vector), R.title_arm(q, c, p.title))
+    return (R.keyword_arms(R.keyword_matches(q, c, p.max_terms), p.keyword_and, p.keyword_or), R.vector_arm(_queries(spark, d), _vectors(spark, d, keyring), p.vector), R.title_arm(q, c, p.title))
 
 
 def _weight(is_and) -> F.Column:
     return F.when(is_and, DEFAULT.weight_keyword_and).otherwise(DEFAULT.weight_keyword_or)
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    kw, vec, title = _arms(spark, d)
+def _fused(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) -> DataFrame:
+    kw, vec, title = _arms(spark, d, keyring)
     p = DEFAULT
     return R.fuse([(kw, _weight(F.col("is_and")), p.rrf_k), (vec, p.weight_vector, p.rrf_k), (title, p.weight_title, p.rrf_k)])
 
 
-def _blended(spark: SparkSession, d: str) -> DataFrame:
+def _blended(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) -> DataFrame:
     c = chunks(spark, d)
-    capped = R.page_cap(_fused(spark, d), c.select("chunk_id", "page_id"), DEFAULT.max_per_page)
-    pairs = capped.select("qid", "chunk_id").join(_queries(spark, d), "qid").join(_vectors(spark, d), "chunk_id")
+    capped = R.page_cap(_fused(spark, d, keyring), c.select("chunk_id", "page_id"), DEFAULT.max_per_page)
+    pairs = capped.select("qid", "chunk_id").join(_queries(spark, d), "qid").join(_vectors(spark, d, keyring), "chunk_id")
     return R.blend(capped, pairs.select("qid", "chunk_id", R.cosine(F.col("qvec"), F.col("vec")).alias("cos")), DEFAULT.rrf_share)
 
 
 @query(_sql("SELECT qid, chunk_id, matched, positions FROM kw"))
 def kw_or_match(spark, d):
-    return R.keyword_matches(questions(spark, d), chunks(spark, d)).select("qid", "chunk_id", "matched", "positions")
+    return R.keyword_matches(questions(spark, d), _readable(spark, d)).select("qid", "chunk_id", "matched", "positions")
 
 
 @query(_sql("SELECT qid, chunk_id, positions FROM kw WHERE is_and"))
 def kw_and_tier(spark, d):
-    return R.keyword_matches(questions(spark, d), chunks(spark, d)).where("is_and").select("qid", "chunk_id", "positions")
+    return R.keyword_matches(questions(spark, d), _readable(spark, d)).where("is_and").select("qid", "chunk_id", "positions")
 
 
 @query(_sql("SELECT qid, chunk_id, is_and, round(positions * CAST(0.1 AS DOUBLE), 6) AS rank, CAST(rk AS INTEGER) AS rk FROM kwr"))
 def kw_rank_split(spark, d):
-    return R.keyword_arms(R.keyword_matches(questions(spark, d), chunks(spark, d)))
+    return R.keyword_arms(R.keyword_matches(questions(spark, d), _readable(spark, d)))
 
 
 @query(_sql("SELECT qid, chunk_id, round(dist, 6) AS dist, CAST(rk AS INTEGER) AS rk FROM vr"))
@@ -102,13 +114,13 @@ def vec_topk(spark, d):
 @query(_sql("SELECT c.chunk_id, v.vec IS NOT NULL AS has_vector, round(coalesce(list_cosine_similarity(v.vec, (SELECT qvec FROM qv WHERE qid = 1)), 0), 6) AS cos FROM tok c LEFT JOIN vecs v USING (chunk_id)"))
 def null_vector_path(spark, d):
     one = _queries(spark, d).where("qid = 1").select("qvec")  # a single row
-    j = chunks(spark, d).select("chunk_id").join(_vectors(spark, d), "chunk_id", "left").crossJoin(F.broadcast(one))
+    j = _readable(spark, d).select("chunk_id").join(_vectors(spark, d), "chunk_id", "left").crossJoin(F.broadcast(one))
     return j.select("chunk_id", F.col("vec").isNotNull().alias("has_vector"), F.round(F.coalesce(R.cosine(F.col("vec"), F.col("qvec")), F.lit(0.0)), 6).alias("cos"))
 
 
 @query(_sql("SELECT qid, chunk_id, hits, CAST(rk AS INTEGER) AS rk FROM tr"))
 def title_arm(spark, d):
-    return R.title_arm(questions(spark, d), chunks(spark, d))
+    return R.title_arm(questions(spark, d), _readable(spark, d))
 
 
 @query(_sql("SELECT qid, chunk_id, round(rrf, 9) AS rrf FROM fused", ARMS, FUSED))
@@ -141,11 +153,11 @@ def blend_dedup(spark, d):
     return R.top(R.collapse(_blended(spark, d), hashes), DEFAULT.top_k).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) -> DataFrame:
     """Everything: fusion, cap, blend, intent boost, recency, collapse, top."""
     q = questions(spark, d).select("qid", "question", I.intent(F.col("question")).alias("intent"), I.recency_hint(F.col("question")).alias("hint"))
     c = chunks(spark, d).select("chunk_id", "title", "effective_date", F.md5("content").alias("hash"))
-    wide = _blended(spark, d).join(q, "qid").join(c, "chunk_id")
+    wide = _blended(spark, d, keyring).join(q, "qid").join(c, "chunk_id")
     slug = F.concat(F.lit("doc-"), F.col("chunk_id"))
     boost = F.when(R.exact_match(slug, F.col("title"), F.col("question")), 1.25).otherwise(1.0)
     mode = F.when(F.col("qid") % 3 == 0, "on").when(F.col("qid") % 3 == 1, "strong").otherwise(F.col("hint"))
@@ -172,6 +184,12 @@ def hybrid_rrf(spark, d):
     return _hybrid(spark, d).select("qid", "chunk_id", "page_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(_sql("SELECT qid, chunk_id, page_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best", ARMS, FUSED, _HYBRID).replace(str(list(KEYRING)), str(list(SMALL))))
+def hybrid_small_tenant(spark, d):
+    """A tenant with one workspace among many still gets full lists: its rows are picked before any ranking."""
+    return _hybrid(spark, d, SMALL).select("qid", "chunk_id", "page_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH t AS (SELECT doc_id, 'doc-' || doc_id AS slug, string_split(text, chr(10))[1] AS title FROM documents),
 a AS (SELECT doc_id, slug, title, CASE doc_id % 4 WHEN 0 THEN 'Doc ' || doc_id WHEN 1 THEN title WHEN 2 THEN ' ' || upper(slug) ELSE 'Other' END AS question FROM t)
 SELECT doc_id, lower(trim(question)) = slug OR {_KEBAB.format('trim(question)')} = slug OR ends_with(slug, '/' || {_KEBAB.format('trim(question)')}) OR lower(trim(title)) = lower(trim(question)) AS exact FROM a""")
@@ -191,7 +209,7 @@ def recency_factor(spark, d):
 
 @query(_sql("SELECT chunk_id, CAST(effective_date AS VARCHAR) AS effective_date, author FROM tok WHERE effective_date >= DATE '2024-03-01' AND effective_date <= DATE '2024-09-30' AND lower(trim(author)) = 'author-3'"))
 def metadata_filter(spark, d):
-    return R.metadata_filter(chunks(spark, d).select("chunk_id", "effective_date", "author"), "2024-03-01", "2024-09-30", " AUTHOR-3 ").withColumn("effective_date", F.col("effective_date").cast("string"))
+    return R.metadata_filter(_readable(spark, d).select("chunk_id", "effective_date", "author"), "2024-03-01", "2024-09-30", " AUTHOR-3 ").withColumn("effective_date", F.col("effective_date").cast("string"))
 
 
 @query(_sql("SELECT qid, chunk_id, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS m FROM best) WHERE round(score, 12) >= round(0.8::DOUBLE * m, 12)", ARMS, FUSED, _HYBRID))
@@ -213,7 +231,7 @@ nb AS (SELECT qid, page_id, min(rk) AS seed_rk, min(first) AS first FROM n3 GROU
 
 @query(_sql("SELECT qid, page_id AS chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY seed_rk, first, page_id) AS INTEGER) AS rk FROM nb SEMI JOIN documents ON doc_id = page_id", _EDGES))
 def graph_expand(spark, d):
-    kw = R.keyword_arms(R.keyword_matches(questions(spark, d), chunks(spark, d))).where("NOT is_and")
+    kw = R.keyword_arms(R.keyword_matches(questions(spark, d), _readable(spark, d))).where("NOT is_and")
     pages = chunks(spark, d).select("chunk_id", F.col("chunk_id").alias("page_id"))
     return R.graph_arm(kw.select("qid", F.col("chunk_id").alias("page_id"), "rk"), edges(spark, d), pages).select("qid", "chunk_id", "rk")
 
@@ -228,14 +246,14 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ASKED = """WITH x(k, s) AS (VALUES (0, 'When did we last meet '), (1, 'Tell me everything about '), (2, 'Who is '), (3, 'Was the launch announced for '), (4, 'find all pages that mention '), (5, 'notes on the shape of '), (6, 'What''s happening today with '), (7, 'status update on '), (8, 'define '), (9, '')),
-t AS (SELECT conv_id, turn, s || left(text, 40) AS question FROM conversations JOIN x ON (conv_id * 3 + turn) % 10 = k)"""
+t AS (SELECT conv_id, turn, s || text AS question FROM conversations JOIN x ON (conv_id * 3 + turn) % 10 = k)"""
 _PRE = ["When did we last meet ", "Tell me everything about ", "Who is ", "Was the launch announced for ", "find all pages that mention ", "notes on the shape of ", "What's happening today with ", "status update on ", "define ", ""]
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     pre = F.element_at(F.array(*[F.lit(p) for p in _PRE]), ((F.col("conv_id") * 3 + F.col("turn")) % 10 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(pre, F.substring("text", 1, 40)).alias("question"))
+    return c.select("conv_id", "turn", F.concat(pre, "text").alias("question"))
 
 
 def _m(name: list[str], col: str = "question") -> str:
@@ -259,7 +277,7 @@ def recency_mode(spark, d):
 
 
 _SAID = """WITH x(k, s) AS (VALUES (0, 'The evidence does not contain this. '), (1, 'Not specified, but it may be '), (2, 'It is '), (3, 'There is no mention of it. ')),
-t AS (SELECT conv_id, turn, s || left(text, 30) AS answer, CASE WHEN turn % 3 = 0 THEN [1] ELSE [] END AS cites FROM conversations JOIN x ON (conv_id + turn) % 4 = k)"""
+t AS (SELECT conv_id, turn, s || text AS answer, CASE WHEN turn % 3 = 0 THEN [1] ELSE [] END AS cites FROM conversations JOIN x ON (conv_id + turn) % 4 = k)"""
 
 
 @query(f"{_SAID} SELECT conv_id, turn, CASE WHEN NOT {_m(I.ABSTENTION, 'answer')} THEN 'answered' WHEN len(cites) > 0 OR {_m(I.ASSERTION, 'answer')} THEN 'partial' ELSE 'abstained' END AS verdict FROM t")
@@ -267,15 +285,15 @@ def abstention_class(spark, d):
     c = table(spark, d, "conversations")
     pre = F.element_at(F.array(*[F.lit(s) for s in ("The evidence does not contain this. ", "Not specified, but it may be ", "It is ", "There is no mention of it. ")]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
     cites = F.when(F.col("turn") % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return c.select("conv_id", "turn", I.abstention(F.concat(pre, F.substring("text", 1, 30)), cites).alias("verdict"))
+    return c.select("conv_id", "turn", I.abstention(F.concat(pre, "text"), cites).alias("verdict"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN ' YES. ' WHEN 1 THEN 'insufficient   information' WHEN 2 THEN '"Inconsistent"' WHEN 3 THEN 'Sam  B' ELSE left(text, 12) END AS gold FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN ' YES. ' WHEN 1 THEN 'insufficient   information' WHEN 2 THEN '"Inconsistent"' WHEN 3 THEN 'Sam  B' ELSE text END AS gold FROM conversations),
 n AS (SELECT conv_id, turn, regexp_replace(regexp_replace(lower(trim(gold)), '[ \\t\\n\\r\\f]+', ' ', 'g'), '^[.,;:!?"''() ]+|[.,;:!?"''() ]+$', '', 'g') AS n FROM t)
 SELECT conv_id, turn, CASE WHEN n IN ('insufficient information', 'insufficient info') THEN 'null' WHEN n IN ('yes', 'no', 'true', 'false', 'consistent', 'inconsistent', 'agree', 'disagree') THEN 'boolean' ELSE 'entity' END AS answer_class FROM n""")
 def answer_class(spark, d):
     from palimpsest.functions.text import answer_class as classify
 
     k = (F.col("conv_id") + F.col("turn")) % 5
-    gold = F.when(k == 0, " YES. ").when(k == 1, "insufficient   information").when(k == 2, '"Inconsistent"').when(k == 3, "Sam  B").otherwise(F.substring("text", 1, 12))
+    gold = F.when(k == 0, " YES. ").when(k == 1, "insufficient   information").when(k == 2, '"Inconsistent"').when(k == 3, "Sam  B").otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", classify(gold).alias("answer_class"))

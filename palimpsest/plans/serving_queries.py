@@ -9,21 +9,21 @@ from palimpsest.plans.registry import query
 from palimpsest.plans.retrieval_queries import ARMS, BASE, FUSED, _blended
 from palimpsest.sources.tables import kb_pages, table
 
-_CITES = "t AS (SELECT doc_id AS qid, ['d' || doc_id % 5, 'd' || doc_id % 3] AS cited, ['d' || doc_id % 4] AS must, ['d' || doc_id % 7] AS must_not, left(text, 60) AS answer, ['the', 'zzz'] AS forbidden FROM documents)"
+_CITES = "t AS (SELECT doc_id AS qid, ['d' || doc_id % 5, 'd' || doc_id % 3] AS cited, ['d' || doc_id % 4] AS must, ['d' || doc_id % 7] AS must_not, text AS answer, ['the', 'zzz'] AS forbidden FROM documents)"
 
 
 @query(f"WITH {_CITES}, c AS (SELECT qid, CAST(len(list_filter(must, lambda x: NOT list_contains(cited, x))) AS INTEGER) AS missing, CAST(len(list_filter(must_not, lambda x: list_contains(cited, x))) AS INTEGER) AS wrong, contains(lower(answer), 'the') OR contains(lower(answer), 'zzz') AS leaked FROM t) SELECT *, missing = 0 AND wrong = 0 AND NOT leaked AS passed FROM c")
 def citation_grading(spark, d):
     i = F.col("doc_id")
     tag = lambda n: F.concat(F.lit("d"), i % n)
-    rows = table(spark, d, "documents").select(i.alias("qid"), F.array(tag(5), tag(3)).alias("cited"), F.array(tag(4)).alias("must"), F.array(tag(7)).alias("must_not"), F.substring("text", 1, 60).alias("answer"), F.array(F.lit("the"), F.lit("zzz")).alias("forbidden"))
+    rows = table(spark, d, "documents").select(i.alias("qid"), F.array(tag(5), tag(3)).alias("cited"), F.array(tag(4)).alias("must"), F.array(tag(7)).alias("must_not"), F.col("text").alias("answer"), F.array(F.lit("the"), F.lit("zzz")).alias("forbidden"))
     return serving.grade_citations(rows)
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace('a[1] ' || left(regexp_replace(text, '[\\[\\]]', '', 'g'), 20) || '[' || turn || '] z[99]', CASE WHEN turn BETWEEN 1 AND 2 THEN 'QQQ' ELSE '\\[' || turn || '\\]' END, ''), '\\[99\\]', '') AS answer FROM conversations WHERE turn <> 1")
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace('a[1] ' || regexp_replace(text, '[\\[\\]]', '', 'g') || '[' || turn || '] z[99]', CASE WHEN turn BETWEEN 1 AND 2 THEN 'QQQ' ELSE '\\[' || turn || '\\]' END, ''), '\\[99\\]', '') AS answer FROM conversations")
 def marker_scrub(spark, d):
-    text = F.concat(F.lit("a[1] "), F.substring(F.regexp_replace("text", "[\\[\\]]", ""), 1, 20), F.lit("["), "turn", F.lit("] z[99]"))
-    return table(spark, d, "conversations").where("turn <> 1").select("conv_id", "turn", serving.scrub_markers(text, F.lit(2)).alias("answer"))
+    text = F.concat(F.lit("a[1] "), F.regexp_replace("text", "[\\[\\]]", ""), F.lit("["), "turn", F.lit("] z[99]"))
+    return table(spark, d, "conversations").select("conv_id", "turn", serving.scrub_markers(text, F.lit(2)).alias("answer"))
 
 
 @query("SELECT l_orderkey AS chunk, CASE WHEN count(DISTINCT l_returnflag = 'N') = 1 THEN min(CASE WHEN l_returnflag = 'N' THEN 'page' ELSE 'sheet' END) END AS kind, CASE WHEN count(DISTINCT l_returnflag = 'N') = 1 THEN min(l_linenumber) END AS page_from, CASE WHEN count(DISTINCT l_returnflag = 'N') = 1 THEN max(l_linenumber + 1) END AS page_to FROM lineitem GROUP BY l_orderkey")
@@ -84,11 +84,11 @@ def policy_sweep(spark, d):
     return serving.sweep(scored, shares)
 
 
-@query("""WITH f AS (SELECT doc_id AS seq, sha256(left(text, 5)) AS sha, CASE WHEN doc_id % 9 = 0 THEN 'too_short' ELSE 'ok' END AS verdict FROM documents),
-m AS (SELECT sha, min(seq) AS first FROM f WHERE verdict = 'ok' GROUP BY sha), k AS (SELECT DISTINCT sha256(left(text, 5)) AS sha FROM documents WHERE doc_id % 50 = 3)
+@query("""WITH f AS (SELECT doc_id AS seq, sha256(text) AS sha, CASE WHEN doc_id % 9 = 0 THEN 'too_short' ELSE 'ok' END AS verdict FROM documents),
+m AS (SELECT sha, min(seq) AS first FROM f WHERE verdict = 'ok' GROUP BY sha), k AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 50 = 3)
 SELECT seq, CASE WHEN verdict <> 'ok' THEN 'rejected:' || verdict WHEN k.sha IS NOT NULL THEN 'duplicate' WHEN first < seq THEN 'duplicate_in_batch' ELSE 'ingested' END AS outcome FROM f LEFT JOIN m USING (sha) LEFT JOIN k ON k.sha = f.sha""")
 def batch_ingest_outcomes(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.sha2(F.substring("text", 1, 5), 256).alias("sha"), F.when(F.col("doc_id") % 9 == 0, "too_short").otherwise("ok").alias("verdict"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("sha"), F.when(F.col("doc_id") % 9 == 0, "too_short").otherwise("ok").alias("verdict"))
     return serving.ingest_outcomes(t, t.where("seq % 50 = 3").select("sha"))
 
 

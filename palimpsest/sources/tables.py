@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import ascii_tokens, query_terms, slugify
+from palimpsest.functions.text import all_terms, ascii_tokens, slugify
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, question, terms): the benchmark's texts, with their first eight distinct terms."""
+    """(qid, question, terms): the benchmark's whole texts, with all their distinct terms."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), query_terms(F.col("text"), 3, 8).alias("terms"))
+    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), all_terms(F.col("text"), 3).alias("terms"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, page_id, content, title, tokens, effective_date, author, acl, workspace): one chunk a document, four a page."""
+    """(chunk_id, page_id, content, title, tokens, effective_date, author, workspace, acl, deleted): one chunk a document, four a page."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("chunk_id"),
@@ -33,6 +33,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ascii_tokens(F.col("text")).alias("tokens"),
         F.expr("date_add(DATE'2024-01-01', CAST(doc_id % 365 AS INT))").alias("effective_date"),
         F.concat(F.lit("Author-"), F.col("doc_id") % 7).alias("author"),
+        F.col("source").alias("workspace"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(F.concat(F.lit("self:u"), F.col("doc_id") % 7))).otherwise(F.array(F.concat(F.lit("ws:"), F.col("source")))).alias("acl"),
+        (F.col("doc_id") % 11 == 0).alias("deleted"),
     )
 
 

@@ -77,7 +77,7 @@ def test_recency_by_hand(spark):
 def test_policy():
     assert Policy.resolve({"top_k": 5}, {"top_k": 6}).top_k == 6
     assert Policy.resolve().hash() == DEFAULT.hash() != Policy.resolve({"title": 9}).hash()
-    assert len(PROFILES) == 9
+    assert len(PROFILES) == 9 == len({p.hash() for p in PROFILES.values()})
     for bad in ({"vector": 500}, {"rrf_share": 0.9}, {"recency": "later"}, {"nothing": 1}, {"top_k": 0}):
         with pytest.raises(ValueError):
             Policy.resolve(bad)
@@ -184,8 +184,13 @@ def test_links(spark):
     bodies = spark.createDataFrame([(1, "see [x](/page/b#y) and Big Red Dog Show"), (2, "[Big Red Dog Show](c)"), (3, None)], "page_id long, body string")
     pages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "page_id long, slug string")
     assert sorted((r.from_page_id, r.to_page_id) for r in links.markdown_links(bodies, pages).collect()) == [(1, 2), (2, 3)]
-    names = spark.createDataFrame([(9, ["big", "red", "dog"])], "to_page_id long, w array<string>")
-    assert [(r.from_page_id, r.to_page_id) for r in links.mentions(bodies, names).collect()] == [(1, 9)]
+    titled = spark.createDataFrame([(9, "Big, red dog", "s9"), (8, "big red dog show with more", "s8"), (7, "", "red-dog"), (6, "dog", "s6"), (5, "Big Red Dog", "s5"), (4, None, "x y"), (1, "big red dog show", "s1")], "page_id long, title string, slug string")
+    names = links.names(titled)
+    assert sorted((r.name, r.one, r.two) for r in names.collect()) == [("big red dog", 5, 9), ("big red dog show", 1, None), ("big red dog show with more", 8, None), ("red dog", 7, None)]
+    more = bodies.unionByName(spark.createDataFrame([(5, "big red dog show with more or less"), (20, "a big red dog show with mores")], "page_id long, body string"))
+    got = sorted((r.from_page_id, r.to_page_id, r.name) for r in links.mentions(more, names).collect())
+    assert got == [(1, 5, "big red dog"), (1, 7, "red dog"), (5, 1, "big red dog show"), (5, 7, "red dog"), (5, 8, "big red dog show with more"), (5, 9, "big red dog"), (20, 1, "big red dog show"), (20, 5, "big red dog"), (20, 7, "red dog")]
+    assert links.mentions(more, names.limit(0)).count() == 0
     assert one(spark, links.context(F.lit("a" * 200), F.lit(100), F.lit(103))) == "…" + "a" * 163 + "…"
 
 
