@@ -2,18 +2,24 @@
 
 Symbols are words (A-Z lowered) and one end for each text. The root's
 distribution discounts each word's training count and gives the freed mass to
-one unknown symbol. A context of one or two words is a state if it occurred ``MIN``
-times, whatever the size of the corpus, and its divergence from the next shorter
-state, times its occurrences, passes a penalty for its number of next symbols. A
-state's distribution discounts the counts of the next symbols that themselves
-occurred ``MIN`` times and hands the remaining mass to the shorter state, so each
-state's distribution sums to one. A text's score walks its words by the longest state.
-
-The model is never on one machine. Each input split (chunk) sends its distinct
-keys; counts are summed by key, contexts tested by context, and each chunk gets
-back a side table of just its own keys on shared storage. The text itself is
-never shuffled. A key has one row for each chunk at most, so a word that is a
-third of all tokens stays light.
+one unknown symbol. A context of up to ``DEPTH`` words that occurred ``MIN`` times,
+whatever the size of the corpus, becomes a state by a divergence test: with
+every occurrence left out in turn, its discounted distribution must predict the
+next symbols better than the next shorter state does, by ``PENALTY`` times the
+logarithm of its occurrences. A state discounts the counts of all next symbols
+that it saw and hands the freed mass to the shorter state, so each state's
+distribution sums to one. A text is scored word by word from the longest state.
+
+The model is never on one machine, and the text is never shuffled. The rows of
+an input split are cut into pieces of about ``PIECE`` bytes of text. Level by
+level a piece sends its distinct keys (context and next symbol) in packed runs,
+one for each bucket, and gets back the total of each key and the verdict on each
+context in the same order, so an answer takes one or two bytes a key. Buckets
+are dealt by context; a context that occurred more than ``HOT`` times is spread
+over several by its next symbols, and its test is summed up from them. A key has
+one entry for each piece at most, so a word that is a third of all tokens stays
+light. Buckets are many, of a bounded share of the corpus each, and a task takes
+its buckets one after the other.
 
 Defined results: a null or wordless text has one token, its end; repeated rows
 are counted and scored one by one; a null id counts as the empty string for the
@@ -23,214 +29,383 @@ rows every token has the base model's probability of an unknown one.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from palimpsest.llm.scratch import Scratch
 from palimpsest.llm.token_binary import _place
-from palimpsest.llm.wordvec import mix, words
+from palimpsest.llm.wordvec import buffers, mix, release, words
 
 MIN, DISCOUNT, PENALTY, DEPTH = 16, 0.75, 1.0, 2
+PIECE, BUCKET, HOT = 8 << 20, 4 << 20, 1 << 18
+LOGS = 1024  # probabilities travel as whole numbers of 1/LOGS bits
 END = mix(np.array([1], np.uint64))[0]
 _LEFT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A key of two keys in order."""
     return mix(a * _LEFT + mix(b + np.uint64(7)))
 
 
-class Side:
-    """A chunk's side table: values by 64-bit key, absent ones 0."""
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, in ascending order of keys; the number of each key's distinct one)."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    back = np.empty(len(key), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], back
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
+    return out
+
+
+# --- packed runs ---------------------------------------------------------------------
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of whole or floating numbers as one compressed string; bytes of one rank lie together, so small numbers take few."""
+    size = np.array([len(columns), *(x.nbytes for x in columns)], "<u4").tobytes()
+    planes = (np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in columns)
+    data = b"".join([size, *planes])
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    data = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    size = np.frombuffer(data, "<u4", 1 + len(kinds))[1:].tolist()
+    out, at = [], 4 * (1 + len(kinds))
+    for kind, n in zip(kinds, size, strict=True):
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n, at).reshape(wide, -1).T).view(kind).reshape(-1))
+        at += n
+    return out
+
+
+#: Contexts, their occurrences and their numbers of symbols; symbols (at first their keys, then their numbers), counts, probabilities.
+SENT = ("<u8", "<u8", "<u4", "<u8", "<u4", "<u2")
+#: Totals, kept shares of the contexts, and at first the numbers of the words.
+ANSWER = ("<u8", "<f4", "<u8")
+
+
+class Level:
+    """A piece's distinct keys of one level, in the order in which they are sent: by bucket, context, key."""
+
+    def __init__(self, key: np.ndarray, learn: np.ndarray, buckets: int, context: np.ndarray | None = None, of: np.ndarray | None = None, p: np.ndarray | None = None, symbol: np.ndarray | None = None):
+        """Words alone are the first level; then keys have a context, its occurrences, the symbol's number and its probability so far."""
+        first, back = distinct(key)
+        n = np.bincount(back[learn], minlength=len(first)).astype(np.uint32)
+        plain = np.zeros(len(first), np.uint64)
+        context, of, spread = (plain, plain.astype(np.int64), mix(key[first])) if context is None else (context[first], of[first], mix(context[first]))
+        if symbol is not None:
+            parts = (-(-of // HOT)).astype(np.uint64)
+            spread = mix(spread + np.where(parts > 1, mix(symbol[first]) % np.maximum(parts, 1), plain))
+        bucket = ((spread >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        order = np.arange(len(first)) if symbol is None else np.argsort(context, kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.back = place[back]
+        self.symbol, self.n, self.bucket, self.context, self.of = (key if symbol is None else symbol)[first][order], n[order], bucket[order], context[order], of[order]
+        self.logs = (plain if p is None else np.minimum(np.round(-LOGS * np.log2(p[first][order])), 65535)).astype(np.uint16)
+        self.cuts = heads(self.bucket)
+        edge = np.zeros(len(order), bool)
+        edge[heads(self.context)] = True
+        edge[self.cuts] = True
+        self.runs = np.flatnonzero(edge)
+
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
+        size = np.diff(np.append(self.runs, len(self.n)))
+        at = np.searchsorted(self.runs, np.append(self.cuts, len(self.n)))
+        for k, (a, b) in enumerate(zip(self.cuts, np.append(self.cuts, len(self.n))[1:], strict=True)):
+            r = self.runs[at[k] : at[k + 1]]
+            yield int(self.bucket[a]), packed(self.context[r], self.of[r].astype("<u8"), size[at[k] : at[k + 1]].astype("<u4"), self.symbol[a:b], self.n[a:b], self.logs[a:b])
+
+    def answers(self, folder: str, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(total, kept share of the context, number) of each key as sent; a context that is no state keeps 0."""
+        if not len(self.n):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64)
+        t = read_answers(folder, piece)
+        each = [unpacked(x, *ANSWER) for x in t.column("blob").to_pylist() if x is not None]
+        total, keep, number = (np.concatenate(x) for x in zip(*each, strict=True))
+        if len(total) != len(self.n) or len(keep) != len(self.runs):
+            raise RuntimeError("the rows of a split came in another order than before")
+        hot = t.filter(t.column("context").is_valid())
+        if len(hot):
+            names = hot.column("context").to_numpy().astype(np.uint64)
+            order = np.argsort(names)
+            run = self.context[self.runs]
+            at = order[np.minimum(np.searchsorted(names[order], run), len(order) - 1)]
+            keep = np.where(names[at] == run, hot.column("keep").to_numpy()[at], keep)
+        return total.astype(np.int64), np.repeat(keep.astype(float), np.diff(np.append(self.runs, len(self.n)))), number
+
+
+# --- pieces ----------------------------------------------------------------------------
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(name, rows) of runs of one split's rows of about PIECE bytes of text; the cuts depend on the rows alone."""
+    chunk, seq, held, size = None, 0, [], 0
+
+    def name() -> int:
+        return int(join_keys(np.array([chunk], np.int64).astype(np.uint64), np.array([seq], np.uint64)).astype(np.int64)[0])
 
-    def __init__(self, folder: str, chunk: int, names: tuple[str, ...]):
-        import pyarrow.dataset as ds
+    for batch in batches:
+        c = batch.column("chunk").to_numpy()
+        nbytes = np.diff(buffers(batch.column("text"))[1])
+        a = 0
+        while a < len(c):
+            if c[a] != chunk:
+                if held:
+                    yield name(), held
+                chunk, seq, held, size = int(c[a]), 0, [], 0
+            other = np.flatnonzero(c[a:] != chunk)
+            end = a + int(other[0]) if len(other) else len(c)
+            b = min(end, a + 1 + int(np.searchsorted(np.cumsum(nbytes[a:end]), PIECE - size)))
+            held.append(batch.slice(a, b - a))
+            size += int(nbytes[a:b].sum())
+            a = b
+            if size >= PIECE:
+                yield name(), held
+                seq, held, size = seq + 1, [], 0
+    if held:
+        yield name(), held
 
-        fs, top = _place(folder)
-        path = f"{top}/chunk={chunk}"
-        from pyarrow.fs import FileType
 
-        found = fs.get_file_info(path).type != FileType.NotFound
-        t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", *names]).combine_chunks() if found else None
-        key = t.column("key").to_numpy().astype(np.uint64) if found else np.zeros(0, np.uint64)
-        order = np.argsort(key)
-        self.key = key[order]
-        self.value = {n: (t.column(n).to_numpy()[order] if found else np.zeros(0)) for n in names}
+class Tokens:
+    """Words and ends of a piece's texts."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        key, size = [], []
+        for batch in held:
+            for _, h, off in words(batch.column("text")):
+                key.append(np.insert(h, off[1:], END))
+                size.append(np.diff(off) + 1)
+        self.key, self.size = np.concatenate(key), np.concatenate(size)
+        self.learns = np.concatenate([b.column("learn").to_numpy(zero_copy_only=False) for b in held])
+        self.first = np.cumsum(self.size) - self.size
+        self.at = (np.arange(len(self.key)) - np.repeat(self.first, self.size)).astype(np.int32)
+        self.learn = np.repeat(self.learns, self.size)
+
+
+class Root:
+    """Totals of the training tokens."""
+
+    def __init__(self, total: int, kinds: int, once: int, twice: int):
+        self.total, self.kinds = total, kinds
+        self.spare = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+
+    def probability(self, n: np.ndarray) -> np.ndarray:
+        freed = self.spare * self.kinds
+        return np.where(n > 0, n - self.spare, freed) / max(self.total, 1) if self.total else np.ones(len(n))
+
+
+def walk(t: Tokens, piece: int, folders: list[str], root: Root | None, buckets: int, send: bool) -> tuple[Level | None, np.ndarray, np.ndarray]:
+    """(keys of the next level, if they are asked for; each token's training count; its probability by the levels known)."""
+    level = Level(t.key, t.learn, buckets)
+    if not folders:
+        return level, np.zeros(0), np.zeros(0)
+    count, _, symbol = level.answers(folders[0], piece)
+    count, symbol = count[level.back], symbol[level.back]
+    p, n, state, context = root.probability(count), count, np.ones(len(t.key), bool), shifted(t.key)
+    for k in range(1, len(folders) + bool(send)):
+        of = shifted(n)
+        use = np.flatnonzero((t.at >= k) & (of >= MIN) & state)
+        full = join_keys(context[use], t.key[use])
+        level = Level(full, t.learn[use], buckets, context[use], of[use], p[use], symbol[use])
+        if k == len(folders):
+            return level, count, p
+        total, keep, _ = level.answers(folders[k], piece)
+        total, keep = total[level.back], keep[level.back]
+        p[use] = np.where(keep > 0, np.maximum(total - DISCOUNT, 0) / of[use] + keep * p[use], p[use])
+        n, state, context = np.zeros_like(n), np.zeros_like(state), np.zeros_like(context)
+        n[use], state[use], context[use] = total, keep > 0, full
+        context = shifted(context)
+    return None, count, p
+
+
+def _sent(folders: list[str], root: Root | None, buckets: int):
+    """(bucket, piece, blob): the distinct keys of the level after the known ones."""
 
-    def __call__(self, key: np.ndarray, *names: str) -> list[np.ndarray]:
-        if not len(self.key):
-            return [np.zeros(len(key)) for _ in names]
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = self.key[at] == key
-        return [np.where(hit, self.value[n][at], 0) for n in names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, held in _pieces(batches):
+            out = [*walk(Tokens(held), piece, folders, root, buckets, True)[0].blobs()]
+            release()
+            for i in range(0, len(out), 500):
+                some = out[i : i + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), pa.array([piece] * len(some), pa.int64()), pa.array([x for _, x in some], pa.binary())], ["bucket", "piece", "blob"])
 
+    return run
 
-class Tokens:
-    """Words and ends of some texts, with the keys of their contexts."""
-
-    def __init__(self, h: np.ndarray, off: np.ndarray):
-        n = np.diff(off)
-        self.off = off + np.arange(len(off))
-        self.key = np.insert(h, off[1:], END)
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
-        at = np.arange(len(self.key)) - self.off[:-1][self.doc]
-        self.has = {1: at >= 1, 2: at >= 2}
-        one = np.zeros_like(self.key)
-        one[1:] = self.key[:-1]
-        two = np.zeros_like(self.key)
-        two[2:] = _join(self.key[:-2], self.key[1:-1])
-        self.context = {1: one, 2: two}
-
-    def full(self, level: int) -> np.ndarray:
-        """The key of the context with its next symbol."""
-        return _join(self.context[level], self.key)
-
-
-class Model:
-    """What one chunk knows of the model, level by level."""
-
-    def __init__(self, folders: list[str], chunk: int, totals: tuple[int, int, float]):
-        self.total, self.kinds, self.spare = totals
-        self.uni = Side(folders[0], chunk, ("n",))
-        self.more = [Side(f, chunk, ("n", "keep", "of")) for f in folders[1:]]
-
-    def probability(self, t: Tokens, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(training count, probability under states of up to depth words, is the state of depth words kept)."""
-        (n,) = self.uni(t.key, "n")
-        p = np.where(n > 0, (n - self.spare) / max(self.total, 1), self.spare * self.kinds / max(self.total, 1))
-        if not self.total:
-            return n, np.ones(len(n)), np.zeros(len(n), bool)
-        state = np.ones(len(n), bool)
-        for level in range(1, depth + 1):
-            side = self.more[level - 1]
-            keep, of = side(t.context[level], "keep", "of")
-            state = state & t.has[level] & (of > 0)
-            (m,) = side(t.full(level), "n")
-            p = np.where(state, np.where(m > 0, (m - DISCOUNT) / np.maximum(of, 1), 0) + keep * p, p)
-        return n, p, state
-
-    def occurrences(self, t: Tokens, level: int) -> np.ndarray:
-        """How often each context of that level occurred in training (0 if it can't be a state)."""
-        if level == 1:
-            (n,) = self.uni(t.context[1], "n")
-        else:  # the word before, followed by the last one, as a state and its next symbol
-            (n,) = self.more[0](t.context[2], "n")
-        return np.where(t.has[level], n, 0)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows of one chunk, in order."""
+
+# --- buckets -----------------------------------------------------------------------------
+
+FOUND = "piece long, bucket long, blob binary, context long, of long, kinds long, once long, more long, gain double"
+
+
+def kept(of, kinds, once, more, gain):
+    """The share that a context hands on as a state, 0 if the divergence test fails.
+
+    of: occurrences; kinds: next symbols; once: those seen once; more: occurrences of the others;
+    gain: their sum of n times the logarithm of (n - 1 - DISCOUNT) over the shorter state's probability.
+    """
+    rest = np.maximum(of - 1, 1)
+    left = gain - more * np.log(rest) + once * np.log(DISCOUNT * np.maximum(kinds - 1, 1) / rest)
+    return np.where(left > PENALTY * np.log(np.maximum(of, 1)), DISCOUNT * kinds / np.maximum(of, 1), 0.0)
+
+
+def _kept_sql() -> str:
+    rest = "greatest(of - 1, 1)"
+    left = f"gain - more * ln({rest}) + once * ln({DISCOUNT} * greatest(kinds - 1, 1) / {rest})"
+    return f"CASE WHEN {left} > {PENALTY} * ln(of) THEN {DISCOUNT} * kinds / of ELSE 0D END"
+
+
+def _merged(level: int, buckets: int, bucket: int, names: list[int], blobs: list[bytes]) -> Iterator[dict]:
+    """Rows of FOUND of one bucket: each piece's answer, and sums of what other buckets hold parts of."""
+    each = [unpacked(x, *SENT) for x in blobs]
+    key, n = np.concatenate([x[3] for x in each]), np.concatenate([x[4] for x in each])
+    if level:
+        key = join_keys(np.concatenate([np.repeat(x[0], x[2]) for x in each]), key)
+    first, back = distinct(key)
+    total = np.bincount(back, weights=n, minlength=len(first)).astype(np.int64)
+    split = lambda x, column: np.split(x, np.cumsum([len(e[column]) for e in each])[:-1])
+    number = [np.zeros(0, np.uint64)] * len(each)
+    if not level:
+        yield {"of": int(total.sum()), "kinds": int((total > 0).sum()), "once": int((total == 1).sum()), "more": int((total == 2).sum())}
+        keeps = [np.zeros(len(x[0]), np.float32) for x in each]
+        place = np.empty(len(first), np.uint64)  # a common word has a small number
+        place[np.argsort(-total, kind="stable")] = np.arange(len(first), dtype=np.uint64)
+        number = split((place * np.uint64(buckets) + np.uint64(bucket))[back], 3)
+    else:
+        run, of = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
+        size = np.concatenate([x[2] for x in each])
+        owner = np.repeat(np.arange(len(run)), size)[first]
+        rfirst, rback = distinct(run)
+        mine, of = rback[owner], of[rfirst].astype(np.int64)
+        several = total >= 2
+        gains = np.where(several, total * (np.log(np.maximum(total - 1 - DISCOUNT, 1e-9)) + np.concatenate([x[5] for x in each])[first] * (np.log(2) / LOGS)), 0)
+        kinds, once, more, gain = (np.bincount(mine, weights=w, minlength=len(of)) for w in (total > 0, total == 1, np.where(several, total, 0), gains))
+        hot = of > HOT
+        keep = np.where(hot, 0, kept(of, kinds, once, more, gain)).astype(np.float32)
+        keeps = split(keep[rback], 0)
+        name = run[rfirst].astype(np.int64)
+        for i in np.flatnonzero(hot).tolist():
+            yield {"context": int(name[i]), "of": int(of[i]), "kinds": int(kinds[i]), "once": int(once[i]), "more": int(more[i]), "gain": float(gain[i])}
+        if hot.any():
+            for piece, x in zip(names, split(rback, 0), strict=True):
+                for i in np.unique(x[hot[x]]).tolist():
+                    yield {"piece": piece, "context": int(name[i])}
+    for piece, *columns in zip(names, split(total[back].astype(np.uint64), 3), keeps, number, strict=True):
+        yield {"piece": piece, "bucket": bucket, "blob": packed(*columns)}
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Runs of rows with one value of a column."""
+    now, held = None, []
     for batch in batches:
-        c = batch.column("chunk").to_numpy()
-        cuts = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+        c = batch.column(column).to_numpy()
+        cuts = [*heads(c).tolist(), len(c)] if len(c) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield int(c[a]), batch.slice(a, b - a)
-
-
-class _Distinct:
-    """Distinct keys of a chunk with summed counts and one value each of other columns."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.rows = 0
-
-    def add(self, key: np.ndarray, count: np.ndarray, *others: np.ndarray) -> None:
-        self.parts.append(self._sum(key, count, *others))
-        self.rows += len(self.parts[-1][0])
-        if self.rows > 2_000_000 and len(self.parts) > 8:
-            self.parts = [self.all()]
-            self.rows = len(self.parts[0][0])
-
-    @staticmethod
-    def _sum(key, count, *others):
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        total = np.add.reduceat(count[order], first) if len(key) else count
-        return (key[first], total, *(o[order][first] for o in others))
-
-    def all(self) -> tuple[np.ndarray, ...]:
-        return self._sum(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
-
-
-def _emit(chunk: int, seen: _Distinct, names: list[str]) -> Iterator[pa.RecordBatch]:
-    if not seen.parts:
-        return
-    cols = seen.all()
-    for i in range(0, len(cols[0]), 100_000):
-        some = [c[i : i + 100_000] for c in cols]
-        arrays = [pa.array(c.astype(np.int64)) if c.dtype != np.float64 else pa.array(c) for c in some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), chunk, np.int64)), *arrays], ["chunk", *names])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, key, n): every word of a chunk with its training count there."""
-    now, seen = None, _Distinct()
-    for chunk, batch in _chunks(batches):
-        if chunk != now:
-            yield from _emit(now, seen, ["key", "n"])
-            now, seen = chunk, _Distinct()
-        learn = batch.column("learn").to_numpy(zero_copy_only=False)
-        for i, h, off in words(batch.column("text")):
-            t = Tokens(h, off)
-            seen.add(t.key, learn[i : i + len(off) - 1][t.doc].astype(np.int64))
-    yield from _emit(now, seen, ["key", "n"])
-
-
-def _contexts(level: int, folders: list[str], totals):
-    """(chunk, key, n, context, of, p): next symbols of contexts that may be states; key = context stands for the context itself."""
+            if c[a] != now:
+                if held:
+                    yield now, held
+                now, held = int(c[a]), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, held
+
+
+_FOUND_TYPES = pa.schema([(x.split()[0], {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]]) for x in FOUND.split(", ")])
 
+
+def _totals(level: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, model, names = None, _Distinct(), None, ["key", "n", "context", "of", "p"]
-        for chunk, batch in _chunks(batches):
-            if chunk != now:
-                yield from _emit(now, seen, names)
-                now, seen, model = chunk, _Distinct(), Model(folders, chunk, totals)
-            learn = batch.column("learn").to_numpy(zero_copy_only=False)
-            for i, h, off in words(batch.column("text")):
-                t = Tokens(h, off)
-                n, p, shorter = model.probability(t, level - 1)
-                of = model.occurrences(t, level)
-                may = (of >= MIN) & shorter
-                count = learn[i : i + len(off) - 1][t.doc].astype(np.int64)
-                both = may & (n >= MIN)
-                c = t.context[level]
-                seen.add(np.concatenate([t.full(level)[both], c[may]]), np.concatenate([count[both], np.zeros(may.sum(), np.int64)]), np.concatenate([c[both], c[may]]), np.concatenate([of[both], of[may]]).astype(np.int64), np.concatenate([p[both], p[may]]))
-        yield from _emit(now, seen, names)
+        for bucket, held in _runs(batches, "bucket"):
+            names, blobs = ([x for b in held for x in b.column(c).to_pylist()] for c in ("piece", "blob"))
+            out = [*_merged(level, buckets, bucket, names, blobs)]
+            for i in range(0, len(out), 500):
+                yield pa.RecordBatch.from_pylist(out[i : i + 500], schema=_FOUND_TYPES)
 
     return run
 
 
-def _scored(folders: list[str], totals):
+# --- answers -------------------------------------------------------------------------------
+
+def _answer_file(folder: str, piece: int):
+    fs, top = _place(folder)
+    return fs, f"{top}/{piece & 0xFFF:03x}", f"{piece & (1 << 64) - 1:016x}"
+
+
+def _answers(folder: str):
+    """Writes each piece's answers as one file under a temporary name and renames it, so a repeated task does no harm."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, model = None, None
-        total, kinds = totals[:2]
-        for chunk, batch in _chunks(batches):
-            if chunk != now:
-                now, model = chunk, Model(folders, chunk, totals)
-            rows = []
-            for _, h, off in words(batch.column("text")):
-                t = Tokens(h, off)
-                n, p, _ = model.probability(t, len(folders) - 1)
-                base = np.log10((n + 0.1) / (total + 0.1 * (kinds + 1)))
-                score = np.log10(p) if total else base
-                first = t.off[:-1]
-                rows.append((np.diff(t.off), np.add.reduceat((n > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(score, first)))
-            tokens, known, base, score = (np.concatenate(c) for c in zip(*rows, strict=True))
-            learn = batch.column("learn").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(~learn), pa.array(tokens, pa.int64()), pa.array(known), pa.array(np.full(len(tokens), total, np.int64)), pa.array(base), pa.array(score)], NAMES)
+        attempt, done = TaskContext.get().taskAttemptId(), 0
+        for piece, held in _runs(batches, "piece"):
+            fs, place, name = _answer_file(folder, piece)
+            fs.create_dir(place, recursive=True)
+            with fs.open_output_stream(f"{place}/.{name}.{attempt}") as f, pa.ipc.new_stream(f, held[0].schema) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            try:
+                fs.move(f"{place}/.{name}.{attempt}", f"{place}/{name}")
+            except OSError:  # some file systems don't replace: an earlier attempt wrote the same
+                if not fs.get_file_info(f"{place}/{name}").is_file:
+                    raise
+                fs.delete_file(f"{place}/.{name}.{attempt}")
+            done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["pieces"])
 
     return run
 
 
+def read_answers(folder: str, piece: int) -> pa.Table:
+    fs, place, name = _answer_file(folder, piece)
+    with fs.open_input_stream(f"{place}/{name}") as f, pa.ipc.open_stream(f) as t:
+        return t.read_all()
+
+
+# --- scores ----------------------------------------------------------------------------------
+
 NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(folders: list[str], root: Root, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, held in _pieces(batches):
+            t = Tokens(held)
+            _, n, p = walk(t, piece, folders, root, buckets, False)
+            release()
+            base = np.log10((n + 0.1) / (root.total + 0.1 * (root.kinds + 1)))
+            sums = [np.add.reduceat(x, t.first) for x in ((n > 0).astype(np.int64), base, np.log10(p) if root.total else base)]
+            ids = pa.concat_arrays([b.column("doc_id") for b in held])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(~t.learns), pa.array(t.size, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(ids), root.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], NAMES)
+
+    return run
+
+
+def _settle(spark) -> None:
+    """Lets Spark's cleaner remove the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,37 +422,31 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DE
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     rows = rows.select("chunk", "text", "doc_id", (fold != held).alias("learn"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(df: DataFrame, name: str) -> str:
-        df.repartition(width, "chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(scratch.path(name))
-        return scratch.path(name)
-
-    by_key = W.partitionBy("key")
-    seen = rows.mapInArrow(_counted, "chunk long, key long, n long")
-    seen = seen.select("chunk", "key", F.sum("n").over(by_key).alias("n"), (F.row_number().over(by_key.orderBy("chunk")) == 1).alias("first"))
-    folders = [side(seen, "level-0")]
-    if not _any(spark, folders[0]):
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    counts = spark.read.schema("key long, n long, first boolean, chunk long").parquet(folders[0]).where("first AND n > 0")
-    total, kinds, ones, twos = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    spare = min(max(ones / max(ones + 2 * twos, 1), 0.05), 0.95)
-    totals = (total, kinds, spare)
-    for level in range(1, depth + 1 if total else 1):
-        found = rows.mapInArrow(_contexts(level, list(folders), totals), "chunk long, key long, n long, context long, of long, p double")
-        found = scratch.save(found.select("chunk", "key", F.sum("n").over(by_key).alias("n"), "context", "of", "p", (F.row_number().over(by_key.orderBy("chunk")) == 1).alias("first")), f"found-{level}")
-        gain = found.where("first AND key != context AND n > 0").groupBy("context").agg(F.sum("n").alias("sum"), F.count("*").alias("next"), F.first("of").alias("of"), F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("p"))).alias("gain"), F.sum("p").alias("mass"))
-        # the rarer symbols are one more symbol of the comparison
-        rest = F.when(F.col("sum") < F.col("of"), (F.col("of") - F.col("sum")) * F.log((F.col("of") - F.col("sum")) / F.col("of") / F.greatest(1 - F.col("mass"), F.lit(1e-9)))).otherwise(0.0)
-        states = gain.where(F.col("gain") + rest > PENALTY * 0.5 * F.col("next") * F.log("of"))
-        states = states.select("context", ((F.col("of") - F.col("sum") + DISCOUNT * F.col("next")) / F.col("of")).alias("keep"))
-        kept = found.join(states, "context").where("n > 0 OR key = context")
-        kept = kept.select("chunk", "key", F.when(F.col("key") == F.col("context"), 0).otherwise(F.col("n")).alias("n"), "keep", "of")
-        folders.append(side(kept, f"level-{level}"))
+    table_bytes = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(2 * width, min(-(-table_bytes // BUCKET), 1 << 24))
+    folders, root = [], None
+    for level in range(depth + 1):
+        sent = rows.mapInArrow(_sent(list(folders), root, buckets), "bucket long, piece long, blob binary")
+        found = scratch.save(sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_totals(level, buckets), FOUND), f"found-{level}")
+        del sent
+        _settle(spark)
+        answers = found.where("blob IS NOT NULL").select("piece", "bucket", "blob", F.lit(None).cast("long").alias("context"), F.lit(None).cast("double").alias("keep"))
+        if not level:
+            sums = found.where("piece IS NULL").agg(*[F.sum(c) for c in ("of", "kinds", "once", "more")]).first()
+            if sums[0] is None:
+                return spark.createDataFrame([], SCORES)
+            root = Root(*sums)
+        else:
+            hot = found.where("piece IS NULL").groupBy("context").agg(F.max("of").alias("of"), *[F.sum(c).alias(c) for c in ("kinds", "once", "more", "gain")])
+            met = found.where("piece IS NOT NULL AND blob IS NULL").select("piece", "context").distinct()
+            hot = met.join(hot.select("context", F.expr(_kept_sql()).alias("keep")), "context")
+            answers = answers.unionByName(hot.select("piece", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), "context", "keep"))
+        answers = answers.repartition(width, "piece").sortWithinPartitions("piece", "bucket")
+        folders.append(scratch.path(f"level-{level}"))
+        answers.mapInArrow(_answers(folders[-1]), "pieces long").agg(F.sum("pieces")).first()
         scratch.drop(f"found-{level}")
-    return rows.mapInArrow(_scored(folders, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _any(spark, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return any(s.getPath().getName().startswith("chunk=") for s in fs.listStatus(path))
+        del found, answers
+        _settle(spark)
+        if not root.total:
+            break
+    return rows.mapInArrow(_scored(folders, root, buckets), SCORES)
