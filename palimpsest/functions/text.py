@@ -96,3 +96,23 @@ def locator_text(loc: Column) -> Column:
         .when(loc["kind"] == "pointer", loc["pointer"])
         .when(loc["kind"] == "offset", F.concat(F.lit("chars "), loc["off_from"], F.lit("-"), loc["off_to"]))
     )
+
+
+def without_hazards(text: Column, nonce: Column) -> Column:
+    """Text that can't end a frame: control characters are blanks, line ends are newlines, the frame's own mark is starred out."""
+    calm = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\u2028\\u2029]", " ")
+    return F.replace(F.regexp_replace(calm, "\r\n?", "\n"), nonce, F.repeat(F.lit("*"), F.length(nonce)))
+
+
+def safe_slug(slug: Column, nonce: Column) -> Column:
+    clean = F.substring(F.regexp_replace(without_hazards(slug, nonce), "[^a-zA-Z0-9._-]", "-"), 1, 200)
+    return F.when(clean == "", "untitled").otherwise(clean)
+
+
+def safe_locator(place: Column, nonce: Column) -> Column:
+    return F.substring(F.regexp_replace(without_hazards(place, nonce), "[^a-zA-Z0-9._:!/#-]", "-"), 1, 120)
+
+
+def slug_of_file(name: Column) -> Column:
+    """A file's name without its folders and extension, as a slug."""
+    return slugify(F.regexp_replace(F.regexp_extract(name, "([^/\\\\]*)$", 1), "(?<=.)\\.[A-Za-z0-9]+$", ""))

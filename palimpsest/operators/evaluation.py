@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Accuracy of the percentile sketch and the share of rows kept on each side of it; hash ranges as a power of two.
+SKETCH, MARGIN, BINS = 10_000, 0.001, 12
+
 
 def lists(ranked: DataFrame) -> DataFrame:
     """(qid, slugs) in order of rank."""
@@ -74,12 +77,34 @@ def cap_replay(ranked: DataFrame, most: int) -> DataFrame:
     return kept.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("rank")).alias("rank"), "slug")
 
 
+def value_at(df: DataFrame, part: str, value: str, near: float, rank) -> DataFrame:
+    """(part, value, n): the value of the given rank of each part, NULL values left out; rank makes one of the number of rows.
+
+    A sketch (its error is bounded by ``1 / SKETCH`` of the rows) gives a narrow
+    range of values around the share ``near``; rows below are only counted, and
+    those inside are counted by value, so no part is sorted as a whole.
+    """
+    rows = df.select(part, F.col(value).alias("_v")).where("_v IS NOT NULL")
+    at = lambda p: F.percentile_approx("_v", min(1.0, max(0.0, p)), SKETCH)
+    ends = rows.groupBy(part).agg(at(near - MARGIN).alias("_lo"), at(near + MARGIN).alias("_hi"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("*").alias("n"))
+    ends = ends.select(part, F.when(F.lit(near <= MARGIN), F.col("_min")).otherwise(F.col("_lo")).alias("_lo"), F.when(F.lit(near >= 1 - MARGIN), F.col("_max")).otherwise(F.col("_hi")).alias("_hi"), "n")
+    inside = rows.withColumnRenamed(part, "_p").join(ends, F.col("_p").eqNullSafe(F.col(part))).where("_v <= _hi")
+    counts = inside.groupBy(part, "n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(part).orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = counts.withColumn("_upto", upto).where(F.col("_v").isNotNull() & (F.col("_upto") >= rank(F.col("n"))))
+    return found.groupBy(part).agg(F.min("_v").alias("value"), F.max("n").alias("n"))
+
+
 def nearest_rank(df: DataFrame, part: str, value: str, p: float) -> DataFrame:
-    """The ceil(p n)-th smallest value of each part, by ranks rather than by a collected list."""
-    w = W.partitionBy(part).orderBy(value)
-    n = F.count("*").over(W.partitionBy(part))
-    rows = df.select(part, value, F.row_number().over(w).alias("_i"), n.alias("_n"))
-    return rows.where(F.col("_i") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n")))).select(part, F.col(value).alias("value"))
+    """The ceil(p n)-th smallest value of each part."""
+    return value_at(df, part, value, p, lambda n: F.greatest(F.lit(1), F.ceil(F.lit(p) * n))).select(part, "value")
+
+
+def timings(df: DataFrame, part: str, value: str) -> DataFrame:
+    """Least, upper median (not interpolated) and greatest value of each part."""
+    ends = df.where(F.col(value).isNotNull()).groupBy(F.col(part).alias("_p")).agg(F.min(value).alias("least"), F.max(value).alias("greatest"))
+    mid = value_at(df, part, value, 0.5, lambda n: F.floor(n / 2) + 1)
+    return mid.join(ends, F.col("_p").eqNullSafe(F.col(part))).select(part, "least", F.col("value").alias("median"), "greatest", "n")
 
 
 def mean_std(df: DataFrame, part: str, value: str) -> DataFrame:
@@ -119,18 +144,85 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("qid", what.alias("what")).where("what IS NOT NULL")
 
 
-def hash_sample(df: DataFrame, key: str, part: str, n: int, seed: str = "42") -> DataFrame:
-    """n rows spread over the parts by largest remainder, chosen by the 48 leading bits of a seeded SHA-256."""
+def _quotas(sizes: DataFrame, part: str, n, exact) -> DataFrame:
+    """(part, quota) by largest remainder: n rows in all, from sizes (part, size, total)."""
+    share = sizes.withColumn("exact", exact).withColumn("base", F.floor("exact"))
+    left = n - F.sum("base").over(W.partitionBy())
+    order = F.row_number().over(W.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), F.asc(part)))
+    return share.withColumn("quota", F.col("base") + (order <= left).cast("int")).select(part, "size", "quota")
+
+
+def _first_by_hash(df: DataFrame, key: str, part: str, quota: DataFrame, seed: str) -> DataFrame:
+    """df with _in: whether a row is among the quota of its part that come first by the 48 leading bits of a seeded SHA-256.
+
+    Counts by ``BINS`` ranges of the hash tell which ranges lie wholly inside the
+    quota; only the range that it cuts is ranked, so no part is sorted as a whole.
+    """
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 12), 16, 10).cast("long")
+    rows = df.withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 48 - BINS))
+    bins = rows.groupBy(part, "_bin").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(part).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c")
+    room = bins.withColumn("_before", before).join(quota.select(part, "quota"), part).select(part, "_bin", "_c", (F.col("quota") - F.col("_before")).alias("_room"))
+    rows = rows.join(room, [part, "_bin"])
+    whole = rows.where("_room <= 0 OR _room >= _c").withColumn("_in", F.col("_room") > 0)
+    cut = rows.where("_room > 0 AND _room < _c").withColumn("_in", F.row_number().over(W.partitionBy(part, "_bin").orderBy("_h", key)) <= F.col("_room"))
+    return whole.unionByName(cut).drop("_h", "_bin", "_c", "_room")
+
+
+def hash_sample(df: DataFrame, key: str, part: str, n: int, seed: str = "42") -> DataFrame:
+    """n rows spread over the parts by largest remainder, chosen by a seeded hash."""
     sizes = df.groupBy(part).agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    share = sizes.crossJoin(F.broadcast(total)).withColumn("exact", F.col("size") * n / F.col("total"))  # one row
-    base = share.withColumn("base", F.floor("exact"))
-    left = F.lit(n) - F.sum("base").over(W.partitionBy())
-    order = F.row_number().over(W.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), F.asc(part)))
-    quota = base.withColumn("quota", F.col("base") + (order <= left).cast("int")).select(part, "quota")
-    r = df.join(quota, part).withColumn("_r", F.row_number().over(W.partitionBy(part).orderBy(h, key)))
-    return r.where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("total"))))  # one row
+    quota = _quotas(sizes, part, F.lit(n), F.col("size") * n / F.col("total"))
+    return _first_by_hash(df, key, part, quota, seed).where("_in").drop("_in")
+
+
+def joint_split(questions: DataFrame, share: float = 0.7, seed: str = "42") -> DataFrame:
+    """Questions (qid, type, hops) with their side, tuning or holdout: the share of each (type, hops), by largest remainder to its share of all.
+
+    Whatever the order of the rows, the same ones are drawn: by a seeded hash of the id.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("share must be between 0 and 1")
+    q = questions.withColumn("_g", F.concat(F.coalesce("type", F.lit("untyped")), F.lit("\u0000"), F.col("hops").cast("string")))
+    sizes = q.groupBy("_g").agg(F.count("*").alias("size"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("total"))))  # one row
+    quota = _quotas(sizes, "_g", F.floor(F.col("total") * share + 0.5), F.col("size") * share)
+    out = _first_by_hash(q, "qid", "_g", quota, seed)
+    return out.withColumn("side", F.when(F.col("_in"), "tuning").otherwise("holdout")).drop("_in", "_g")
+
+
+def cap_bound(rows: DataFrame, k: int, cap: int, per_page: int = 3) -> DataFrame:
+    """One row: what recall a tighter page cap could reach at most, from rows (qid, k, recall, docs) at several cutoffs.
+
+    A list of k places with so many documents has at most (k - docs) // (per_page - 1)
+    pages at the old cap; the places that they would give up hold new documents at
+    best, so the recall at the next cutoff bounds the new one.
+    """
+    here = rows.where((F.col("k") == k) & F.col("recall").isNotNull()).select("qid", "recall", "docs")
+    full = F.greatest(F.lit(0), F.floor((k - F.col("docs")) / max(1, per_page - 1)))
+    here = here.withColumn("more", full * max(0, per_page - cap))
+    later = rows.where("recall IS NOT NULL").select("qid", F.col("k").alias("_k"), F.col("recall").alias("_r"))
+    j = here.join(later, "qid", "left").groupBy("qid", "recall", "docs", "more")  # a few cutoffs a question
+    best = j.agg(F.min_by("_r", F.when(F.col("_k") >= k + F.col("more"), F.col("_k"))).alias("_b"))
+    mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
+    return best.agg(mean("recall", "baseline"), mean(F.coalesce("_b", "recall"), "bound"), F.count("*").alias("n"), mean("docs", "mean_docs"), mean(F.col("docs") + F.col("more"), "ceiling_docs"))
+
+
+#: Outputs that no page can answer.
+ANSWER_ONLY = ("answer-string", "canonical-entity-id", "time-qualified-answer", "contradiction-explanation", "poison-flag", "confidence-score")
+
+
+def gold_partition(rows: DataFrame) -> DataFrame:
+    """(qid, kind) of rows (qid, example, abstains, relevant, output, expects): example, abstention, answer_only or candidate.
+
+    An abstention with relevant pages contradicts itself and is marked as invalid.
+    """
+    example, abstains = F.coalesce("example", F.lit(False)), F.coalesce("abstains", F.lit(False))
+    some = F.coalesce(F.size("relevant") > 0, F.lit(False))
+    only = F.col("relevant").isNull() & F.coalesce(F.col("output").isin(*ANSWER_ONLY), F.lit(False)) & F.coalesce("expects", F.lit(False))
+    kind = F.when(example, "example").when(abstains & some, "invalid").when(abstains, "abstention").when(only, "answer_only").otherwise("candidate")
+    return rows.select("qid", kind.alias("kind"))
 
 
 # --- on the driver: seeded sequences that must not depend on partitions -------

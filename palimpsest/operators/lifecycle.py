@@ -93,3 +93,35 @@ def resolve_slug(pages: DataFrame, slugs: DataFrame) -> DataFrame:
     j = slugs.join(n, "slug", "left")
     out = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
     return j.select("slug", F.when(F.col("n") == 1, F.col("page_id")).alias("page_id"), out.alias("outcome"))
+
+
+def replace_outcomes(pages: DataFrame, edits: DataFrame, sources: DataFrame, tags: tuple[str, ...], user: int) -> DataFrame:
+    """(id, outcome) of edits (id, body): not_visible, not_author, has_source (a file's page), no_text, or ok."""
+    filed = sources.select("page_id").distinct().withColumn("_filed", F.lit(True))
+    j = _asked(pages, edits.select("id", "body"), tags).join(filed, "page_id", "left")
+    blank = F.coalesce(~F.col("body").rlike("[^\\s]"), F.lit(True))
+    out = F.when(F.col("page_id").isNull(), "not_visible").when(F.col("owner") != user, "not_author").when(F.col("_filed"), "has_source").when(blank, "no_text").otherwise("ok")
+    return j.select("id", out.alias("outcome"))
+
+
+def _taken(edits: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The edits that take effect; of several for one page, the least by text."""
+    return edits.join(outcomes.where("outcome = 'ok'").select("id").distinct(), "id", "left_semi").groupBy(F.col("id").alias("page_id")).agg(F.min(F.struct("body", "title")).alias("_e"))
+
+
+def replaced_pages(pages: DataFrame, edits: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Pages after the edits (id, body, title): new body, hash and time; a NULL title and all labels stay."""
+    j, new = pages.join(_taken(edits, outcomes), "page_id", "left"), F.col("_e").isNotNull()
+    next_ = {"body": F.col("_e.body"), "title": F.coalesce("_e.title", "title"), "content_hash": F.sha2("_e.body", 256), "updated_at": now}
+    return j.select(*[F.when(new, next_[c]).otherwise(F.col(c)).alias(c) if c in next_ else F.col(c) for c in pages.columns])
+
+
+def replaced_chunks(chunks: DataFrame, pages: DataFrame, edits: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Chunks (page_id, ord, content, acl, effective_date, author) after the edits: new ones carry their page's labels."""
+    from palimpsest.operators.chunking import chunk_documents
+
+    taken = _taken(edits, outcomes)
+    new = chunk_documents(taken.select("page_id", F.col("_e.body").alias("body")), "page_id", "body")
+    labels = pages.select("page_id", "acl", "effective_date", "author")
+    made = new.join(labels.withColumnRenamed("page_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("page_id"), "ord", "content", "acl", "effective_date", "author")
+    return chunks.select(*made.columns).join(taken.select("page_id"), "page_id", "left_anti").unionByName(made)

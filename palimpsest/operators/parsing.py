@@ -19,6 +19,14 @@ from pyspark.sql import functions as F
 
 BLOCK_TAGS = "h[1-6]|p|li|pre|tr|blockquote"
 MOST_COLUMNS, MOST_LINES = 512, 400
+#: What a kind of file is called, and what its owner can do.
+REMEDIES = (
+    (".doc)", "Save it in Word as a Word Document (.docx) and upload that."),
+    (".xls)", "Save it in Excel as an Excel Workbook (.xlsx) and upload that."),
+    (".msg", "Mail files can't be read yet; paste the text instead."),
+    (".pptx", "Slides can't be read yet; export them as PDF and upload that."),
+    ("empty", "The file has no contents."),
+)
 
 
 def decode_entities(t: Column) -> Column:
@@ -64,7 +72,10 @@ def detect_format(content: Column, name: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     text = F.decode(F.substring(content, 1, 4096), "UTF-8")
     low = F.lower(name)
-    nul = F.hex(F.substring(content, 1, 4096)).rlike("^(?:[0-9A-F]{2})*?00")  # a whole byte
+    sample = F.substring(content, 1, 4096)
+    bytes_ = F.regexp_replace(F.hex(sample), "(..)", "$1 ")
+    odd = F.regexp_count(bytes_, F.lit("(0[1-8EF]|1[0-9A-F]) "))  # control bytes that text has no use for
+    nul = F.contains(bytes_, F.lit("00 ")) | (20 * odd >= F.greatest(F.lit(1), F.length(sample)))
     both = F.decode(F.concat(F.substring(content, 1, 8192), F.substring(content, -8192, 8192)), "ISO-8859-1")
     lead = F.lower(F.ltrim(text))
     return (
@@ -73,13 +84,22 @@ def detect_format(content: Column, name: Column) -> Column:
         .when(head.startswith("504B0304") & both.contains("xl/"), "xlsx")
         .when(head.startswith("504B0304") | head.startswith("89504E47") | head.startswith("FFD8FF") | nul, "unsupported")
         .when(lead.rlike("^[\\[{]") & F.try_parse_json(F.decode(content, "UTF-8")).isNotNull(), "json")
-        .when(lead.rlike("^(<!doctype|<html|<head|<body)"), "html")
+        .when(lead.rlike("^<(!doctype html|html|head|body)\\b"), "html")
         .when(low.rlike("\\.(csv|tsv)$"), "csv")
-        .when(low.rlike("\\.(md|markdown)$") | text.rlike("(?m)^#{1,6} ") | text.startswith("---\n"), "markdown")
+        .when(low.rlike("\\.(md|markdown)$") | text.rlike("(?m)^#{1,6}\\s") | text.startswith("---\n"), "markdown")
         .otherwise("text")
     )
 
 
+def remediation(looks_like: Column) -> Column:
+    """What to tell the owner of a file that can't be read, by what it looks like."""
+    every = "Supported: PDF, Word (.docx), Excel (.xlsx), CSV, JSON, HTML, Markdown, plain text."
+    out = F.when(F.lit(False), "")
+    for mark, say in REMEDIES:
+        out = out.when(looks_like.contains(mark), say)
+    return out.otherwise(every)
+
+
 def text_to_blocks(text: str) -> list[dict]:
     """Fences, headings (both styles), lists and paragraphs, each with its character span."""
     out: list[dict] = []

@@ -35,3 +35,11 @@ def content_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     # counts first, so that one content of many copies is not one task's window
     per = hashed.groupBy("sha").agg(F.min(key).alias("_first"), F.count("*").alias("copies"))
     return hashed.join(per, "sha").select(key, "sha", (F.col(key) == F.col("_first")).alias("first"), "copies")
+
+
+def fingerprints(df: DataFrame, part: str, text: str) -> DataFrame:
+    """(part, fingerprint, n): a hash of each part's texts whatever their order, from the hashes of 4,096 ranges."""
+    rows = df.select(part, F.sha2(text, 256).alias("h")).groupBy(part, F.substring("h", 1, 3).alias("bin"))
+    bins = rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    line = F.concat("bin", F.lit(":"), "h")
+    return bins.groupBy(part).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,24 @@ def scrub_markers(answer: Column, n: Column) -> Column:
     return F.array_join(F.transform(parts, tidy), "")
 
 
+def parse_answer(raw: Column, n: Column) -> Column:
+    """(answer, citations, degraded) of a model's response: JSON, in a fence or not, else the text itself without citations.
+
+    Citations are whole numbers from 1 to n, once each; marks of others are taken out of the answer.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), "^```(?i:json)?\\s*\\n?", ""), "\\n?```$", "")
+    body = lambda v: F.when(F.schema_of_variant(F.try_variant_get(v, "$.answer", "variant")) == "STRING", F.try_variant_get(v, "$.answer", "string"))
+    first, second = F.try_parse_json(raw), F.try_parse_json(bare)
+    v = F.when(body(first).isNotNull(), first).otherwise(second)
+    answer = body(v)
+    kind = lambda c: F.schema_of_variant(c).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    listed = F.coalesce(F.try_variant_get(v, "$.citations", "array<variant>"), F.array().cast("array<variant>"))
+    whole = F.transform(F.filter(listed, kind), lambda c: F.try_variant_get(c, "$", "double"))
+    cites = F.array_distinct(F.transform(F.filter(whole, lambda c: (c == F.floor(c)) & c.between(1, n)), lambda c: c.cast("int")))
+    good = answer.isNotNull()
+    return F.struct(scrub_markers(F.coalesce(answer, raw), n).alias("answer"), F.when(good, cites).otherwise(F.array().cast("array<int>")).alias("citations"), (~good).alias("degraded"))
+
+
 def clamp_citations(cites: Column, n: Column) -> Column:
     return F.array_distinct(F.filter(cites, lambda c: c.between(1, n)))
 
@@ -70,16 +91,34 @@ def read_snapshot(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def plan_batches(items: DataFrame, most_items: int = 64, most_tokens: int = 20_000) -> DataFrame:
-    """(part, items): runs of each part's items (part, seq, tokens), in order, under both limits, as sizes of the batches."""
-    seq = items.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tokens"))), lambda x: x["tokens"].cast("long")).alias("t"))
-    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"))
-
-    def step(a, t):
-        full = (a["n"] >= most_items) | ((a["n"] > 0) & (a["s"] + t > most_tokens))
-        return F.when(full, F.struct(F.array_append(a["done"], a["n"]).alias("done"), F.lit(1).alias("n"), t.alias("s"))).otherwise(F.struct(a["done"].alias("done"), (a["n"] + 1).alias("n"), (a["s"] + t).alias("s")))
-
-    end = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], a["n"])).otherwise(a["done"])
-    return seq.select("part", F.aggregate("t", start, step, end).alias("items"))
+    """(part, seq, batch): runs of each part's items (part, seq, tokens), in order, under both limits; one too heavy item goes alone."""
+    return _packed(items.select("part", "seq", "tokens"), most_items, most_tokens, False)
+
+
+def plan_updates(counts: DataFrame, most_rows: int = 2_000) -> DataFrame:
+    """(part, seq, batch): pages' row counts (part, seq, tokens) packed into statements of so many rows; pages without rows open none."""
+    return _packed(counts.select("part", "seq", "tokens"), None, most_rows, True)
+
+
+def _packed(items: DataFrame, most_items: int | None, most: int, weighed: bool) -> DataFrame:
+    """A fold that streams each part's rows in order and holds three numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, k, n, s = object(), 0, 0, 0
+        for rows in batches:
+            out = []
+            for part, w in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if part != now:
+                    now, k, n, s = part, 0, 0, 0
+                if (most_items and n >= most_items) or ((s if weighed else n) > 0 and s + (w or 0) > most):
+                    k, n, s = k + 1, 0, 0
+                n, s = n + 1, s + (w or 0)
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int64())], ["part", "seq", "batch"])
+
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    typed = items.select(F.col("part").cast("string"), F.col("seq").cast("long"), F.col("tokens").cast("long"))
+    return typed.repartition(width, "part").sortWithinPartitions("part", "seq").mapInArrow(run, "part string, seq long, batch long")
 
 
 def ingest_outcomes(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -132,10 +132,10 @@ def near_dup_consolidate(spark, d):
     return consolidate(facts(spark, d), 0.95)
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS fingerprint, count(*) AS n FROM documents GROUP BY source")
+@query("""WITH b AS (SELECT source, left(sha256(text), 3) AS bin, sha256(string_agg(sha256(text), chr(10) ORDER BY sha256(text))) AS h, count(*) AS n FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(bin || ':' || h, chr(10) ORDER BY bin)) AS fingerprint, sum(n)::BIGINT AS n FROM b GROUP BY source""")
 def dataset_fingerprint(spark, d):
-    rows = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    return screening.fingerprints(table(spark, d, "documents"), "source", "text")
 
 
 # --- links -------------------------------------------------------------------
@@ -312,15 +312,21 @@ def budget_ledger(spark, d):
     return s.groupBy("user_id").agg(F.round(F.sum(F.coalesce("actual", "estimated")), 4).alias("spent"), F.count("*").alias("calls"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id AS account, event_id AS seq, abs(value) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f(account, seq, k, allowed, spent) AS (SELECT account, seq, k, cost <= 200, CASE WHEN cost <= 200 THEN cost ELSE 0 END FROM c WHERE k = 1
+  UNION ALL SELECT c.account, c.seq, c.k, spent + cost <= 200, CASE WHEN spent + cost <= 200 THEN spent + cost ELSE spent END FROM f JOIN c ON c.account = f.account AND c.k = f.k + 1)
+SELECT account, seq, allowed, round(spent, 6) AS spent FROM f""")
 def budget_decisions(spark, d):
     from palimpsest.operators.folds import budget_decisions as decide
 
     e = table(spark, d, "events").select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.abs("value").alias("cost"))
-    return decide(e, 200.0)
+    return decide(e, 200.0).withColumn("spent", F.round("spent", 6))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT user_id AS key, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+f(key, seq, k, window_start, n) AS (SELECT key, seq, k, sec, 1::BIGINT FROM h WHERE k = 1
+  UNION ALL SELECT h.key, h.seq, h.k, CASE WHEN sec >= window_start + 3600 THEN sec ELSE window_start END, CASE WHEN sec >= window_start + 3600 THEN 1 ELSE n + 1 END FROM f JOIN h ON h.key = f.key AND h.k = f.k + 1)
+SELECT key, seq, window_start, n <= 2 AS allowed FROM f""")
 def rate_windows(spark, d):
     from palimpsest.operators.folds import rate_windows as limit
 

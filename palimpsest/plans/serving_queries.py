@@ -117,12 +117,37 @@ def scope_agreement(spark, d):
     return access.scope_agreement(p).select("page_id", "scope")
 
 
-@query("SELECT lang AS part, sum(n)::BIGINT AS items FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) GROUP BY lang")
+def _packing(rows: str, close: str) -> str:
+    """SQL of a fold over rows (part, seq, tokens): close says when the next row opens a batch."""
+    return f"""WITH RECURSIVE r AS ({rows}), i AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq) AS k FROM r),
+    f(part, seq, k, batch, n, s) AS (SELECT part, seq, k, 0::BIGINT, 1::BIGINT, tokens FROM i WHERE k = 1
+      UNION ALL SELECT i.part, i.seq, i.k, batch + CAST({close} AS BIGINT), CASE WHEN {close} THEN 1 ELSE n + 1 END, CASE WHEN {close} THEN tokens ELSE s + tokens END FROM f JOIN i ON i.part = f.part AND i.k = f.k + 1)
+    SELECT part, seq, batch FROM f"""
+
+
+@query(_packing("SELECT lang AS part, doc_id AS seq, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents", "(n >= 64 OR s + tokens > 20000)"))
 def batch_planning(spark, d):
-    """Batches hold every item once: their sizes add up to the parts' items."""
-    t = table(spark, d, "documents").select(F.col("lang").alias("part"), F.col("doc_id").alias("seq"), F.ceil(F.octet_length("text") / 4).alias("tokens"))
-    b = serving.plan_batches(t)
-    return b.select("part", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x).alias("items"))
+    """Which batch each item goes in: under 64 items and 20,000 tokens."""
+    return serving.plan_batches(table(spark, d, "documents").select(F.col("lang").alias("part"), F.col("doc_id").alias("seq"), F.ceil(F.octet_length("text") / 4).alias("tokens")))
+
+
+@query(_packing("SELECT CAST(p_size AS VARCHAR) AS part, p_partkey AS seq, coalesce((SELECT CAST(sum(l_quantity) AS BIGINT) FROM lineitem WHERE l_partkey = p_partkey), 0) AS tokens FROM part", "(s > 0 AND s + tokens > 2000)"))
+def update_packing(spark, d):
+    """Pages' rows packed into statements of 2,000 rows."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    p = table(spark, d, "part").join(n, "p_partkey", "left")
+    return serving.plan_updates(p.select(F.col("p_size").cast("string").alias("part"), F.col("p_partkey").alias("seq"), F.coalesce("q", F.lit(0)).alias("tokens")))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[\\[\\]]', '', 'g') || '[1] z[99]' AS raw FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN replace(raw, '[99]', '') ELSE replace(CASE turn % 4 WHEN 2 THEN raw ELSE '{"answer": 5} ' || raw END, '[99]', '') END AS answer, CASE WHEN turn % 4 < 2 THEN '1,3' ELSE '' END AS citations, turn % 4 >= 2 AS degraded FROM t""")
+def answer_parse(spark, d):
+    """Responses as JSON, as JSON in a fence, as bare text, and as JSON that isn't an answer."""
+    c = table(spark, d, "conversations").withColumn("raw", F.concat(F.regexp_replace("text", "[\\[\\]]", ""), F.lit("[1] z[99]")))
+    body = F.to_json(F.struct(F.col("raw").alias("answer"), F.array(F.lit(1.0), F.lit(9.0), F.lit(1.5), F.lit(3.0), F.lit(1.0)).alias("citations")))
+    said = F.when(F.col("turn") % 4 == 0, body).when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 4 == 2, F.col("raw")).otherwise(F.concat(F.lit('{"answer": 5} '), "raw"))
+    p = c.select("conv_id", "turn", serving.parse_answer(said, F.lit(4)).alias("p"))
+    return p.select("conv_id", "turn", "p.answer", F.array_join(F.col("p.citations").cast("array<string>"), ",").alias("citations"), "p.degraded")
 
 
 @query()
