@@ -39,6 +39,7 @@ def resolve_sessions(sessions: DataFrame, principals: DataFrame, members: DataFr
 
 
 def leaks(retrieved: DataFrame, barred: DataFrame) -> DataFrame:
-    """(qid, retrieved, leaked): rows (qid, slug) that a barred reader got, and how many of them are among the barred ones (qid, slug)."""
-    marked = retrieved.join(barred.select("qid", "slug").distinct().withColumn("_barred", F.lit(True)), ["qid", "slug"], "left")
+    """(qid, retrieved, leaked): rows (qid, slug) that a reader got, and how many are among the barred ones, (qid, slug) or slugs barred to all questions."""
+    on = [c for c in ("qid", "slug") if c in barred.columns]
+    marked = retrieved.join(barred.select(on).distinct().withColumn("_barred", F.lit(True)), on, "left")
     return marked.groupBy("qid").agg(F.count("*").alias("retrieved"), F.count("_barred").alias("leaked"))

@@ -74,6 +74,8 @@ def test_sessions_say_who_only_when_valid(spark):
 def test_leaks_are_seen(spark):
     got = audit.leaks(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "qid long, slug string"), spark.createDataFrame([(1, "b"), (1, "b"), (2, "a")], "qid long, slug string"))
     assert {tuple(r) for r in got.collect()} == {(1, 2, 1), (2, 1, 0)}
+    got = audit.leaks(spark.createDataFrame([(1, "a"), (2, "a"), (2, "c")], "qid long, slug string"), spark.createDataFrame([("a",)], "slug string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 1), (2, 2, 1)}
 
 
 def test_replaced_chunks_carry_labels(spark):
