@@ -85,8 +85,8 @@ def test_more_languages_than_a_word(spark):
     docs = spark.createDataFrame(rows, TYPES)
     model = L.fit(docs)
     assert model.table.shape == (2, L.SLOTS)
-    ((_, hits, _),) = L.counts(pa.array(["zzqzz"]), model.table, 70)
-    assert (hits[0] == hits[0][0]).all() and hits[0][0] > 0
+    ((n, hits, _),) = L.counts(pa.array(["zzqzz"]), model.table, 70)
+    assert hits[0].min() >= n[0] - 3  # but for pairs that are twice as common in the words with zz
     assert {(r.lang, r.lang_pred) for r in L.identify(docs, model).collect()} == {(f"l{i:02}", f"l{i:02}") for i in range(70)}
 
 
