@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe_duckdb, decontaminate, language_id, merkle, near_dup, quality_model, quality_rules, sharding, suffix_lm, token_binary, token_counts, toxicity
+from palimpsest.llm import bpe_duckdb, decontaminate, hard_negatives, language_id, merkle, near_dup, quality_model, quality_rules, sharding, suffix_lm, token_binary, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -80,10 +84,12 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_language_id": op12_language_id,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle_sql(),
     "op2_minhash_near_dedup": near_dup.oracle_sql(),
     "op11_merkle_manifest": merkle.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.oracle_sql(),
 }
