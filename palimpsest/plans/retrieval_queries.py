@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import intent as I
-from palimpsest.functions.text import kebab
 from palimpsest.operators import retrieval as R
 from palimpsest.operators.access import visible
 from palimpsest.plans.policy import DEFAULT
@@ -169,7 +170,7 @@ def _hybrid(spark: SparkSession, d: str, keyring: tuple[str, ...] = KEYRING) ->
 
 _HINT = f"CASE WHEN regexp_matches(question, '{I.sql_pattern(I.CANONICAL)}') AND NOT regexp_matches(question, '{I.sql_pattern(I.TIME_BOUND)}') THEN 'off' WHEN regexp_matches(question, '{I.sql_pattern(I.STRONG_RECENCY)}') THEN 'strong' WHEN regexp_matches(question, '{I.sql_pattern(I.RECENCY_ON)}') THEN 'on' ELSE 'off' END"
 _FACTOR = "CASE WHEN mode IN ('on', 'strong') THEN 1 + CASE WHEN mode = 'strong' THEN 1.5::DOUBLE ELSE 1 END * 0.3::DOUBLE * 90 / (90 + greatest(0, date_diff('day', effective_date, DATE '2024-12-31'))) ELSE 1 END"
-_KEBAB = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_KEBAB = r"regexp_replace(lower({0}), '\s+', '-', 'g')"
 _HYBRID = f"""
 qm AS (SELECT qid, question, CASE qid % 3 WHEN 0 THEN 'on' WHEN 1 THEN 'strong' ELSE {_HINT} END AS mode FROM q),
 adj AS (SELECT b.qid, b.chunk_id, b.page_id, md5(content) AS h, score * ({_FACTOR}) * CASE WHEN 'doc-' || chunk_id = {_KEBAB.format('trim(question)')} OR lower(trim(title)) = lower(trim(question)) THEN 1.25::DOUBLE ELSE 1 END AS score
@@ -191,12 +192,12 @@ def hybrid_small_tenant(spark, d):
 
 
 @query(f"""WITH t AS (SELECT doc_id, 'doc-' || doc_id AS slug, string_split(text, chr(10))[1] AS title FROM documents),
-a AS (SELECT doc_id, slug, title, CASE doc_id % 4 WHEN 0 THEN 'Doc ' || doc_id WHEN 1 THEN title WHEN 2 THEN ' ' || upper(slug) ELSE 'Other' END AS question FROM t)
+a AS (SELECT doc_id, slug, title, CASE doc_id % 5 WHEN 0 THEN 'Doc  ' || doc_id WHEN 1 THEN title WHEN 2 THEN ' ' || upper(slug) WHEN 3 THEN 'Doc: ' || doc_id ELSE 'notes/doc ' || doc_id END AS question FROM t)
 SELECT doc_id, lower(trim(question)) = slug OR {_KEBAB.format('trim(question)')} = slug OR ends_with(slug, '/' || {_KEBAB.format('trim(question)')}) OR lower(trim(title)) = lower(trim(question)) AS exact FROM a""")
 def exact_boost(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("slug"), F.substring_index("text", "\n", 1).alias("title"))
-    k = F.col("doc_id") % 4
-    asked = F.when(k == 0, F.concat(F.lit("Doc "), "doc_id")).when(k == 1, F.col("title")).when(k == 2, F.concat(F.lit(" "), F.upper("slug"))).otherwise("Other")
+    k = F.col("doc_id") % 5
+    asked = F.when(k == 0, F.concat(F.lit("Doc  "), "doc_id")).when(k == 1, F.col("title")).when(k == 2, F.concat(F.lit(" "), F.upper("slug"))).when(k == 3, F.concat(F.lit("Doc: "), "doc_id")).otherwise(F.concat(F.lit("notes/doc "), "doc_id"))
     return t.select("doc_id", R.exact_match(F.col("slug"), F.col("title"), asked).alias("exact"))
 
 
@@ -220,20 +221,21 @@ def autocut(spark, d):
 _EDGES = """
 e AS (SELECT doc_id AS from_page_id, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS to_page_id, doc_id % 50 AS created_at FROM documents
       UNION ALL SELECT doc_id, (doc_id * 13 + 5) % (SELECT count(*) FROM documents), (doc_id * 3) % 50 FROM documents),
-seeds AS (SELECT qid, chunk_id AS page_id, rk FROM kwr WHERE NOT is_and),
-hop AS (SELECT s.qid, s.page_id AS seed, rk, to_page_id AS page_id, created_at FROM seeds s JOIN e ON from_page_id = s.page_id
-        UNION ALL SELECT s.qid, s.page_id, rk, from_page_id, created_at FROM seeds s JOIN e ON to_page_id = s.page_id),
-near AS (SELECT qid, seed, rk, page_id, min(created_at) AS first FROM hop h ANTI JOIN seeds s USING (qid, page_id) GROUP BY ALL),
+seeds AS (SELECT qid, chunk_id AS page_id FROM kwr UNION SELECT qid, chunk_id FROM vr UNION SELECT qid, chunk_id FROM tr),
+hop AS (SELECT s.qid, s.page_id AS seed, to_page_id AS page_id, created_at FROM seeds s JOIN e ON from_page_id = s.page_id
+        UNION ALL SELECT s.qid, s.page_id, from_page_id, created_at FROM seeds s JOIN e ON to_page_id = s.page_id),
+near AS (SELECT qid, seed, page_id, min(created_at) AS first FROM hop h ANTI JOIN seeds s USING (qid, page_id) GROUP BY ALL),
 n3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, seed ORDER BY first, page_id) AS n FROM near) WHERE n <= 3),
-nb AS (SELECT qid, page_id, min(rk) AS seed_rk, min(first) AS first FROM n3 GROUP BY ALL),
+nb AS (SELECT qid, page_id, min(n) AS seed_rk, min(first) AS first FROM n3 GROUP BY ALL),
 """
 
 
 @query(_sql("SELECT qid, page_id AS chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY seed_rk, first, page_id) AS INTEGER) AS rk FROM nb SEMI JOIN documents ON doc_id = page_id", _EDGES))
 def graph_expand(spark, d):
-    kw = R.keyword_arms(R.keyword_matches(questions(spark, d), _readable(spark, d))).where("NOT is_and")
+    """Seeds are the pages of every arm."""
+    seeds = reduce(DataFrame.union, (a.select("qid", F.col("chunk_id").alias("page_id")) for a in _arms(spark, d))).distinct()
     pages = chunks(spark, d).select("chunk_id", F.col("chunk_id").alias("page_id"))
-    return R.graph_arm(kw.select("qid", F.col("chunk_id").alias("page_id"), "rk"), edges(spark, d), pages).select("qid", "chunk_id", "rk")
+    return R.graph_arm(seeds, edges(spark, d), pages).select("qid", "chunk_id", "rk")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
