@@ -3,7 +3,7 @@
 Words are runs of letters and digits, Latin capitals lowered. A word's input is
 an embedding of the word and the mean of embeddings of its character n-grams; the
 gates' input products are computed once for each distinct word. Every window of
-``SPAN`` words, one each ``STEP`` words and one at the text's end, runs through a
+``SPAN`` words, one from each word on, runs through a
 forward and a backward gated recurrent layer; attention weighs the states, and
 a logistic unit scores the pooled state. A text's score is its highest window's,
 calibrated on labelled rows that the fit did not see.
@@ -11,7 +11,8 @@ calibrated on labelled rows that the fit did not see.
 Labels are per document, so training is by multiple instances: the windows of
 toxic documents with the most telling words start as positives; after each
 round, each document's highest windows under the network take their place, and
-the highest windows of clean documents join the negatives. The fit takes at
+the highest windows of clean documents join the negatives. Examples are taken from every
+``STEP``-th window; calibration and scoring go by all of them. The fit takes at
 most about ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of text, chosen by a hash
 of the id among those whose text has ``TEXT_BYTES`` at most, never those of the
 held-out fold. It runs in one task of an executor, which returns the weights. Word inputs are dropped at random in training, so the
@@ -39,7 +40,7 @@ from palimpsest.llm.quality_model import labelled
 from palimpsest.llm.scratch import Scratch
 from palimpsest.llm.wordvec import PLAIN, buffers, chunks, mix, release, span_hashes, word_spans
 
-SPAN, STEP, HIDDEN = 24, 12, 8
+SPAN, STEP, HIDDEN = 24, 4, 8
 WORD_DIM, CHAR_DIM, BUCKETS, GRAMS = 8, 16, 1 << 15, (3, 4, 5)
 SAMPLE, ROUNDS, STEPS, BATCH, RATE = 4_000, 3, 120, 256, 0.01
 SAMPLE_BYTES, TEXT_BYTES = 16 << 20, 1 << 18
@@ -90,20 +91,13 @@ def word_grams(part: np.ndarray, starts: np.ndarray, last: np.ndarray) -> tuple[
     return (mix(keys[order]) % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(size))
 
 
-def windows(n: int) -> list[int]:
-    """First words of the windows of n words: all overlapping ones, the last flush with the end."""
-    if n <= SPAN:
-        return [0]
-    return [*range(0, n - SPAN, STEP), n - SPAN]
-
-
-def _window_rows(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, first word) of all windows of the documents."""
+def _window_rows(off: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first word) of the documents' windows, one each step words, the last flush with the end; one if there are fewer words."""
     n = np.diff(off)
-    many = np.where(n <= SPAN, 1, -(-(n - SPAN) // STEP) + 1)
+    many = np.where(n <= SPAN, 1, -(-(n - SPAN) // step) + 1)
     doc = np.repeat(np.arange(len(n)), many)
     k = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    return doc, off[doc] + np.where(n[doc] <= SPAN, 0, np.minimum(k * STEP, n[doc] - SPAN))
+    return doc, off[doc] + np.where(n[doc] <= SPAN, 0, np.minimum(k * step, n[doc] - SPAN))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,6 +168,60 @@ class Network:
         logit = pooled @ self.p["o"] + self.p["c"][0]
         return (logit, (states, e, w, pooled, saved)) if keep else logit
 
+    def slide(self, gates: tuple[np.ndarray, np.ndarray] | list[np.ndarray], words: np.ndarray) -> np.ndarray:
+        """Logits of the full windows from each of the words on, as ``run`` computes them.
+
+        A step's gate sums of consecutive windows are consecutive columns, so nothing is gathered a window.
+        """
+        h, n = HIDDEN, max(0, len(words) - SPAN + 1)
+        out = np.empty(n, np.float32)
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h, h])  # the logistic function is taken as (1 + tanh(x / 2)) / 2
+        back = [np.ascontiguousarray(self.p[f"u{d}"].T * np.float32(0.5)) for d in (0, 1)]
+        attend = np.ascontiguousarray(self.p["a"].T)
+        states = np.empty((SPAN, 2 * h, min(RUN, n)), np.float32)
+        sums, c = np.empty((3 * h, min(RUN, n)), np.float32), np.empty((h, min(RUN, n)), np.float32)
+        for k in range(0, n, RUN):
+            m = min(RUN, n - k)
+            if m < len(c[0]):
+                sums, c = sums[:, :m].copy(), c[:, :m].copy()
+            for d in (0, 1):
+                g = np.ascontiguousarray((gates[d][words[k : k + m + SPAN - 1]] * half).T)
+                s = np.zeros((h, m), np.float32)
+                for t in range(SPAN) if d == 0 else range(SPAN - 1, -1, -1):
+                    np.matmul(back[d], s, out=sums)
+                    zr = sums[: 2 * h]
+                    zr += g[: 2 * h, t : t + m]
+                    np.tanh(zr, out=zr)
+                    zr += 1
+                    np.multiply(zr[h:], sums[2 * h :], out=c)
+                    c += g[2 * h :, t : t + m]
+                    np.tanh(c, out=c)
+                    s -= c
+                    s *= zr[:h]
+                    s *= 0.5
+                    s += c
+                    states[t, d * h : (d + 1) * h, :m] = s
+            now = states[:, :, :m]
+            e = attend @ now
+            np.tanh(e, out=e)
+            q = self.p["v"] @ e
+            w = np.exp(q - q.max(axis=0))
+            out[k : k + m] = (w * (self.p["o"] @ now)).sum(axis=0) / w.sum(axis=0) + self.p["c"][0]
+        return out
+
+    def all_windows(self, gates, words: np.ndarray, off: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Logits of ``_window_rows(off)``; words: each word's row in gates."""
+        out = np.full(len(doc), self.p["c"][0], np.float32)
+        size = np.diff(off)[doc]
+        full, short = np.flatnonzero(size >= SPAN), np.flatnonzero((size < SPAN) & (size > 0))
+        if len(full):
+            out[full] = self.slide(gates, words)[first[full]]  # those across two documents are left out
+        for k in range(0, len(short), RUN):
+            some = short[k : k + RUN]
+            index = first[some, None] + np.arange(SPAN)
+            out[some] = self.run(gates, words[np.minimum(index, len(words) - 1)], index < off[doc[some] + 1, None])
+        return out
+
     def gradients(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray):
         """(loss, gradients of all but the embeddings, gradient of x)."""
         h = HIDDEN
@@ -262,12 +310,7 @@ class Scorer:
         for i, part, starts, last, hashes, off in tokens(texts):
             slots = self.slots(part, starts, last, hashes)
             doc, first = _window_rows(off)
-            out = np.zeros(len(doc), np.float32)
-            for k in range(0, len(doc), RUN):
-                index = first[k : k + RUN, None] + np.arange(SPAN)
-                mask = index < off[doc[k : k + RUN] + 1, None]
-                index = slots[np.minimum(index, len(slots) - 1)] if len(slots) else np.zeros(index.shape, np.int64)
-                out[k : k + RUN] = self.net.run(self.table, index, mask) if len(slots) else self.net.p["c"][0]
+            out = self.net.all_windows(self.table, slots, off, doc, first)
             yield i, doc, first, out, off
 
     def highest(self, texts: pa.Array) -> np.ndarray:
@@ -354,7 +397,7 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, steps: int = ST
     corpus, net = _Corpus(texts), Network.fresh(seed)
     if not len(corpus.id):
         return None
-    doc, first = _window_rows(corpus.off)
+    doc, first = _window_rows(corpus.off, STEP)
     learn = ~held[doc] & (np.diff(corpus.off)[doc] > 0)
     word = telling(corpus, y, ~held)
     total = np.concatenate([[0], np.cumsum(np.maximum(word[corpus.id], 0) ** 2)])
@@ -390,10 +433,12 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, steps: int = ST
             for name, grad in g.items():
                 _adam(net.p[name], state[name], grad, step)
         view = _all_logits(net, corpus, doc, first)
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, doc, _all_logits(net, corpus, doc, first))
     use = held if held.any() else np.ones(len(y), bool)
-    net.calibration = _platt(top[use], y[use])
+    chosen = [texts[i] for i in np.flatnonzero(use)]
+    scorer, top = Scorer(net), []
+    for k in range(0, len(chosen), 256):
+        top.append(scorer.highest(pa.array(chosen[k : k + 256], pa.string())))
+    net.calibration = _platt(np.concatenate(top), y[use])
     return net
 
 

@@ -239,12 +239,33 @@ def test_gradients_are_right():
     assert slope(x, (3, 5)) == pytest.approx(float(dx[3, 5]), abs=2e-4)
 
 
-def test_windows_cover_everything():
+def test_windows_are_all_windows():
     for n in (0, 1, 23, 24, 25, 36, 37, 100):
         off = np.array([0, 7, 7 + n])
         doc, first = toxicity._window_rows(off)
-        assert [f - 7 for d, f in zip(doc, first, strict=True) if d == 1] == toxicity.windows(n)
-        assert set(range(n)) <= {f + k for f in toxicity.windows(n) for k in range(toxicity.SPAN)}
+        assert [f - 7 for d, f in zip(doc, first, strict=True) if d == 1] == list(range(max(1, n - toxicity.SPAN + 1)))
+        doc, first = toxicity._window_rows(off, 5)
+        mine = [f - 7 for d, f in zip(doc, first, strict=True) if d == 1]
+        assert mine[-1] == max(0, n - toxicity.SPAN) and max(np.diff(mine), default=0) <= 5
+
+
+def test_scores_are_the_highest_of_all_windows(monkeypatch):
+    """Against one window at a time, run without sharing anything; blocks of windows end inside texts."""
+    monkeypatch.setattr(toxicity, "RUN", 16)
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdefgh')}{rng.choice('xyz') * rng.randint(1, 4)}" for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=k)) for k in (0, 1, 5, 23, 24, 25, 26, 90, 3, 131)] + [None, "!?"]
+    net = toxicity.Network.fresh(3)
+    net.p["word"] *= 20
+    got = toxicity.Scorer(net).highest(pa.array(texts, pa.string()))
+    for text, high in zip(texts, got, strict=True):
+        _, part, starts, last, hashes, _ = next(toxicity.tokens(pa.array([text or ""], pa.string())))
+        x = net.inputs(hashes, *toxicity.word_grams(part, starts, last))
+        logits = []
+        for i in range(max(1, len(hashes) - toxicity.SPAN + 1)):
+            own = x[i : i + toxicity.SPAN]
+            logits.append(float(net.run(net.gates(own), np.arange(len(own))[None], np.ones((1, len(own)), bool))[0]) if len(own) else float(net.p["c"][0]))
+        assert high == pytest.approx(max(logits), abs=1e-4)
 
 
 # --- 4, 5, 8 -----------------------------------------------------------------------------
