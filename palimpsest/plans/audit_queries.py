@@ -61,14 +61,18 @@ def session_resolution(spark, d):
 _BARE = BASE.strip().rstrip(",")
 
 
-@query(f"""WITH {_BARE}, hit AS (SELECT qid, chunk_id, list_has_any(acl, {list(SMALL)}) AND NOT deleted AS open FROM every, q WHERE list_has_any(tokens, terms[1:32]))
-SELECT qid, count(*) FILTER (WHERE open) AS retrieved, 0::BIGINT AS leaked FROM hit GROUP BY qid HAVING count(*) FILTER (WHERE open) > 0""")
+@query(f"""WITH {_BARE}, stale AS (SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN ['{SMALL[0]}'] ELSE acl END AS acl, deleted, tokens FROM every),
+got AS (SELECT qid, chunk_id FROM stale, q WHERE list_has_any(acl, {list(SMALL)}) AND NOT deleted AND list_has_any(tokens, terms[1:32])),
+barred AS (SELECT qid, chunk_id FROM every, q WHERE (deleted OR NOT list_has_any(acl, {list(SMALL)})) AND len(terms) > 0 AND list_has_all(tokens, terms))
+SELECT qid, count(*) AS retrieved, count(b.chunk_id) AS leaked FROM got LEFT JOIN barred b USING (qid, chunk_id) GROUP BY qid""")
 def leak_check(spark, d):
-    """What a tenant of one workspace retrieves, held against all chunks that its keyring bars."""
+    """What a tenant of one workspace retrieves from chunks whose access lists are partly stale, held against each question's relevant chunks that the pages' lists bar."""
     c, q = chunks(spark, d), questions(spark, d)
-    mine = R.keyword_matches(q, access.visible(c, SMALL)).select("qid", F.col("chunk_id").alias("slug"))
-    barred = c.select("chunk_id").join(access.visible(c, SMALL).select("chunk_id"), "chunk_id", "left_anti")
-    return audit.leaks(mine, barred.select(F.col("chunk_id").alias("slug")))
+    stale = c.withColumn("acl", F.when(F.col("chunk_id") % 3 == 0, F.array(F.lit(SMALL[0]))).otherwise(F.col("acl")))
+    got = R.keyword_matches(q, access.visible(stale, SMALL)).select("qid", F.col("chunk_id").alias("slug"))
+    relevant = R.keyword_matches(q, c).where("is_and").select("qid", "chunk_id")
+    barred = relevant.join(access.visible(c, SMALL).select("chunk_id"), "chunk_id", "left_anti")
+    return audit.leaks(got, barred.select("qid", F.col("chunk_id").alias("slug")))
 
 
 @query(f"""WITH {PAGES}, e AS (SELECT doc_id * 3 AS id, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'new ' || text END AS t FROM documents), g AS (SELECT DISTINCT doc_id * 14 AS page_id, true AS filed FROM documents)

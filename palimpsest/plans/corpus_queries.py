@@ -140,17 +140,22 @@ def dataset_fingerprint(spark, d):
 
 # --- links -------------------------------------------------------------------
 
-_NAMES = "nm AS (SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(CASE WHEN trim(title) = '' THEN slug ELSE title END), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS name FROM kb), n4 AS (SELECT name, min(page_id) AS one, min(page_id, 2)[2] AS two FROM nm WHERE length(name) >= 6 GROUP BY name), body AS (SELECT page_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ' AS b FROM kb)"
+_MENTIONS = r"""nm AS (SELECT page_id, lower(trim(CASE WHEN trim(title) = '' THEN slug ELSE title END)) AS name FROM (SELECT page_id, slug, regexp_replace(title, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g') AS title FROM kb)),
+bodies AS (SELECT page_id, lower(regexp_replace({body}, '\[[^\]]+\]\([^)\s]+\)', ' ', 'g')) AS b FROM kb),
+near AS MATERIALIZED (SELECT page_id, name FROM bodies JOIN (SELECT DISTINCT name FROM nm WHERE length(name) >= 6) ON contains(b, name)),
+hit AS (SELECT page_id AS from_page_id, name FROM near JOIN bodies USING (page_id) WHERE regexp_matches(b, '\b' || regexp_escape(name) || '\b')),
+mentioned AS (SELECT from_page_id, page_id AS to_page_id, name FROM hit JOIN nm USING (name) WHERE page_id <> from_page_id)"""
 
 
-_LINKS = "l AS (SELECT page_id AS from_page_id, CASE WHEN page_id = one THEN two ELSE one END AS to_page_id, name FROM body JOIN n4 ON contains(b, ' ' || name || ' '))"
+@query(f"WITH {PAGES}, {_MENTIONS.format(body='body')} SELECT * FROM mentioned QUALIFY row_number() OVER (PARTITION BY from_page_id ORDER BY length(name) DESC, to_page_id) <= 50")
+def mention_links(spark, d):
+    """Mentions of all pages' whole titles, or their slugs where they have none: every page of a name, fifty links out of a page at most."""
+    return links.mentions(kb_pages(spark, d).select("page_id", "body"), _page_names(spark, d))
 
 
-@query(f"WITH {PAGES}, {_NAMES}, {_LINKS} SELECT * FROM l WHERE to_page_id IS NOT NULL")
-def mention_links(spark, d):
-    """Mentions of all pages' whole titles, or their slugs where they have none."""
-    p = kb_pages(spark, d)
-    return links.mentions(p.select("page_id", "body"), links.names(p.select("page_id", "title", "slug")))
+def _page_names(spark, d):
+    """Titles without the punctuation at their ends, after which no word could begin."""
+    return links.names(kb_pages(spark, d).select("page_id", "slug", F.regexp_replace("title", "^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$", "").alias("title")))
 
 
 _MD = """md AS (SELECT doc_id AS page_id, 'see [a](/page/doc-' || (doc_id + 1) || '#top) and [b](doc-' || (doc_id * 2) || '?x=1) or [c](http://x.y)' AS body FROM documents),
@@ -175,10 +180,20 @@ def backlinks(spark, d):
     return found.groupBy(F.col("to_page_id").alias("page_id")).agg(F.count("*").alias("backlinks"), F.min("from_page_id").alias("first_from"))
 
 
-@query(f"WITH {PAGES}, {_NAMES}, {_LINKS} SELECT from_page_id, to_page_id, name FROM (SELECT *, row_number() OVER (PARTITION BY from_page_id ORDER BY length(name) DESC, to_page_id) AS k FROM l WHERE to_page_id IS NOT NULL) WHERE k <= 50")
+_LINKED = "body || ' see [a](/page/doc-' || (page_id + 1) || '#top) and [b](doc-' || (page_id * 2) || '?x=1) or [c](http://x.y)'"
+
+
+@query(f"""WITH {PAGES}, {_MENTIONS.format(body=_LINKED)},
+h AS (SELECT page_id, unnest(regexp_extract_all({_LINKED}, '\\[[^\\]]+\\]\\(([^)\\s]+)\\)', 1)) AS raw FROM kb),
+n AS (SELECT DISTINCT page_id, regexp_extract(regexp_replace(raw, '^/?(page/)?', ''), '^[^#?]*') AS href FROM h),
+pairs AS (SELECT n.page_id AS from_page_id, kb.page_id AS to_page_id, 'markdown' AS link_kind, href AS link_source FROM n JOIN kb ON slug = href UNION ALL SELECT from_page_id, to_page_id, 'mention', name FROM mentioned)
+SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY from_page_id ORDER BY length(link_source) DESC, to_page_id, link_kind, link_source) <= 50""")
 def link_cap(spark, d):
-    """At most fifty links out of each page, those of the longest names first."""
-    return links.cap(mention_links(spark, d), "from_page_id", [F.desc(F.length("name")), F.asc("to_page_id")])
+    """At most fifty links out of each page, of both kinds together, those of the longest sources first."""
+    p, k = kb_pages(spark, d), F.col("page_id")
+    more = F.concat(F.col("body"), F.lit(" see [a](/page/doc-"), k + 1, F.lit("#top) and [b](doc-"), k * 2, F.lit("?x=1) or [c](http://x.y)"))
+    bodies = p.select("page_id", more.alias("body"))
+    return links.capped(links.markdown_links(bodies, p.select("page_id", "slug")), links.mentions(bodies, _page_names(spark, d)))
 
 
 # --- tenancy ------------------------------------------------------------------

@@ -63,7 +63,7 @@ def test_graph_arm(spark):
     e = spark.createDataFrame([(10, 30, 5), (40, 10, 1), (10, 20, 0), (20, 50, 9), (10, 60, 7), (10, 70, 8)], "from_page_id long, to_page_id long, created_at long")
     chunks = spark.createDataFrame([(p, p) for p in (10, 20, 30, 40, 50, 60, 70)], "chunk_id long, page_id long")
     got = retrieval.graph_arm(seeds, e, chunks, per_seed=3).orderBy("rk").collect()
-    assert [r.page_id for r in got] == [40, 30, 60, 50]
+    assert [r.page_id for r in got] == [40, 50, 30, 60]  # by the neighbour's rank inside its seed: 40 and 50 are first there
 
 
 def test_recency_by_hand(spark):
@@ -184,12 +184,17 @@ def test_links(spark):
     bodies = spark.createDataFrame([(1, "see [x](/page/b#y) and Big Red Dog Show"), (2, "[Big Red Dog Show](c)"), (3, None)], "page_id long, body string")
     pages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "page_id long, slug string")
     assert sorted((r.from_page_id, r.to_page_id) for r in links.markdown_links(bodies, pages).collect()) == [(1, 2), (2, 3)]
-    titled = spark.createDataFrame([(9, "Big, red dog", "s9"), (8, "big red dog show with more", "s8"), (7, "", "red-dog"), (6, "dog", "s6"), (5, "Big Red Dog", "s5"), (4, None, "x y"), (1, "big red dog show", "s1")], "page_id long, title string, slug string")
+    titled = spark.createDataFrame([(9, "Big, red dog", "s9"), (8, "big red dog show with more", "s8"), (7, "", "red-dog"), (6, "dog", "s6"), (5, "Big Red Dog", "s5"), (4, None, "x y"), (1, " big red dog show", "s1"), (30, "Big red dog", "s30"), (31, "C++ (new)", "s31")], "page_id long, title string, slug string")
     names = links.names(titled)
-    assert sorted((r.name, r.one, r.two) for r in names.collect()) == [("big red dog", 5, 9), ("big red dog show", 1, None), ("big red dog show with more", 8, None), ("red dog", 7, None)]
-    more = bodies.unionByName(spark.createDataFrame([(5, "big red dog show with more or less"), (20, "a big red dog show with mores")], "page_id long, body string"))
+    assert sorted((r.name, r.page_id) for r in names.collect()) == [("big red dog", 5), ("big red dog", 30), ("big red dog show", 1), ("big red dog show with more", 8), ("big, red dog", 9), ("c++ (new)", 31), ("red-dog", 7)]
+    more = bodies.unionByName(spark.createDataFrame([(5, "big red dog show with more or less"), (20, "a big red dog show with mores; red-dogs, xred-dog"), (21, "the C++ (new)s"), (22, "the C++ (new) way, BIG, red dog")], "page_id long, body string"))
     got = sorted((r.from_page_id, r.to_page_id, r.name) for r in links.mentions(more, names).collect())
-    assert got == [(1, 5, "big red dog"), (1, 7, "red dog"), (5, 1, "big red dog show"), (5, 7, "red dog"), (5, 8, "big red dog show with more"), (5, 9, "big red dog"), (20, 1, "big red dog show"), (20, 5, "big red dog"), (20, 7, "red dog")]
+    dog, show = "big red dog", "big red dog show"
+    assert got == [(1, 5, dog), (1, 30, dog), (5, 1, show), (5, 8, "big red dog show with more"), (5, 30, dog), (20, 1, show), (20, 5, dog), (20, 30, dog), (21, 31, "c++ (new)"), (22, 9, "big, red dog")]
+    few = sorted((r.from_page_id, r.to_page_id) for r in links.mentions(more, names, most=1).collect())
+    assert few == [(1, 5), (5, 8), (20, 1), (21, 31), (22, 9)]
+    both = links.capped(links.markdown_links(bodies, pages), links.mentions(bodies, names), most=2).orderBy("from_page_id", "to_page_id").collect()
+    assert [tuple(r) for r in both] == [(1, 5, "mention", dog), (1, 30, "mention", dog), (2, 3, "markdown", "c")]
     assert links.mentions(more, names.limit(0)).count() == 0
     assert one(spark, links.context(F.lit("a" * 200), F.lit(100), F.lit(103))) == "…" + "a" * 163 + "…"
 
