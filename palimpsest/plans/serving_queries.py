@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import access, evaluation, lifecycle, serving
+from palimpsest.operators import access, bootstrap, lifecycle, serving
 from palimpsest.plans.registry import query
 from palimpsest.plans.retrieval_queries import ARMS, BASE, FUSED, _blended
 from palimpsest.sources.tables import kb_pages, table
@@ -150,10 +150,40 @@ def answer_parse(spark, d):
     return p.select("conv_id", "turn", "p.answer", F.array_join(F.col("p.citations").cast("array<string>"), ",").alias("citations"), "p.degraded")
 
 
-@query()
+# Number k of the seeded stream (k from 0), by 32-bit arithmetic in 64 bits; a part's draw j of resample i is number i n + j.
+_DRAWN = """w AS (SELECT part, item, delta, row_number() OVER (PARTITION BY part ORDER BY item) - 1 AS place, count(*) OVER (PARTITION BY part) AS n FROM deltas),
+k AS (SELECT part, n, unnest(range(10000 * n)) AS k FROM (SELECT DISTINCT part, n FROM w)),
+s AS (SELECT part, n, k, ((42 + (k + 1)::HUGEINT * 1831565813) % 4294967296)::UBIGINT AS s FROM k),
+t AS (SELECT part, n, k, xor(s, s >> 15) * (s | 1::UBIGINT) % 4294967296 AS t FROM s),
+u AS (SELECT part, n, k, xor(t, (t + xor(t, t >> 7) * (t | 61::UBIGINT) % 4294967296) % 4294967296) AS u FROM t),
+dr AS (SELECT part, n, k // n AS resample, floor(xor(u, u >> 14)::DOUBLE / 4294967296 * n)::BIGINT AS place FROM u),
+ms AS (SELECT part, resample, sum(delta)::DOUBLE / any_value(dr.n) AS mean FROM dr JOIN w USING (part, place) GROUP BY part, resample),
+l AS (SELECT part, list_sort(list(mean)) AS m FROM ms GROUP BY part),
+q AS (SELECT part, (SELECT sum(delta)::DOUBLE / count(*) FROM w WHERE w.part = l.part) AS mean, m[21] AS low, m[9980] AS high, least(1.0::DOUBLE, 2 * least(len(list_filter(m, lambda x: x <= 0)), len(list_filter(m, lambda x: x >= 0))) / 10000::DOUBLE) AS p FROM l),
+r AS (SELECT *, least(1.0::DOUBLE, p * 12) AS adjusted_p FROM q)"""
+
+
+@query(f"WITH deltas AS (SELECT 'all' AS part, item_id AS item, CAST(item_id % 3 = 0 AS INTEGER) - CAST(item_id % 7 = 0 AS INTEGER) AS delta FROM benchmark), {_DRAWN} SELECT mean, low, high, p, adjusted_p, low > 0 AND adjusted_p < 0.05 AS improves FROM r")
 def bootstrap_gate(spark, d):
-    """The paired bootstrap over one seeded stream, on the driver: one difference for each item of the benchmark."""
-    e = table(spark, d, "benchmark").select("item_id").orderBy("item_id")
-    deltas = [float((r[0] % 3 == 0) - (r[0] % 7 == 0)) for r in e.collect()]
-    b = evaluation.paired_bootstrap(deltas)
-    return spark.createDataFrame([(b["mean"], b["low"], b["high"], b["p"], b["adjusted_p"], b["improves"])], "mean double, low double, high double, p double, adjusted_p double, improves boolean")
+    """The paired bootstrap over one seeded stream: one difference for each item of the benchmark."""
+    i = F.col("item_id")
+    rows = table(spark, d, "benchmark").select(F.lit("all").alias("part"), i.alias("qid"), ((i % 3 == 0).cast("int") - (i % 7 == 0).cast("int")).alias("delta"))
+    return bootstrap.paired(rows).select("mean", "low", "high", "p", "adjusted_p", "improves")
+
+
+_SIDES = """sides AS (SELECT item_id AS item, 'kind:' || item_id % 4 AS kind, 'size:' || (length(text) > 400) AS size, CAST(item_id % 4 = 3 OR item_id % 7 = 0 AS INTEGER) AS b, CAST(item_id % 4 <> 3 AS INTEGER) AS c, length(text)::DOUBLE AS bl, length(text) * CASE WHEN item_id % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END AS cl, item_id % 40 = 0 AS bad FROM benchmark),
+deltas AS (SELECT 'all' AS part, item, c - b AS delta FROM sides UNION ALL SELECT kind, item, c - b FROM sides UNION ALL SELECT size, item, c - b FROM sides)"""
+
+
+@query(f"""WITH {_SIDES}, {_DRAWN},
+o AS (SELECT *, low > 0 AND adjusted_p < 0.05 AS improves FROM r WHERE part = 'all'), g AS (SELECT coalesce(string_agg(part, ',' ORDER BY part), '') AS regressing FROM r WHERE part <> 'all' AND high < 0 AND adjusted_p < 0.05),
+x AS (SELECT count(*) FILTER (WHERE b = 0 AND c = 1) AS fixed, count(*) FILTER (WHERE b = 1 AND c = 0) AS broken, quantile_disc(cl, 0.95) / quantile_disc(bl, 0.95) AS latency_ratio, count(*) FILTER (WHERE bad) AS bad FROM sides),
+f AS (SELECT concat_ws(',', CASE WHEN NOT improves THEN 'not_significant' END, CASE WHEN regressing <> '' THEN 'subgroup' END, CASE WHEN latency_ratio > 1.1::DOUBLE THEN 'slower' END, CASE WHEN bad > 0 THEN 'degraded' END) AS reasons, * FROM o, g, x)
+SELECT reasons = '' AS passed, reasons, mean, low, high, p, adjusted_p, regressing, latency_ratio, fixed, broken FROM f""")
+def significance_gate(spark, d):
+    """A candidate that gains overall and loses one kind: bootstrap of all items and of each kind and size."""
+    i = F.col("item_id")
+    k = table(spark, d, "benchmark").withColumn("len", F.length("text").cast("double"))
+    base = k.select(i.alias("qid"), (i % 4).alias("kind"), (F.col("len") > 400).alias("size"), ((i % 4 == 3) | (i % 7 == 0)).cast("int").alias("hit"), F.col("len").alias("latency"), (i % 40 == 0).alias("degraded"), F.lit(False).alias("error"))
+    cand = k.select(i.alias("qid"), (i % 4 != 3).cast("int").alias("hit"), (F.col("len") * F.when(i % 2 == 0, 1.2).otherwise(1.0)).alias("latency"), F.lit(False).alias("degraded"), F.lit(False).alias("error"))
+    return bootstrap.gate(base, cand, ["kind", "size"])
