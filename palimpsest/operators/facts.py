@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from palimpsest.functions.text import kebab
-from palimpsest.operators.retrieval import ORDER, cosine
+from palimpsest.operators.nearest import nearest_earlier
 
 #: Fixed values.
 KINDS = ("claim", "event", "metric", "preference", "relationship")
@@ -41,13 +40,6 @@ def facts_type() -> str:
 
 
 def consolidate(facts: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(fact_id, into_id, cos): each fact's nearest earlier fact of its entity, if near enough.
-
-    The comparison stays inside an entity; an entity of very many facts makes
-    many rows here, so callers give recent facts as the left side.
-    """
-    a = facts.select("fact_id", "entity", "vec")
-    b = facts.select(F.col("fact_id").alias("into_id"), "entity", F.col("vec").alias("_vec"))
-    p = a.join(b, "entity").where("into_id < fact_id").select("fact_id", "into_id", cosine(F.col("vec"), F.col("_vec")).alias("cos"))
-    best = p.groupBy("fact_id").agg(F.max(F.struct(F.round("cos", ORDER).alias("c"), (-F.col("into_id")).alias("i"), "cos")).alias("m"))
-    return best.where(F.col("m.cos") >= threshold).select("fact_id", (-F.col("m.i")).alias("into_id"), F.round("m.cos", 6).alias("cos"))
+    """(fact_id, into_id, cos): each fact's nearest earlier fact of its entity, if near enough (``nearest`` says what null and zero vectors do)."""
+    best = nearest_earlier(facts, threshold, "entity", "fact_id", "vec")
+    return best.select(F.col("id").alias("fact_id"), "into_id", F.round("cos", 6).alias("cos"))
