@@ -206,7 +206,7 @@ def docx_to_html(content: bytes) -> str:
 
 
 def xlsx_blocks(files: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(doc_id, pos, kind, text, header, sheet, cell_from, cell_to, unreadable) of workbooks; an unreadable or null one is one row without text."""
+    """(doc_id, pos, kind, text, header, sheet, cell_from, cell_to, unreadable, locator) of workbooks; an unreadable or null one is one row without text."""
     names = ["kind", "text", "header", "sheet", "cell_from", "cell_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,10 @@ def xlsx_blocks(files: DataFrame, key: str = "doc_id", content: str = "content")
                     kinds = [pa.int64(), pa.int32(), *[pa.string()] * 6, pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "pos", *names, "unreadable"])
 
-    return files.select(F.col(key).cast("long"), F.col(content)).mapInArrow(run, "doc_id long, pos int, " + ", ".join(f"{n} string" for n in names) + ", unreadable boolean")
+    rows = files.select(F.col(key).cast("long"), F.col(content)).mapInArrow(run, "doc_id long, pos int, " + ", ".join(f"{n} string" for n in names) + ", unreadable boolean")
+    n = F.lit(None)
+    at = F.struct(F.lit("sheet").alias("kind"), F.col("sheet").alias("place"), n.cast("long").alias("first"), n.cast("long").alias("last"), "cell_from", "cell_to")
+    return rows.withColumn("locator", F.when(F.col("sheet").isNotNull(), at))
 
 
 def docx_blocks(files: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:

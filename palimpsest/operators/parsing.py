@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.locators import ARROW, LOCATOR, locator
+
 BLOCK_TAGS = "h[1-6]|p|li|pre|tr|blockquote"
 MOST_COLUMNS, MOST_LINES = 512, 400
 #: What a kind of file is called, and what its owner can do.
@@ -175,8 +177,9 @@ def json_to_blocks(text: str) -> list[dict]:
     groups = value.items() if isinstance(value, dict) else [("", value)]
     out = []
     for k, v in groups:
-        lines = [*walk(v, f"/{str(k).replace('~', '~0').replace('/', '~1')}" if isinstance(value, dict) else "")]
-        out += [{"kind": "paragraph", "level": None, "text": "\n".join(lines[i : i + MOST_LINES])} for i in range(0, len(lines), MOST_LINES)]
+        pointer = f"/{str(k).replace('~', '~0').replace('/', '~1')}" if isinstance(value, dict) else ""
+        lines = [*walk(v, pointer)]
+        out += [{"kind": "paragraph", "level": None, "text": "\n".join(lines[i : i + MOST_LINES]), "pointer": pointer or "/"} for i in range(0, len(lines), MOST_LINES)]
     return out
 
 
@@ -191,21 +194,27 @@ def front_matter(text: str) -> tuple[dict, str]:
     return meta, text[m.end() :]
 
 
+def _place(b: dict) -> dict | None:
+    if "off_from" in b:
+        return locator("offset", None, b["off_from"], b["off_to"])
+    return locator("path", b["pointer"]) if "pointer" in b else None
+
+
 def _blocks(parse):
-    names = ["doc_id", "pos", "kind", "level", "text", "header"]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    names = ["doc_id", "pos", "kind", "level", "text", "header", "locator"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), ARROW]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, i, b["kind"], b.get("level"), b["text"], b.get("header")) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, b in enumerate(parse(text or ""))]
-            cols = [*zip(*rows, strict=True)] or [()] * 6
+            rows = [(doc, i, b["kind"], b.get("level"), b["text"], b.get("header"), _place(b)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, b in enumerate(parse(text or ""))]
+            cols = [*zip(*rows, strict=True)] or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
 def _parsed(docs: DataFrame, parse, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_blocks(parse), "doc_id long, pos int, kind string, level int, text string, header string")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_blocks(parse), f"doc_id long, pos int, kind string, level int, text string, header string, locator {LOCATOR}")
 
 
 def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

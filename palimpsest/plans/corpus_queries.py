@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palimpsest.functions import text as T
-from palimpsest.operators import access, lifecycle, links, parsing, screening
+from palimpsest.operators import access, lifecycle, links, locators, parsing, screening
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import facts, kb_pages, table
 
@@ -90,6 +90,36 @@ def chunk_blocks(spark, d):
     return chunk_page_blocks(blocks.select(F.col("page_id").alias("doc_id"), "pos", "kind", "level", "text", F.lit(None).cast("string").alias("header")))
 
 
+@query()
+def chunk_located(spark, d):
+    """Chunks of all documents' blocks, each with the written place of its text."""
+    from palimpsest.operators.chunking import chunk_page_blocks
+
+    c = chunk_page_blocks(parsing.markdown_blocks(table(spark, d, "documents")))
+    return c.select("doc_id", "ord", "content", locators.written(F.col("locator")).alias("place"))
+
+
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(replace({0}, chr(173), ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')".format("text")
+
+
+def _file_pages(spark, d):
+    """Documents as the pages of files, four a file."""
+    return table(spark, d, "documents").select(F.expr("doc_id div 4").alias("doc_id"), (F.col("doc_id") % 4 + 1).alias("page"), "text")
+
+
+@query(rf"""WITH t AS (SELECT doc_id // 4 AS doc_id, doc_id % 4 + 1 AS page, {_TIDY} AS t FROM documents),
+p AS (SELECT doc_id, page, unnest(regexp_split_to_array(t, '\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(t, '\n{{2,}}'), 1) - 1 AS i FROM t WHERE length(t) >= 40)
+SELECT doc_id, page * 4294967296 + i AS pos, trim(replace(p, chr(10), ' ')) AS text, 'p.' || page AS place FROM p WHERE trim(replace(p, chr(10), ' ')) <> ''""")
+def page_blocks(spark, d):
+    b = locators.page_blocks(_file_pages(spark, d))
+    return b.select("doc_id", "pos", "text", locators.written(F.col("locator")).alias("place"))
+
+
+@query(f"SELECT doc_id // 4 AS doc_id, count(*) FILTER (WHERE coalesce(length({_TIDY}), 0) >= 40) AS extracted, count(*) FILTER (WHERE coalesce(length({_TIDY}), 0) < 40) AS skipped FROM documents GROUP BY ALL")
+def page_units(spark, d):
+    return locators.page_units(_file_pages(spark, d))
+
+
 @query("SELECT event_id, '/' || k AS pointer, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_pointers(spark, d):
     """Every key of each object as a pointer, with its value."""
