@@ -205,7 +205,12 @@ def _writer(tokenizer: str, folder: str, end: int, file_ids: int):
             fs.create_dir(top, recursive=True)
             with fs.open_output_stream(f"{top}/.{name}.{attempt}") as f:
                 f.write(write_file(np.array(docs, np.int64), np.array(counts, np.int64), packed))
-            fs.move(f"{top}/.{name}.{attempt}", f"{top}/{name}")
+            try:
+                fs.move(f"{top}/.{name}.{attempt}", f"{top}/{name}")
+            except OSError:  # some file systems don't replace: an earlier attempt of this task wrote the same
+                if not fs.get_file_info(f"{top}/{name}").is_file:
+                    raise
+                fs.delete_file(f"{top}/.{name}.{attempt}")
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([total], pa.int64())], ["file", "n_docs", "n_ids"])
             docs, counts, packed, rest, held, total, seq = [], [], [], [], 0, 0, seq + 1
             return row
