@@ -63,17 +63,27 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, **options) -> None
     """Writes whole rows as ``path/shard=k``, each shard in slot order over files of its own.
 
     Rows go through ``interleave`` with a number of their own, so rows of equal
-    ids take a place each; a column of docs named ``shard`` or ``slot`` is written
-    as ``shard_`` or ``slot_``.
+    ids take a place each; a column of docs named ``shard`` or ``slot``, in any case, gets
+    as many ``_`` behind its name as no other column's name needs.
     """
     from palimpsest.llm.scratch import Scratch
 
     scratch = Scratch(docs.sparkSession, "shards")
-    names = {c: c + "_" if c.lower() in ("shard", "slot") else c for c in docs.columns}
+    taken = {c.lower() for c in docs.columns}
+    names = {}
+    for c in docs.columns:
+        name = c
+        while c.lower() in ("shard", "slot") and name.lower() in taken:
+            name += "_"
+        names[c] = name
+        taken.add(name.lower())
+    number = "_row"
+    while number in taken:
+        number += "_"
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     options = {k: names.get(v, v) if k in ("id_col", "source", "text") else v for k, v in options.items()}
-    rows = scratch.save(renamed.withColumn("_row", F.monotonically_increasing_id()), "rows")  # saved, so the numbers stay
-    where = interleave(rows, shards, row="_row", **options).select(F.col("row").alias("_row"), "shard", "slot")
-    full = rows.join(where, "_row").drop("_row")
+    rows = scratch.save(renamed.withColumn(number, F.monotonically_increasing_id()), "rows")  # saved, so the numbers stay
+    where = interleave(rows, shards, row=number, **options).select(F.col("row").alias(number), "shard", "slot")
+    full = rows.join(where, number).drop(number)
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
     scratch.drop("rows")
