@@ -150,3 +150,25 @@ def sweep(scored: DataFrame, shares: DataFrame, k: int = 8) -> DataFrame:
     j = j.withColumn("score", F.col("rrf_share") * F.col("nrrf") + (1 - F.col("rrf_share")) * F.col("cos"))
     r = ranked(j, [F.desc(F.round("score", ORDER)), F.asc("chunk_id")], ["name", "qid"], "rank")
     return r.where(F.col("rank") <= k).select("name", "qid", "chunk_id", "rank")
+
+
+#: What a judge may say, and the word for a response that says none of them.
+VERDICTS, UNPARSED = ("correct", "partial", "incorrect"), "unparsed"
+
+
+def judge_verdict(raw: Column) -> Column:
+    """(verdict, reason) of a judge's response: JSON, in a fence or not, with one of the three verdicts, and a reason of at most 200
+    characters, empty if it is no string. Anything else, a null response too, is ``unparsed``, with its first 150 characters."""
+    raw = F.coalesce(raw, F.lit(""))
+    bare = F.regexp_replace(raw, "^\\s+|\\s+$", "")
+    body = F.try_parse_json(F.regexp_replace(F.regexp_replace(bare, "(?i)^```(json)?\\s*", ""), "\\n?```$", ""))
+    said = lambda k: F.when(F.schema_of_variant(F.try_variant_get(body, f"$.{k}", "variant")) == "STRING", F.try_variant_get(body, f"$.{k}", "string"))
+    good = F.coalesce(said("verdict").isin(*VERDICTS), F.lit(False))
+    lost = F.concat(F.lit("judge did not return valid JSON: "), F.substring(raw, 1, 150))
+    return F.struct(F.when(good, said("verdict")).otherwise(UNPARSED).alias("verdict"), F.when(good, F.coalesce(F.substring(said("reason"), 1, 200), F.lit(""))).otherwise(lost).alias("reason"))
+
+
+def graded(answerable: Column, abstention: Column, judged: Column) -> Column:
+    """The verdict of an answer: the judge's where there is a gold answer; else abstaining is correct, answering incorrect, hedging partial."""
+    alone = F.when(abstention == "abstained", "correct").when(abstention == "answered", "incorrect").otherwise("partial")
+    return F.when(answerable, judged).otherwise(alone)

@@ -150,6 +150,22 @@ def answer_parse(spark, d):
     return p.select("conv_id", "turn", "p.answer", F.array_join(F.col("p.citations").cast("array<string>"), ",").alias("citations"), "p.degraded")
 
 
+# The JSON is put together by hand and reasons are cut from the text: substr cuts bytes of what DuckDB's JSON functions return.
+@query(r"""WITH q AS (SELECT conv_id, turn, text, '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' AS s FROM conversations),
+t AS (SELECT conv_id, turn, text, CASE turn % 5 WHEN 0 THEN '{"verdict":"correct","reason":' || s || '}' WHEN 1 THEN '```json' || chr(10) || '{"verdict":"partial","reason":' || s || '}' || chr(10) || '```' WHEN 2 THEN '{"verdict":"good","reason":' || s || '}' WHEN 3 THEN '{"verdict":"incorrect","reason":5}' ELSE text END AS raw FROM q),
+b AS (SELECT *, regexp_replace(regexp_replace(raw, '^```json\s*', ''), '\n?```$', '') AS body FROM t), j AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS o FROM b),
+v AS (SELECT *, coalesce(json_type(o, '$.verdict') = 'VARCHAR' AND json_extract_string(o, '$.verdict') IN ('correct', 'partial', 'incorrect'), false) AS good, coalesce(json_type(o, '$.reason') = 'VARCHAR', false) AS said FROM j)
+SELECT conv_id, turn, CASE WHEN good THEN json_extract_string(o, '$.verdict') ELSE 'unparsed' END AS verdict, CASE WHEN NOT good THEN 'judge did not return valid JSON: ' || substr(raw, 1, 150) WHEN said THEN substr(text, 1, 200) ELSE '' END AS reason FROM v""")
+def judge_verdicts(spark, d):
+    """Responses as JSON, in a fence, with another verdict, with a number for a reason, and as bare text."""
+    k = F.col("turn") % 5
+    said = lambda verdict, reason: F.to_json(F.struct(F.lit(verdict).alias("verdict"), reason.alias("reason")))
+    text = F.col("text")
+    raw = F.when(k == 0, said("correct", text)).when(k == 1, F.concat(F.lit("```json\n"), said("partial", text), F.lit("\n```"))).when(k == 2, said("good", text)).when(k == 3, said("incorrect", F.lit(5))).otherwise(text)
+    v = table(spark, d, "conversations").select("conv_id", "turn", serving.judge_verdict(raw).alias("v"))
+    return v.select("conv_id", "turn", "v.verdict", "v.reason")
+
+
 # Number k of the seeded stream (k from 0), by 32-bit arithmetic in 64 bits; a part's draw j of resample i is number i n + j.
 _DRAWN = """w AS (SELECT part, item, delta, row_number() OVER (PARTITION BY part ORDER BY item) - 1 AS place, count(*) OVER (PARTITION BY part) AS n FROM deltas),
 k AS (SELECT part, n, unnest(range(10000 * n)) AS k FROM (SELECT DISTINCT part, n FROM w)),
