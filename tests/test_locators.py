@@ -62,3 +62,17 @@ def test_page_rules(spark):
     assert got == [(1, "A paragraph of quite enough text to be kept here.", 1), (1, "And another one of text.", 1), (None, "x" * 40, 1)]
     assert {(r.doc_id, r.extracted, r.skipped) for r in locators.page_units(df).collect()} == {(1, 1, 2), (2, 0, 1), (None, 1, 0)}
     assert locators.page_blocks(df.limit(0)).count() == 0 == locators.page_units(df.limit(0)).count()
+
+
+def test_batches_are_cut_in_parts_of_bounded_size():
+    """No row is lost or moved, and no part but a single long row is larger than the bound."""
+    import pyarrow as pa
+
+    texts = ["a" * 400_000, None, "", "b" * 3_000_000, *["c d " * 50] * 1_200, "e" * 700_000, "f" * 700_000]
+    for column in (pa.array(texts), pa.array([[{"text": t}] for t in texts])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column], ["k", "t"])
+        parts = [*chunking._parts(batch)]
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+        assert all(len(p) <= chunking.PART_ROWS for p in parts) and len(parts) > 3
+    sizes = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in chunking._parts(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"]))]
+    assert sum(s > chunking.PART for s in sizes) == 1
