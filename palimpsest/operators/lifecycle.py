@@ -97,10 +97,10 @@ def resolve_slug(pages: DataFrame, slugs: DataFrame) -> DataFrame:
 
 def replace_outcomes(pages: DataFrame, edits: DataFrame, sources: DataFrame, tags: tuple[str, ...], user: int) -> DataFrame:
     """(id, outcome) of edits (id, body): not_visible, not_author, has_source (a file's page), no_text, or ok."""
-    filed = sources.select("page_id").distinct().withColumn("_filed", F.lit(True))
-    j = _asked(pages, edits.select("id", "body"), tags).join(filed, "page_id", "left")
-    blank = F.coalesce(~F.col("body").rlike("[^\\s]"), F.lit(True))
-    out = F.when(F.col("page_id").isNull(), "not_visible").when(F.col("owner") != user, "not_author").when(F.col("_filed"), "has_source").when(blank, "no_text").otherwise("ok")
+    filed = sources.select(F.col("page_id").alias("id")).distinct().withColumn("_filed", F.lit(True))
+    told = edits.select("id", F.coalesce(~F.col("body").rlike("[^\\s]"), F.lit(True)).alias("_blank"))  # bodies stay where they are
+    j = _asked(pages, told.join(filed, "id", "left"), tags)  # by id: the pages not seen have no page_id, and would all meet in one task
+    out = F.when(F.col("page_id").isNull(), "not_visible").when(F.col("owner") != user, "not_author").when(F.col("_filed"), "has_source").when(F.col("_blank"), "no_text").otherwise("ok")
     return j.select("id", out.alias("outcome"))
 
 

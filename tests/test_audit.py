@@ -119,3 +119,19 @@ def test_fingerprint_is_independent_of_order(spark):
     at = lambda df: sorted(map(tuple, screening.fingerprints(df, "part", "t").collect()))
     assert at(one) == at(two) and at(one)[1][2] == 1
     assert at(one) != at(one.where("t IS NULL OR t <> 'text 3'"))
+
+
+def test_replace_outcomes_deal_neither_bodies_nor_missing_pages(spark):
+    """Edits of pages that nobody sees spread by their ids, and no body is shuffled."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import lifecycle
+
+    pages = spark.range(4).select(F.col("id").alias("page_id"), F.lit(3).alias("owner"), F.array(F.lit("ws:a")).alias("acl"), F.lit("s").alias("slug"), F.lit(False).alias("deleted"))
+    edits = spark.range(40).select("id", F.when(F.col("id") == 1, F.lit(None)).when(F.col("id") == 2, " \n").otherwise(F.lit("long text")).alias("body"))
+    out = lifecycle.replace_outcomes(pages, edits, spark.range(3, 9).select(F.col("id").alias("page_id")), ("ws:a",), 3)
+    got = {r.id: r.outcome for r in out.collect()}
+    assert got == {i: ("ok", "no_text", "no_text", "has_source")[i] if i < 4 else "not_visible" for i in range(40)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan[: plan.index("_blank")]
+    assert "body" not in joins and plan.count("Join LeftOuter, (page_id") == 0  # before, both joins carried bodies and the second went by page_id
