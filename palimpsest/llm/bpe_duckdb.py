@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.pretok import PieceTable, gather, pieces
 from palimpsest.llm.wordvec import release
 
-LONG, WORDS = 48, 65_536
+LONG, WORDS, HELD = 48, 65_536, 100_000
 
 STEP = """
 WITH RECURSIVE step(wid, toks, live) AS (
@@ -59,7 +59,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.token = {r: t for t, r in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
         self._table("merges", pa.table({"a": a, "b": b, "rank": r}))
@@ -220,7 +220,7 @@ def digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "te
             a.append(hashlib.sha256(digits).hexdigest())
             held.append(ids)
             waiting += len(ids)
-            if waiting > 200_000:
+            if waiting > HELD:
                 check()
                 waiting = 0
         check()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from palimpsest.llm.wordvec import buffers, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 MAX_PIECES = 400_000
 #: Code points with the White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -43,7 +43,7 @@ def release() -> None:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, mod 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 1)
+        size = (n | 0xFFFF) + 1  # as many as were needed so far, not those of the largest run
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1

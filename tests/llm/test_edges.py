@@ -74,3 +74,14 @@ def test_written_shards_keep_all_clashing_names(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {*out.columns} == {"doc_id", "text", "source", "shard__", "shard_", "_row", "shard", "slot"}
     assert sorted((r.doc_id, r.text, r.source, r.shard__, r.shard_, r._row) for r in out.collect()) == rows
+
+
+def test_powers_are_kept_only_as_far_as_needed(monkeypatch):
+    """A worker with short runs holds a small table; a longer run extends it with the same values."""
+    from palimpsest.llm import wordvec
+
+    monkeypatch.setattr(wordvec, "_powers", {})
+    up, down = (x.copy() for x in wordvec.powers(1_000))
+    assert len(up) < 1 << 17  # before, 2,097,153 at once
+    more = wordvec.powers(200_000)
+    assert all(len(x) >= 200_000 for x in more) and (more[0][: len(up)] == up).all() and (more[1][: len(down)] == down).all()
