@@ -2,9 +2,10 @@
 
 Distinct pre-tokens become token-position rows; one that is a vocabulary entry
 is that token. A recursive query joins each row and its right neighbour with
-the merge table, takes each word's leftmost pair of least rank, contracts it,
-and goes on with the words that changed until none does. Decoding is an ordered
-aggregation of the tokens' bytes by position.
+the merge table into a word's list of ranked pairs, contracts the leftmost pair
+of least rank, joins only the two pairs that this makes anew, and goes on with
+the words that changed until none does. Decoding is an ordered aggregation of
+the tokens' bytes by position.
 
 A piece of more than ``LONG`` bytes would take rows in the square of its
 length; such pieces follow the same rule (leftmost pair of least rank) through
@@ -21,6 +22,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +32,27 @@ from pyspark.sql import functions as F
 from palimpsest.llm.pretok import PieceTable, gather, pieces
 from palimpsest.llm.wordvec import release
 
-LONG, WORDS, HELD = 48, 65_536, 100_000
+LONG, SQUARES, HELD, RUNS = 48, 1 << 23, 100_000, 4
+#: A pair as one number: its rank (or NONE), the first byte's place in the word (below 64), its left token.
+PLACE, RANK, NONE = 1 << 32, 1 << 38, 1 << 24
 
-STEP = """
-WITH RECURSIVE step(wid, toks, live) AS (
-  SELECT wid, list(tok ORDER BY pos), true FROM base GROUP BY wid
+STEP = f"""
+WITH RECURSIVE step(wid, pairs, best) AS (
+  SELECT wid, list(pair ORDER BY pair & {RANK - 1}), min(pair)
+  FROM (SELECT wid, coalesce(m.rank, {NONE}) * {RANK} + pos * {PLACE} + tok AS pair FROM base LEFT JOIN merges m ON m.a = tok AND m.b = after)
+  GROUP BY wid
   UNION ALL
-  SELECT wid, CASE WHEN best IS NULL THEN toks
-                   ELSE toks[:(best & 65535) - 1] || [CAST(best >> 16 AS INTEGER)] || toks[(best & 65535) + 2:] END, best IS NOT NULL
-  FROM (SELECT r.wid, any_value(r.toks) AS toks, min((CAST(m.rank AS BIGINT) << 16) + r.pos) AS best
-        FROM (SELECT wid, toks, unnest(range(1, greatest(len(toks), 2))) AS pos FROM step WHERE live) r
-        LEFT JOIN merges m ON m.a = r.toks[r.pos] AND m.b = r.toks[r.pos + 1]
-        GROUP BY r.wid))
-SELECT wid, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM step WHERE NOT live ORDER BY wid, pos
+  SELECT wid, pairs, list_min(pairs)
+  FROM (SELECT wid, CASE WHEN i > 1 THEN pairs[:(i - 2)] || [coalesce(l.rank, {NONE}) * {RANK} + before, coalesce(r.rank, {NONE}) * {RANK} + place + made] || pairs[(i + 2):]
+                         ELSE [coalesce(r.rank, {NONE}) * {RANK} + place + made] || pairs[(i + 2):] END AS pairs
+        FROM (SELECT wid, pairs, i, CAST(best // {RANK} AS INTEGER) AS made, best & {RANK - PLACE} AS place, pairs[i - 1] & {RANK - 1} AS before, pairs[i + 2] & {PLACE - 1} AS after
+              FROM (SELECT *, list_position(pairs, best) AS i FROM step WHERE best < {NONE * RANK}))
+        LEFT JOIN merges l ON l.a = before & {PLACE - 1} AND l.b = made
+        LEFT JOIN merges r ON r.a = made AND r.b = after))
+SELECT pairs FROM step WHERE best >= {NONE * RANK} ORDER BY wid
 """
 
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -77,27 +85,36 @@ class Codec:
 
     def encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word in one array, and how many each has."""
-        ids: list[np.ndarray | None] = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if (whole := self.ranks.get(w)) is not None:
-                ids[i] = np.array([whole], np.int32)
-            elif len(w) > LONG:
-                ids[i] = self._long(w)
-            else:
-                short.append(i)
-        for j in range(0, len(short), WORDS):
-            some = short[j : j + WORDS]
-            size = np.array([len(words[i]) for i in some])
-            tok = self.byte[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
-            wid = np.repeat(np.arange(len(some), dtype=np.int32), size)
-            pos = (np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            self._table("base", pa.table({"wid": wid, "pos": pos, "tok": tok}))
-            out = self.con.execute(STEP).fetchnumpy()
-            got = np.split(np.asarray(out["tok"], np.int32), np.flatnonzero(np.diff(np.asarray(out["wid"]))) + 1)
-            for i, x in zip(some, got, strict=True):
-                ids[i] = x
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array([len(x) for x in ids], np.int64)
+        known = [self.ranks.get(w, -1) for w in words]
+        long = [i for i, w in enumerate(words) if known[i] < 0 and len(w) > LONG]
+        short = [i for i, w in enumerate(words) if known[i] < 0 and len(w) <= LONG]
+        whole = [i for i, x in enumerate(known) if x >= 0]
+        flat, size = [np.array([known[i] for i in whole], np.int32)], [np.ones(len(whole), np.int64)]
+        for i in long:
+            flat.append(self._long(words[i]))
+            size.append(np.array([len(flat[-1])]))
+        # a word's lists take room in the square of its length
+        run = np.cumsum([len(words[i]) ** 2 for i in short]) // SQUARES
+        for some in np.split(np.array(short, np.int64), np.flatnonzero(np.diff(run)) + 1) if short else []:
+            ids, n = self._contract([words[i] for i in some.tolist()])
+            flat.append(ids)
+            size.append(n)
+        order = np.empty(len(words), np.int64)
+        order[np.array([*whole, *long, *short], np.int64)] = np.arange(len(words))
+        sizes = np.concatenate(size).astype(np.int64)
+        return gather(np.concatenate(flat), (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
+
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of at most LONG bytes, by the recursive query."""
+        size = np.array([*map(len, words)])
+        first = np.cumsum(size) - size
+        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)
+        after = np.append(tok[1:], -1)
+        after[first + size - 1] = -1
+        self._table("base", pa.table({"wid": np.repeat(np.arange(len(words)), size), "pos": np.arange(len(tok)) - np.repeat(first, size), "tok": tok, "after": after}))
+        pairs = self.con.sql(STEP).to_arrow_table().column(0).combine_chunks()
+        ids = pairs.flatten().to_numpy() & (PLACE - 1)
+        return ids.astype(np.int32), np.diff(pairs.offsets.to_numpy()).astype(np.int64)
 
     def _long(self, word: bytes) -> np.ndarray:
         """The same contractions, kept in a heap of (rank, position)."""
@@ -147,15 +164,17 @@ class Codec:
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
         """Each text's ids, and their decimal digits joined by spaces."""
-        for _, text, starts, hashes, off in pieces(texts):
-            slots = self.pieces(text, starts, hashes)
-            cols = []
-            for k in range(2):
-                flat, size = self.pieces.values(k, slots)
-                cut = np.concatenate([[0], np.cumsum(size)])[off].tolist()
-                cols.append([flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            for ids, digits in zip(*cols, strict=True):
-                yield ids, digits[1:].tobytes()
+        for some in batched(pieces(texts), RUNS):
+            self.pieces.learn([(text, starts, hashes) for _, text, starts, hashes, _ in some])
+            for _, _, _, hashes, off in some:
+                slots = self.pieces.slots(hashes)
+                cols = []
+                for k in range(2):
+                    flat, size = self.pieces.values(k, slots)
+                    cut = np.concatenate([[0], np.cumsum(size)])[off].tolist()
+                    cols.append([flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
+                for ids, digits in zip(*cols, strict=True):
+                    yield ids, digits[1:].tobytes()
 
 
 @cache

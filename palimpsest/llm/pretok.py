@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -95,7 +95,7 @@ Columns = list[tuple[np.ndarray, np.ndarray]]
 
 
 class PieceTable:
-    """Encoded pieces by hash; at most MAX_PIECES and those of one batch are kept.
+    """Encoded pieces by hash; at most MAX_PIECES and those of one call are kept.
 
     ``encode`` gets distinct pieces and returns columns, each as one flat array
     and the number of its values that belong to each piece.
@@ -110,31 +110,48 @@ class PieceTable:
 
     def __call__(self, text: str, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The slot of each piece; values of column k are flat[k][start[k][slot]:...]."""
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self.learn([(text, starts, hashes)])
+        return self.slots(hashes)
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The slots of pieces learned since the table was last cleared."""
+        return self.slot[np.searchsorted(self.keys, hashes)]
+
+    def learn(self, runs: Sequence[tuple[str, np.ndarray, np.ndarray]]) -> None:
+        """Encodes the new pieces of runs (text, piece starts, their hashes) in one call."""
         if len(self.keys) > MAX_PIECES:
             self.clear()
-        where = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        inside = where < len(self.keys)
-        known[inside] = self.keys[where[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
+        words, fresh = [], []
+        for text, starts, hashes in runs:
+            unique, at = np.unique(hashes, return_index=True)
+            new = np.flatnonzero(~self._among(self.keys, unique))
+            for seen in fresh:
+                new = new[~self._among(seen, unique[new])]
             ends = np.append(starts[1:], len(text))
-            columns = self.encode([text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            fresh = len(self.keys)
-            for k, (flat, size) in enumerate(columns):
-                if len(self.flat) == k:
-                    self.flat.append(flat[:0])
-                    self.start.append(np.zeros(0, np.int64))
-                    self.size.append(np.zeros(0, np.int64))
-                self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(size) - size])
-                self.size[k] = np.concatenate([self.size[k], size])
-                self.flat[k] = np.concatenate([self.flat[k], flat])
-            keys = np.concatenate([self.keys, unique[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slot = keys[order], np.concatenate([self.slot, fresh + np.arange(len(new))])[order]
-            where = np.searchsorted(self.keys, unique)
-        return self.slot[where][inverse] if len(unique) else np.zeros(0, np.int64)
+            words += [text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            fresh.append(unique[new])
+        if not words:
+            return
+        for k, (flat, size) in enumerate(self.encode(words)):
+            if len(self.flat) == k:
+                self.flat.append(flat[:0])
+                self.start.append(np.zeros(0, np.int64))
+                self.size.append(np.zeros(0, np.int64))
+            self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(size) - size])
+            self.size[k] = np.concatenate([self.size[k], size])
+            self.flat[k] = np.concatenate([self.flat[k], flat])
+        keys = np.concatenate([self.keys, *fresh])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slot = keys[order], np.concatenate([self.slot, len(self.keys) + np.arange(len(words))])[order]
+
+    @staticmethod
+    def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Which of some are among sorted keys."""
+        where = np.searchsorted(keys, some)
+        out = np.zeros(len(some), bool)
+        inside = where < len(keys)
+        out[inside] = keys[where[inside]] == some[inside]
+        return out
 
     def values(self, k: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Column k of the given slots: all values, and how many each has."""

@@ -327,6 +327,28 @@ def test_long_pieces_take_the_same_merges():
         assert codec._long(w).tolist() == part.tolist()
 
 
+def test_new_pieces_of_several_runs_take_one_query(monkeypatch, texts):
+    """Every piece is contracted once, and each step looks up the pairs that it made alone."""
+    codec, coding = bpe_duckdb.Codec(RANKS), tiktoken_coding()
+    some = [f"{t} zqwv{k}xkq qzqzqz" for k, t in enumerate(list(texts.values())[:12])]
+    asked, whole = [], codec.encode_pieces
+    codec.pieces.encode = lambda words: (asked.append(words), [whole([w.encode() for w in words])] * 2)[1]
+    monkeypatch.setattr(pretok, "CHUNK", sum(map(len, some)) // 3)
+    runs = len([*pretok.pieces(pa.array(some))])
+    got = [ids.tolist() for ids, _ in codec.documents(pa.array(some))]
+    assert got == [coding.encode_ordinary(t) for t in some]
+    assert 1 < runs <= bpe_duckdb.RUNS and len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+
+
+def test_contraction_takes_the_leftmost_of_equal_ranks(monkeypatch):
+    codec, rng = bpe_duckdb.codec_of(RANKS), random.Random(5)
+    words = ["".join(rng.choice("aehnt") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 16))).encode() for _ in range(2000)] + [b"a" * 48, b"z", b"the"]
+    monkeypatch.setattr(bpe_duckdb, "SQUARES", 40_000)  # several queries
+    ids, size = codec.encode_pieces(words)
+    for w, part in zip(words, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+        assert codec._long(w).tolist() == part.tolist()
+
+
 def test_unknown_id_is_an_error():
     with pytest.raises(Exception, match="unknown token id"):
         bpe_duckdb.codec_of(RANKS).decode_lists(np.array([999_999]), np.array([1]))
