@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.pretok import PieceTable, gather, pieces
+from palimpsest.llm.pretok import PieceTable, gather, in_order, pieces
 from palimpsest.llm.wordvec import release
 
 LONG, SQUARES, HELD, RUNS = 48, 1 << 23, 100_000, 4
@@ -99,10 +99,7 @@ class Codec:
             ids, n = self._contract([words[i] for i in some.tolist()])
             flat.append(ids)
             size.append(n)
-        order = np.empty(len(words), np.int64)
-        order[np.array([*whole, *long, *short], np.int64)] = np.arange(len(words))
-        sizes = np.concatenate(size).astype(np.int64)
-        return gather(np.concatenate(flat), (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
+        return in_order([*whole, *long, *short], np.concatenate(flat), np.concatenate(size))
 
     def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same of words of at most LONG bytes, by the recursive query."""
@@ -165,9 +162,8 @@ class Codec:
     def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
         """Each text's ids, and their decimal digits joined by spaces."""
         for some in batched(pieces(texts), RUNS):
-            self.pieces.learn([(text, starts, hashes) for _, text, starts, hashes, _ in some])
-            for _, _, _, hashes, off in some:
-                slots = self.pieces.slots(hashes)
+            each = self.pieces.learn([(text, starts, hashes) for _, text, starts, hashes, _ in some])
+            for slots, (*_, off) in zip(each, some, strict=True):
                 cols = []
                 for k in range(2):
                     flat, size = self.pieces.values(k, slots)

@@ -91,6 +91,14 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - ahead, size) + np.arange(int(size.sum()))]
 
 
+def in_order(places: Sequence[int], flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists that follow one another in flat, put in the order of their places from 0 on, and their sizes."""
+    order = np.empty(len(size), np.int64)
+    order[np.asarray(places, np.int64)] = np.arange(len(size))
+    size = size.astype(np.int64)
+    return gather(flat, (np.cumsum(size) - size)[order], size[order]), size[order]
+
+
 Columns = list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -110,28 +118,27 @@ class PieceTable:
 
     def __call__(self, text: str, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The slot of each piece; values of column k are flat[k][start[k][slot]:...]."""
-        self.learn([(text, starts, hashes)])
-        return self.slots(hashes)
+        return self.learn([(text, starts, hashes)])[0]
 
-    def slots(self, hashes: np.ndarray) -> np.ndarray:
-        """The slots of pieces learned since the table was last cleared."""
-        return self.slot[np.searchsorted(self.keys, hashes)]
-
-    def learn(self, runs: Sequence[tuple[str, np.ndarray, np.ndarray]]) -> None:
-        """Encodes the new pieces of runs (text, piece starts, their hashes) in one call."""
+    def learn(self, runs: Sequence[tuple[str, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The same for runs (text, piece starts, their hashes), whose new pieces are encoded in one call."""
         if len(self.keys) > MAX_PIECES:
             self.clear()
-        words, fresh = [], []
+        words, fresh, found = [], [], []
         for text, starts, hashes in runs:
-            unique, at = np.unique(hashes, return_index=True)
+            unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            found.append((unique, inverse.astype(np.int32)))
             new = np.flatnonzero(~self._among(self.keys, unique))
             for seen in fresh:
                 new = new[~self._among(seen, unique[new])]
             ends = np.append(starts[1:], len(text))
             words += [text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
             fresh.append(unique[new])
-        if not words:
-            return
+        if words:
+            self._add(words, np.concatenate(fresh))
+        return [self.slot[np.searchsorted(self.keys, unique)][inverse] for unique, inverse in found]
+
+    def _add(self, words: list[str], hashes: np.ndarray) -> None:
         for k, (flat, size) in enumerate(self.encode(words)):
             if len(self.flat) == k:
                 self.flat.append(flat[:0])
@@ -140,7 +147,7 @@ class PieceTable:
             self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(size) - size])
             self.size[k] = np.concatenate([self.size[k], size])
             self.flat[k] = np.concatenate([self.flat[k], flat])
-        keys = np.concatenate([self.keys, *fresh])
+        keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slot = keys[order], np.concatenate([self.slot, len(self.keys) + np.arange(len(words))])[order]
 

@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from palimpsest.llm.pretok import PieceTable, pieces
+from palimpsest.llm.pretok import PieceTable, in_order, pieces
 from palimpsest.llm.scratch import Scratch
 
-MAGIC, VERSION, BLOCK, FILE_IDS = b"PS8B", 1, 1024, 1 << 23
+MAGIC, VERSION, BLOCK, FILE_IDS, JOINED = b"PS8B", 1, 1024, 1 << 23, 500
 #: Fixed values of the code: ids and bits of selectors 1 to 15.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -61,9 +62,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     select = np.zeros(grid.shape, dtype=np.uint8)
     rank = np.searchsorted(np.unique(BITS[1:]), BITS[1:])
     for s in range(15, 0, -1):  # from one id in a word to 120
-        over = np.where(need > rank[s - 1], column, np.int16(30_000))
+        fits, size = need <= rank[s - 1], COUNTS[s]
+        # a row has such a word only at two fitting ids half its length apart, or at the end
+        some = fits[:, :: max(size // 2, 1)]
+        rows = np.flatnonzero((some[:, 1:] & some[:, :-1]).any(axis=1) | fits[:, -1]) if size > 1 else np.arange(blocks)
+        over = np.where(fits[rows], np.int16(30_000), column)
         stop = np.minimum.accumulate(over[:, ::-1], axis=1)[:, ::-1]
-        select[(stop - column) >= COUNTS[s]] = s
+        select[rows] = np.where((stop - column) >= size, np.uint8(s), select[rows])
     at, row = np.zeros(blocks, dtype=np.int64), np.arange(blocks)
     heads = np.zeros(grid.shape, dtype=bool)
     ends = np.full(blocks, BLOCK)
@@ -80,14 +85,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(int(width.sum()), dtype=np.uint64)
     wide = np.zeros((blocks, BLOCK + 120), dtype=np.uint64)
     wide[:, :BLOCK] = grid
+    wide, place = wide.reshape(-1), block * (BLOCK + 120) + first
     for s in range(16):
         pick = np.flatnonzero(kind == s)
         if s == 0:
-            words[where[pick] + 1] = grid[block[pick], first[pick]]
+            words[where[pick] + 1] = wide[place[pick]]
             continue
-        word = np.full(len(pick), s << 60, dtype=np.uint64)
-        for j in range(COUNTS[s] if BITS[s] else 0):
-            word |= wide[block[pick], first[pick] + j] << np.uint64(j * BITS[s])
+        word, begin = np.full(len(pick), s << 60, dtype=np.uint64), place[pick]
+        for j in range(COUNTS[s] if BITS[s] and len(pick) else 0):
+            word |= wide[begin + j] << np.uint64(j * BITS[s])
         words[where[pick]] = word
     offsets = np.zeros(blocks + 1, dtype=np.uint64)
     offsets[1:] = np.cumsum(np.bincount(block, weights=width, minlength=blocks)).astype(np.uint64)
@@ -110,10 +116,10 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         pick = np.flatnonzero(kind[heads] == s)
         if s == 0:
             out[start[pick]] = words[heads[pick] + 1]
-        elif BITS[s]:
-            mask = np.uint64((1 << int(BITS[s])) - 1)
+        elif BITS[s] and len(pick):
+            mask, begin, word = np.uint64((1 << int(BITS[s])) - 1), start[pick], words[heads[pick]]
             for j in range(COUNTS[s]):
-                out[start[pick] + j] = (words[heads[pick]] >> np.uint64(j * BITS[s])) & mask
+                out[begin + j] = (word >> np.uint64(j * BITS[s])) & mask
     # padding at the end of the blocks goes
     block = np.searchsorted(offsets[1:], heads, side="right")
     opens = np.searchsorted(block, np.arange(len(offsets) - 1))
@@ -164,10 +170,27 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    vocabulary = tok.get_vocab(with_added_tokens=True)
+    nbytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    nbytes[[*vocabulary.values()]] = [*map(len, vocabulary)]  # a byte is one character of a byte-level entry
+
+    def flat_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.array([*map(len, each)], np.int64)
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum())), size
 
     def encode(words: list[str]):
-        each = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
-        return [(np.fromiter((x for ids in each for x in ids), np.uint32), np.array([*map(len, each)], np.int64))]
+        # a space and letters: the pattern parts them again where they were joined
+        plain = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        ends = np.cumsum([len(words[i].encode()) for i in plain])
+        ids, _ = flat_ids(["".join(words[i] for i in some) for some in batched(plain, JOINED)])
+        total = np.cumsum(nbytes[ids])
+        last = np.searchsorted(total, ends)
+        if len(plain) and (last[-1] != len(total) - 1 or (total[last] != ends).any()):  # not a byte-level vocabulary
+            plain, ids, last = [], ids[:0], last[:0]
+        other = sorted({*range(len(words))}.difference(plain))
+        more, size = flat_ids([words[i] for i in other])
+        return [in_order(plain + other, np.concatenate([ids, more]), np.concatenate([np.diff(last, prepend=-1), size]))]
 
     return tok, PieceTable(encode), [t.content for t in tok.get_added_tokens_decoder().values()]
 

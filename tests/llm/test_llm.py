@@ -369,6 +369,30 @@ def test_simple8b_round_trip():
                 assert (token_binary.unpack(part, np.array([0, len(part)], np.uint64), min(1024, n - 1024 * k)) == x[1024 * k : 1024 * (k + 1)]).all()
 
 
+def test_joined_pieces_have_their_own_ids(monkeypatch):
+    """Letters after a space are given to the library together, all else apart; each keeps the ids that it has alone."""
+    tok, table, _ = token_binary._tokenizer(TOKENIZER)
+    words = [" the", "the", " zqwxv", " é", " naïveté", " 日本語", "'s", " 12", " don", " a", "\n\n", "  ", " ", " ǅ", " x²", "ÿ", " ꙮ", " !", " thhawh", " <|endoftext|>"]
+    monkeypatch.setattr(token_binary, "JOINED", 3)
+
+    class Counted:
+        given = 0
+
+        def encode_batch_fast(self, texts, **options):
+            Counted.given += len(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", type("T", (), {"from_file": staticmethod(lambda path: Counted())}))
+    for some in (words, words[::-1], words[1:2], words[:1]):
+        Counted.given = 0
+        [(flat, size)] = token_binary._tokenizer.__wrapped__(TOKENIZER)[1].encode(some)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == [tok.encode(w, add_special_tokens=False).ids for w in some]
+        assert len(some) < 3 or Counted.given < len(some) - 4
+
+
 def test_token_files(spark, edge, none, texts):
     from tokenizers import Tokenizer
 
