@@ -44,7 +44,7 @@ from palimpsest.llm.token_binary import _place
 from palimpsest.llm.wordvec import buffers, mix, release, words
 
 MIN, DISCOUNT, PENALTY, DEPTH = 16, 0.75, 1.0, 2
-PIECE, BUCKET, HOT = 8 << 20, 4 << 20, 1 << 18
+PIECE, BUCKET, HOT = 14 << 20, 4 << 20, 1 << 18
 LOGS = 1024  # probabilities travel as whole numbers of 1/LOGS bits
 END = mix(np.array([1], np.uint64))[0]
 _LEFT = np.uint64(0x9E3779B97F4A7C15)
@@ -100,14 +100,43 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def steps(x: np.ndarray, heads: np.ndarray | slice = slice(0, 1)) -> np.ndarray:
+    """Differences, from the value itself at each head."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[heads] = x[heads]
+    return out
+
+
+def unstepped(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values again of runs of the given sizes."""
+    total, head = np.cumsum(x, dtype=x.dtype), np.cumsum(size) - size
+    return total - np.repeat(total[head] - x[head], size)
+
+
 #: Contexts, their occurrences and their numbers of symbols; symbols (at first their keys, then their numbers), counts, probabilities.
 SENT = ("<u8", "<u8", "<u4", "<u8", "<u4", "<u2")
-#: Totals, kept shares of the contexts, and at first the numbers of the words.
+
+
+def sent(context: np.ndarray, of: np.ndarray, size: np.ndarray, symbol: np.ndarray, n: np.ndarray, logs: np.ndarray) -> bytes:
+    """The columns of SENT; contexts ascend, and so do the symbols of each, so their differences are sent. Probabilities lie by symbol, where equal ones meet."""
+    by = np.argsort(symbol, kind="stable")
+    return packed(steps(context), of, size, steps(symbol, np.cumsum(size, dtype=np.int64) - size), n, steps(logs[by]))
+
+
+def received(blob: bytes) -> list[np.ndarray]:
+    context, of, size, symbol, n, logs = unpacked(blob, *SENT)
+    symbol, out = unstepped(symbol, size.astype(np.int64)), np.empty_like(logs)
+    out[np.argsort(symbol, kind="stable")] = np.cumsum(logs, dtype=logs.dtype)
+    return [np.cumsum(context, dtype=context.dtype), of, size, symbol, n, out]
+
+
+#: Totals, kept shares of the contexts, and at first the places of the words in their bucket.
 ANSWER = ("<u8", "<f4", "<u8")
 
 
 class Level:
-    """A piece's distinct keys of one level, in the order in which they are sent: by bucket, context, key."""
+    """A piece's distinct keys of one level, in the order in which they are sent: by bucket, context, symbol."""
 
     def __init__(self, key: np.ndarray, learn: np.ndarray, buckets: int, context: np.ndarray | None = None, of: np.ndarray | None = None, p: np.ndarray | None = None, symbol: np.ndarray | None = None):
         """Words alone are the first level; then keys have a context, its occurrences, the symbol's number and its probability so far."""
@@ -119,11 +148,10 @@ class Level:
             parts = (-(-of // HOT)).astype(np.uint64)
             spread = mix(spread + np.where(parts > 1, mix(symbol[first]) % np.maximum(parts, 1), plain))
         bucket = ((spread >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-        order = np.arange(len(first)) if symbol is None else np.argsort(context, kind="stable")
-        order = order[np.argsort(bucket[order], kind="stable")]
+        order = np.argsort(bucket, kind="stable") if symbol is None else np.lexsort((symbol[first], context, bucket))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        self.back = place[back]
+        self.back, self.buckets = place[back], np.uint64(buckets)
         self.symbol, self.n, self.bucket, self.context, self.of = (key if symbol is None else symbol)[first][order], n[order], bucket[order], context[order], of[order]
         self.logs = (plain if p is None else np.minimum(np.round(-LOGS * np.log2(p[first][order])), 65535)).astype(np.uint16)
         self.cuts = heads(self.bucket)
@@ -137,7 +165,7 @@ class Level:
         at = np.searchsorted(self.runs, np.append(self.cuts, len(self.n)))
         for k, (a, b) in enumerate(zip(self.cuts, np.append(self.cuts, len(self.n))[1:], strict=True)):
             r = self.runs[at[k] : at[k + 1]]
-            yield int(self.bucket[a]), packed(self.context[r], self.of[r].astype("<u8"), size[at[k] : at[k + 1]].astype("<u4"), self.symbol[a:b], self.n[a:b], self.logs[a:b])
+            yield int(self.bucket[a]), sent(self.context[r], self.of[r].astype("<u8"), size[at[k] : at[k + 1]].astype("<u4"), self.symbol[a:b], self.n[a:b], self.logs[a:b])
 
     def answers(self, folder: str, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(total, kept share of the context, number) of each key as sent; a context that is no state keeps 0."""
@@ -146,6 +174,8 @@ class Level:
         t = read_answers(folder, piece)
         each = [unpacked(x, *ANSWER) for x in t.column("blob").to_pylist() if x is not None]
         total, keep, number = (np.concatenate(x) for x in zip(*each, strict=True))
+        if len(number):  # a common word has a small number
+            number = number * self.buckets + self.bucket
         if len(total) != len(self.n) or len(keep) != len(self.runs):
             raise RuntimeError("the rows of a split came in another order than before")
         hot = t.filter(t.column("context").is_valid())
@@ -279,7 +309,7 @@ def _kept_sql() -> str:
 
 def _merged(level: int, buckets: int, bucket: int, names: list[int], blobs: list[bytes]) -> Iterator[dict]:
     """Rows of FOUND of one bucket: each piece's answer, and sums of what other buckets hold parts of."""
-    each = [unpacked(x, *SENT) for x in blobs]
+    each = [received(x) for x in blobs]
     key, n = np.concatenate([x[3] for x in each]), np.concatenate([x[4] for x in each])
     if level:
         key = join_keys(np.concatenate([np.repeat(x[0], x[2]) for x in each]), key)
@@ -290,9 +320,9 @@ def _merged(level: int, buckets: int, bucket: int, names: list[int], blobs: list
     if not level:
         yield {"of": int(total.sum()), "kinds": int((total > 0).sum()), "once": int((total == 1).sum()), "more": int((total == 2).sum())}
         keeps = [np.zeros(len(x[0]), np.float32) for x in each]
-        place = np.empty(len(first), np.uint64)  # a common word has a small number
+        place = np.empty(len(first), np.uint64)
         place[np.argsort(-total, kind="stable")] = np.arange(len(first), dtype=np.uint64)
-        number = split((place * np.uint64(buckets) + np.uint64(bucket))[back], 3)
+        number = split(place[back], 3)
     else:
         run, of = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
         size = np.concatenate([x[2] for x in each])

@@ -167,3 +167,30 @@ def test_packed_round_trip():
     columns = [np.array([1, 1 << 60], "<u8"), np.zeros(0, "<u4"), np.array([0.5, -2.0, 3.25], "<f4"), np.arange(70_000, dtype="<u4")]
     back = S.unpacked(S.packed(*columns), "<u8", "<u4", "<f4", "<u4")
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, back, strict=True))
+
+
+def test_sent_runs_come_back_and_are_small():
+    """Ascending contexts and symbols go as differences, equal symbols' probabilities side by side."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for contexts in (0, 1, 400):
+        context = np.sort(rng.integers(0, 1 << 64, contexts, dtype=np.uint64))
+        size = rng.integers(1, 20, contexts).astype(np.uint32)
+        symbol = np.concatenate([np.sort(rng.zipf(1.2, k).clip(0, 1 << 20)).astype(np.uint64) for k in size] or [context])
+        n = rng.zipf(2.5, len(symbol)).clip(0, 1 << 20).astype(np.uint32)
+        logs = rng.integers(0, 1 << 16, 1 << 21, dtype=np.uint16)[symbol.astype(np.int64)]
+        columns = context, n[:contexts].astype(np.uint64), size, symbol, n, logs
+        blob = S.sent(*columns)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(S.received(blob), columns, strict=True))
+    assert len(blob) < 0.8 * len(S.packed(*columns))
+
+
+def test_a_piece_sends_symbols_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    context, symbol = rng.integers(0, 30, 3000).astype(np.uint64), rng.integers(0, 400, 3000).astype(np.uint64)
+    level = S.Level(S.join_keys(context, symbol), np.ones(3000, bool), 5, context, np.full(3000, 100), np.full(3000, 0.25), symbol)
+    assert (level.symbol[level.back] == symbol).all() and (level.context[level.back] == context).all()
+    assert (np.diff(level.symbol.astype(np.int64))[np.setdiff1d(np.arange(len(level.n) - 1), level.runs - 1)] > 0).all()
