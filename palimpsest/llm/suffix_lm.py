@@ -14,9 +14,11 @@ The model is never on one machine, and the text is never shuffled. The rows of
 an input split are cut into pieces of about ``PIECE`` bytes of text. Level by
 level a piece sends its distinct keys (context and next symbol) in packed runs,
 one for each bucket, and gets back the total of each key and the verdict on each
-context in the same order, so an answer takes one or two bytes a key. Buckets
-are dealt by context; a context that occurred more than ``HOT`` times is spread
-over several by its next symbols, and its test is summed up from them. A key has
+context in the same order, so an answer takes one or two bytes a key. Contexts
+go as the numbers of their words. Buckets are dealt by context, of two words by
+the last one (if that occurred more than ``HOT`` times, by the word before too);
+a context that occurred more than ``HOT`` times is spread over several by its
+next symbols, and its test is summed up from them. A key has
 one entry for each piece at most, so a word that is a third of all tokens stays
 light. Buckets are many, of a bounded share of the corpus each, and a task takes
 its buckets one after the other.
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,7 @@ MIN, DISCOUNT, PENALTY, DEPTH = 16, 0.75, 1.0, 2
 PIECE, BUCKET, HOT = 14 << 20, 4 << 20, 1 << 18
 LOGS = 1024  # probabilities travel as whole numbers of 1/LOGS bits
 END = mix(np.array([1], np.uint64))[0]
-_LEFT = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 
 def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,6 +69,17 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], back
 
 
+def ordered(bucket: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The order by bucket, context and symbol; one sort of one number where the three fit into it."""
+    wide = [int(x.max(initial=0)).bit_length() for x in (bucket, context, symbol)]
+    if sum(wide) > 64:
+        context = distinct(context)[1].astype(np.uint64)
+        wide[1] = int(context.max(initial=0)).bit_length()
+    if sum(wide) > 64:
+        return np.lexsort((symbol, context, bucket))
+    return np.argsort((bucket.astype(np.uint64) << np.uint64(wide[1]) | context) << np.uint64(wide[2]) | symbol)
+
+
 def heads(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     new = np.ones(len(x), bool)
@@ -79,6 +93,16 @@ def shifted(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def pairs(older: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Contexts of two words by their numbers, the last word's above; they ascend in small steps. Numbers that don't fit are hashed."""
+    return np.where((older | last) >> _HALF == 0, last << _HALF | older, join_keys(older, last))
+
+
+def parts(of: np.ndarray) -> np.ndarray:
+    """The buckets over which so many occurrences are spread."""
+    return np.maximum(-(-of // HOT), 1).astype(np.uint64)
+
+
 # --- packed runs ---------------------------------------------------------------------
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -114,7 +138,7 @@ def unstepped(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[head] - x[head], size)
 
 
-#: Contexts, their occurrences and their numbers of symbols; symbols (at first their keys, then their numbers), counts, probabilities.
+#: Contexts, occurrences of those in several buckets, numbers of symbols; symbols (at first their keys, then their numbers), counts, probabilities.
 SENT = ("<u8", "<u8", "<u4", "<u8", "<u4", "<u2")
 
 
@@ -131,29 +155,27 @@ def received(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(context, dtype=context.dtype), of, size, symbol, n, out]
 
 
-#: Totals, kept shares of the contexts, and at first the places of the words in their bucket.
-ANSWER = ("<u8", "<f4", "<u8")
+#: Totals, numbers of next symbols of the contexts that are states, and at first the places of the words in their bucket.
+ANSWER = ("<u8", "<u4", "<u8")
 
 
 class Level:
     """A piece's distinct keys of one level, in the order in which they are sent: by bucket, context, symbol."""
 
-    def __init__(self, key: np.ndarray, learn: np.ndarray, buckets: int, context: np.ndarray | None = None, of: np.ndarray | None = None, p: np.ndarray | None = None, symbol: np.ndarray | None = None):
-        """Words alone are the first level; then keys have a context, its occurrences, the symbol's number and its probability so far."""
+    def __init__(self, key: np.ndarray, learn: np.ndarray, buckets: int, context: np.ndarray | None = None, of: np.ndarray | None = None, p: np.ndarray | None = None, symbol: np.ndarray | None = None, dealt: np.ndarray | None = None):
+        """Words alone are the first level; then keys have a context, its occurrences, the symbol's number, its probability so far, and what the context is dealt by."""
         first, back = distinct(key)
         n = np.bincount(back[learn], minlength=len(first)).astype(np.uint32)
-        plain = np.zeros(len(first), np.uint64)
-        context, of, spread = (plain, plain.astype(np.int64), mix(key[first])) if context is None else (context[first], of[first], mix(context[first]))
+        context, of, spread = (np.zeros(len(first), np.uint64), np.zeros(len(first), np.int64), mix(key[first])) if context is None else (context[first], of[first], mix((context if dealt is None else dealt)[first]))
         if symbol is not None:
-            parts = (-(-of // HOT)).astype(np.uint64)
-            spread = mix(spread + np.where(parts > 1, mix(symbol[first]) % np.maximum(parts, 1), plain))
+            spread = mix(spread + mix(symbol[first]) % parts(of))
         bucket = ((spread >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-        order = np.argsort(bucket, kind="stable") if symbol is None else np.lexsort((symbol[first], context, bucket))
+        order = np.argsort(bucket, kind="stable") if symbol is None else ordered(bucket, context, symbol[first])
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.back, self.buckets = place[back], np.uint64(buckets)
         self.symbol, self.n, self.bucket, self.context, self.of = (key if symbol is None else symbol)[first][order], n[order], bucket[order], context[order], of[order]
-        self.logs = (plain if p is None else np.minimum(np.round(-LOGS * np.log2(p[first][order])), 65535)).astype(np.uint16)
+        self.logs = np.zeros(len(order), np.uint16) if p is None else np.minimum(np.round(-LOGS * np.log2(p[first][order])), 65535).astype(np.uint16)
         self.cuts = heads(self.bucket)
         edge = np.zeros(len(order), bool)
         edge[heads(self.context)] = True
@@ -165,7 +187,7 @@ class Level:
         at = np.searchsorted(self.runs, np.append(self.cuts, len(self.n)))
         for k, (a, b) in enumerate(zip(self.cuts, np.append(self.cuts, len(self.n))[1:], strict=True)):
             r = self.runs[at[k] : at[k + 1]]
-            yield int(self.bucket[a]), sent(self.context[r], self.of[r].astype("<u8"), size[at[k] : at[k + 1]].astype("<u4"), self.symbol[a:b], self.n[a:b], self.logs[a:b])
+            yield int(self.bucket[a]), sent(self.context[r], np.where(self.of[r] > HOT, self.of[r], 0).astype("<u8"), size[at[k] : at[k + 1]].astype("<u4"), self.symbol[a:b], self.n[a:b], self.logs[a:b])
 
     def answers(self, folder: str, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(total, kept share of the context, number) of each key as sent; a context that is no state keeps 0."""
@@ -173,11 +195,12 @@ class Level:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64)
         t = read_answers(folder, piece)
         each = [unpacked(x, *ANSWER) for x in t.column("blob").to_pylist() if x is not None]
-        total, keep, number = (np.concatenate(x) for x in zip(*each, strict=True))
+        total, kinds, number = (np.concatenate(x) for x in zip(*each, strict=True))
         if len(number):  # a common word has a small number
             number = number * self.buckets + self.bucket
-        if len(total) != len(self.n) or len(keep) != len(self.runs):
+        if len(total) != len(self.n) or len(kinds) != len(self.runs):
             raise RuntimeError("the rows of a split came in another order than before")
+        keep = DISCOUNT * kinds / np.maximum(self.of[self.runs], 1)
         hot = t.filter(t.column("context").is_valid())
         if len(hot):
             names = hot.column("context").to_numpy().astype(np.uint64)
@@ -254,20 +277,24 @@ def walk(t: Tokens, piece: int, folders: list[str], root: Root | None, buckets:
         return level, np.zeros(0), np.zeros(0)
     count, _, symbol = level.answers(folders[0], piece)
     count, symbol = count[level.back], symbol[level.back]
-    p, n, state, context = root.probability(count), count, np.ones(len(t.key), bool), shifted(t.key)
+    del level
+    p, n, state, last = root.probability(count), count, np.ones(len(t.key), bool), shifted(symbol)
+    context, dealt = last, None
     for k in range(1, len(folders) + bool(send)):
         of = shifted(n)
         use = np.flatnonzero((t.at >= k) & (of >= MIN) & state)
-        full = join_keys(context[use], t.key[use])
-        level = Level(full, t.learn[use], buckets, context[use], of[use], p[use], symbol[use])
+        level = Level(join_keys(context[use], symbol[use]), t.learn[use], buckets, context[use], of[use], p[use] if k == len(folders) else None, symbol[use], None if dealt is None else dealt[use])
         if k == len(folders):
             return level, count, p
         total, keep, _ = level.answers(folders[k], piece)
         total, keep = total[level.back], keep[level.back]
+        del level
         p[use] = np.where(keep > 0, np.maximum(total - DISCOUNT, 0) / of[use] + keep * p[use], p[use])
-        n, state, context = np.zeros_like(n), np.zeros_like(state), np.zeros_like(context)
-        n[use], state[use], context[use] = total, keep > 0, full
-        context = shifted(context)
+        n, state = np.zeros_like(n), np.zeros_like(state)
+        n[use], state[use] = total, keep > 0
+        if k + 1 < len(folders) + bool(send):
+            older = shifted(context)  # contexts with the same last word lie together
+            context, dealt = pairs(older, last) if k == 1 else join_keys(older, last), mix(last) + mix(older) % parts(shifted(count))
     return None, count, p
 
 
@@ -319,7 +346,7 @@ def _merged(level: int, buckets: int, bucket: int, names: list[int], blobs: list
     number = [np.zeros(0, np.uint64)] * len(each)
     if not level:
         yield {"of": int(total.sum()), "kinds": int((total > 0).sum()), "once": int((total == 1).sum()), "more": int((total == 2).sum())}
-        keeps = [np.zeros(len(x[0]), np.float32) for x in each]
+        states = [np.zeros(len(x[0]), np.uint32) for x in each]
         place = np.empty(len(first), np.uint64)
         place[np.argsort(-total, kind="stable")] = np.arange(len(first), dtype=np.uint64)
         number = split(place[back], 3)
@@ -329,12 +356,12 @@ def _merged(level: int, buckets: int, bucket: int, names: list[int], blobs: list
         owner = np.repeat(np.arange(len(run)), size)[first]
         rfirst, rback = distinct(run)
         mine, of = rback[owner], of[rfirst].astype(np.int64)
+        of = np.where(of > 0, of, np.bincount(mine, weights=total, minlength=len(of)).astype(np.int64))  # all of its symbols are here
         several = total >= 2
         gains = np.where(several, total * (np.log(np.maximum(total - 1 - DISCOUNT, 1e-9)) + np.concatenate([x[5] for x in each])[first] * (np.log(2) / LOGS)), 0)
         kinds, once, more, gain = (np.bincount(mine, weights=w, minlength=len(of)) for w in (total > 0, total == 1, np.where(several, total, 0), gains))
         hot = of > HOT
-        keep = np.where(hot, 0, kept(of, kinds, once, more, gain)).astype(np.float32)
-        keeps = split(keep[rback], 0)
+        states = split(np.where(~hot & (kept(of, kinds, once, more, gain) > 0), kinds, 0).astype(np.uint32)[rback], 0)
         name = run[rfirst].astype(np.int64)
         for i in np.flatnonzero(hot).tolist():
             yield {"context": int(name[i]), "of": int(of[i]), "kinds": int(kinds[i]), "once": int(once[i]), "more": int(more[i]), "gain": float(gain[i])}
@@ -342,7 +369,7 @@ def _merged(level: int, buckets: int, bucket: int, names: list[int], blobs: list
             for piece, x in zip(names, split(rback, 0), strict=True):
                 for i in np.unique(x[hot[x]]).tolist():
                     yield {"piece": piece, "context": int(name[i])}
-    for piece, *columns in zip(names, split(total[back].astype(np.uint64), 3), keeps, number, strict=True):
+    for piece, *columns in zip(names, split(total[back].astype(np.uint64), 3), states, number, strict=True):
         yield {"piece": piece, "bucket": bucket, "blob": packed(*columns)}
 
 
@@ -432,6 +459,21 @@ def _scored(folders: list[str], root: Root, buckets: int):
     return run
 
 
+@contextmanager
+def _tidy(spark) -> Iterator[None]:
+    """Meanwhile a job's shuffle files go when it ends; the cleaner alone often leaves a level's until the next one's are written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _settle(spark) -> None:
     """Lets Spark's cleaner remove the shuffle files that nothing refers to any more."""
     gc.collect()
@@ -440,6 +482,12 @@ def _settle(spark) -> None:
 
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
+    with _tidy(docs.sparkSession):
+        return _learned(docs, folds, held, depth, id_col, text)
+
+
+def _learned(docs: DataFrame, folds: int, held: int, depth: int, id_col: str, text: str) -> DataFrame:
+    """Learns the levels one by one; what is returned scores with them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-lm")
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]

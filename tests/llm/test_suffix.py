@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -194,3 +196,58 @@ def test_a_piece_sends_symbols_in_order():
     level = S.Level(S.join_keys(context, symbol), np.ones(3000, bool), 5, context, np.full(3000, 100), np.full(3000, 0.25), symbol)
     assert (level.symbol[level.back] == symbol).all() and (level.context[level.back] == context).all()
     assert (np.diff(level.symbol.astype(np.int64))[np.setdiff1d(np.arange(len(level.n) - 1), level.runs - 1)] > 0).all()
+
+
+def test_contexts_go_as_numbers(spark, monkeypatch):
+    """A context of one word is its number, one of two words ascends by the last; neither takes the bytes of a hash."""
+    import numpy as np
+
+    took, sent = defaultdict(int), S.sent
+
+    def counted(context, *rest):
+        took["bytes"] += len(S.packed(S.steps(context))) - len(S.packed(context[:0]))
+        took["contexts"] += len(context)
+        return sent(context, *rest)
+
+    monkeypatch.setattr(S, "sent", counted)
+    rng = np.random.default_rng(6)
+    words = (rng.zipf(1.3, (400, 300)) % 5000).tolist()
+    alone([(i, " ".join(f"w{x}" for x in ws)) for i, ws in enumerate(words)], 2, 1 << 18, 1 << 23, 3, monkeypatch)
+    assert took["contexts"] > 1000
+    assert took["bytes"] < 3 * took["contexts"]
+
+
+def test_order_of_keys_of_any_width():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for context_bits, symbol_bits in ((20, 20), (64, 20), (64, 63), (1, 64)):
+        bucket = rng.integers(0, 5, 4000).astype(np.uint16)
+        context, symbol = (rng.integers(0, 1 << 64, 4000, dtype=np.uint64) >> np.uint64(64 - b) for b in (context_bits, symbol_bits))
+        context[1000:] = context[:3000]
+        order = S.ordered(bucket, context, symbol)
+        assert (np.stack([x[order] for x in (bucket, context, symbol)]) == np.stack([x[np.lexsort((symbol, context, bucket))] for x in (bucket, context, symbol)])).all()
+    assert (S.ordered(bucket[:0], context[:0], symbol[:0]) == np.zeros(0)).all()
+    older, last = np.array([1, 2, 1 << 33, 1, 1 << 33], np.uint64), np.array([2, 1, 1, 1 << 33, 1 << 33], np.uint64)
+    assert len(set(S.pairs(older, last).tolist())) == 5
+
+
+def test_shuffle_files_go_with_their_job(spark, monkeypatch):
+    """They don't wait for the driver's garbage to be collected; the session's own setting comes back."""
+    dirs = [*spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p.name for d in dirs for p in Path(d).glob("*/shuffle_*")}
+    before, left = files(), []
+
+    def settle(_):
+        for _ in range(50):
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        left.append(files() - before)
+
+    monkeypatch.setattr(S, "_settle", settle)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    S.score_texts(spark.createDataFrame(corpus(200), "doc_id long, text string").repartition(3))
+    assert left == [set()] * 6
+    assert spark.conf.get(key, None) == was
