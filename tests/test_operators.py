@@ -319,3 +319,17 @@ def test_only_runs_that_begin_a_name_are_shuffled(spark, monkeypatch):
     bodies = spark.createDataFrame([(1, "a red apple tree"), (2, "no name"), (3, "blue stone house"), (4, "the blue stone house, red apple tree")], "page_id long, body string")
     found = sorted((r.from_page_id, r.to_page_id) for r in links.mentions(bodies, links.names(pages)).collect())
     assert found == [(1, 2), (4, 1), (4, 2), (4, 3)]
+
+
+def test_exact_boost_of_blank_titles_equals_its_sql(spark, tmp_path):
+    """Texts that begin with an empty line, hold blanks only, have other white space at a title's ends, or are missing."""
+    import duckdb
+
+    from palimpsest.plans.queries import ORACLE_SQL, QUERIES
+    from tests.helpers import same
+
+    texts = [(1, ""), (6, "\nbody"), (11, "  \nbody"), (16, "\t\nbody"), (21, None), (26, "Title\r\nbody"), (3, "Doc: 3\r\nbody"), (8, "doc: 8 \nbody"), (4, ""), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert same(QUERIES["exact_boost"](spark, str(tmp_path)), con.execute(ORACLE_SQL["exact_boost"])) == len(texts)
