@@ -223,7 +223,8 @@ def link_cap(spark, d):
     p, k = kb_pages(spark, d), F.col("page_id")
     more = F.concat(F.col("body"), F.lit(" see [a](/page/doc-"), k + 1, F.lit("#top) and [b](doc-"), k * 2, F.lit("?x=1) or [c](http://x.y)"))
     bodies = p.select("page_id", more.alias("body"))
-    return links.capped(links.markdown_links(bodies, p.select("page_id", "slug")), links.mentions(bodies, _page_names(spark, d)))
+    named = _page_names(spark, d)
+    return links.capped(links.markdown_links(bodies, p.select("page_id", "slug")), links.mentioned(bodies, named), named=named)
 
 
 # --- tenancy ------------------------------------------------------------------

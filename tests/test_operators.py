@@ -372,3 +372,15 @@ def test_mentions_shuffle_no_text(spark, monkeypatch, most):
     sent = SimpleNamespace(value=search.known(pa.Table.from_batches(search.hashed([batch]))))
     got = search.finder(sent, most)([pa.RecordBatch.from_pydict({"page_id": list(bodies), "body": list(bodies.values())})])
     assert sorted((*r.values(),) for b in got for r in b.to_pylist()) == sorted((i, to, len(name)) for i, to, name in want)
+
+
+def test_capped_links_get_their_names_last(spark):
+    pages = spark.createDataFrame([(1, "red apple tree", "a"), (2, "red apple tree", "a-slug-of-many-letters"), (3, "blue stone house", "c")], "page_id long, title string, slug string")
+    bodies = spark.createDataFrame([(1, "a red apple tree, [x](/page/a-slug-of-many-letters#b)"), (4, "blue stone house, red apple tree [y](c) [z](a-slug-of-many-letters)")], "page_id long, body string")
+    markdown, named = links.markdown_links(bodies, pages), links.names(pages)
+    for most in (1, 2, 4, 50):
+        got = links.capped(markdown, links.mentioned(bodies, named), most, named)
+        want = links.capped(markdown, links.mentions(bodies, named), most)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert (4, 2, "markdown", "a-slug-of-many-letters") in set(map(tuple, got.collect())) and got.count() == 7
